@@ -1,0 +1,66 @@
+"""Keys too heavy for one task.
+
+Rows of a visit are ordered against each other, so they normally meet in one
+task.  A placeholder visit can hold a large share of a table; such keys are
+counted first, split off, and worked on in pieces.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+# A window task sorts this many rows without trouble (it spills).
+HEAVY_ROWS = 2_000_000
+# The list of heavy keys is broadcast, so its length has a limit.  Keys beyond it
+# stay on the ordinary path; each of those holds less than 1/10 000 of the rows.
+MAX_HEAVY_KEYS = 10_000
+
+
+def heavy_keys(df: DataFrame, key: str, min_rows: int = HEAVY_ROWS) -> DataFrame:
+    """At most ``MAX_HEAVY_KEYS`` keys with more than ``min_rows`` rows.
+
+    The counts are exact and ties are broken by the key: every evaluation, also
+    after the loss of an executor, gives the same list.
+    """
+    return (
+        df.where(F.col(key).isNotNull())
+        .groupBy(key)
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") > min_rows)
+        .orderBy(F.desc("n"), key)
+        .limit(MAX_HEAVY_KEYS)
+        .select(key)
+    )
+
+
+def split_heavy(df: DataFrame, heavy: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(ordinary rows, rows of heavy keys); neither side is shuffled."""
+    listed = F.broadcast(heavy)
+    return df.join(listed, key, "left_anti"), df.join(listed, key, "left_semi")
+
+
+def join_heavy(
+    rows: DataFrame, owners: DataFrame, heavy: DataFrame, key: str
+) -> tuple[DataFrame, DataFrame]:
+    """Inner join to a table with one row per key, split into (ordinary, heavy).
+
+    Ordinary rows are joined by whatever Spark finds best.  The owners of heavy
+    keys are at most as many as the list, so they are broadcast and the rows of
+    a heavy key stay spread over the tasks that read them.
+    """
+    ordinary, large = split_heavy(rows, heavy, key)
+    few_owners = owners.join(F.broadcast(heavy), key, "left_semi")
+    return ordinary.join(owners, key), large.join(F.broadcast(few_owners), key)
+
+
+def null_safe_join(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str
+) -> DataFrame:
+    """Equi-join in which NULL keys meet; the left copy of the keys is kept."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same: Column = reduce(
+        Column.__and__, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    )
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
