@@ -55,7 +55,7 @@ def asof_by_window(
     payload: list[str],
 ) -> DataFrame:
     """Merge both sides in time order and carry the state forward: one shuffle."""
-    state = F.struct(state_id, *payload)
+    state = F.struct(F.col(state_id).alias("_id"), *payload)
     merged = events.withColumns(
         {"_t": F.col(event_time), "_is_event": F.lit(1)}
     ).unionByName(
@@ -66,7 +66,7 @@ def asof_by_window(
     )
     order = (
         Window.partitionBy(key)
-        .orderBy("_t", "_is_event", F.col(f"_state.{state_id}"))
+        .orderBy("_t", "_is_event", "_state._id")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
@@ -87,7 +87,9 @@ def asof_by_running(
     payload: list[str],
 ) -> DataFrame:
     """Same result for keys of any size: the latest state as a running maximum."""
-    state = F.struct(F.col(state_time).alias("_since"), state_id, *payload)
+    state = F.struct(
+        F.col(state_time).alias("_since"), F.col(state_id).alias("_id"), *payload
+    )
     instants = (
         events.select(key, F.col(event_time).alias("_t"))
         .distinct()
