@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from oracle.tables import NOW, statement
+from functools import partial
+
+from oracle.tables import NOW, statement as any_statement
 from wardflow.functions import fixed_values as fixed
 
 
@@ -187,7 +189,8 @@ CENSUS_STAYS = """
 
 CENSUS_MOVES = """
     SELECT *, row_number() OVER (PARTITION BY mrn
-      ORDER BY datetime_of_death - bed_in NULLS LAST, location_visit_id,
+      ORDER BY datetime_of_death - bed_in NULLS LAST, datetime_of_death IS NULL,
+               location_visit_id,
                CASE event WHEN 'bed_in' THEN 0 ELSE 1 END) AS death_order
     FROM (%s)""" % events_of("stays")
 
@@ -323,7 +326,8 @@ STEP_LOCF = """
 AGE = f"CAST(date_part('year', age({NOW}, CAST(date_of_birth AS TIMESTAMP))) AS DOUBLE)"
 
 
-def statements() -> dict[str, str]:
+def statements(bridged: bool = True) -> dict[str, str]:
+    statement = partial(any_statement, bridged=bridged)
     lag_stays = "PARTITION BY hospital_visit_id ORDER BY admission_time, location_visit_id"
     return {
         "current_bed": statement(
@@ -498,7 +502,7 @@ def statements() -> dict[str, str]:
         "out_of_hours": statement(
             "visit_observation",
             """SELECT visit_observation_id,
-              hour(observation_datetime) NOT BETWEEN 7 AND 21 AS out_of_hours
+              coalesce(hour(observation_datetime) NOT BETWEEN 7 AND 21, false) AS out_of_hours
             FROM visit_observation""",
         ),
         "row_counts": statement(

@@ -36,8 +36,11 @@ def table(name: str) -> str:
     return f"SELECT {fields} FROM {source}"
 
 
-def statement(tables: str, select: str, **steps: str) -> str:
-    """WITH the named tables and steps, in order, run ``select``."""
-    parts = [f"{name} AS MATERIALIZED ({table(name)})" for name in tables.split()]
+def statement(tables: str, select: str, bridged: bool = True, **steps: str) -> str:
+    """WITH the named tables and steps, in order, run ``select``.
+
+    Without the bridge the record system's own tables are read.
+    """
+    parts = [f"{n} AS MATERIALIZED ({table(n)})" for n in tables.split() if bridged]
     parts += [f"{name} AS ({sql})" for name, sql in steps.items()]
-    return f"WITH {', '.join(parts)}\n{select}"
+    return f"WITH {', '.join(parts)}\n{select}" if parts else select

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from wardflow.operators.prefix import running_latest
-from wardflow.operators.skew import heavy_keys, split_heavy
+from wardflow.operators.skew import split_heavy
 
 
 def asof_join(
@@ -16,7 +18,7 @@ def asof_join(
     state_time: str,
     state_id: str,
     payload: list[str],
-    heavy_rows: int,
+    heavy: Sequence,
 ) -> DataFrame:
     """Events with ``payload`` of their state; events without a state are dropped.
 
@@ -27,11 +29,7 @@ def asof_join(
     states = states.where(F.col(key).isNotNull() & F.col(state_time).isNotNull()).select(
         key, state_time, state_id, *payload
     )
-    heavy = heavy_keys(
-        events.select(key).unionAll(states.select(key)), key, heavy_rows
-    )
-    events_few, events_many = split_heavy(events, heavy, key)
-    states_few, states_many = split_heavy(states, heavy, key)
+    events_by, states_by = split_heavy(events, key, heavy), split_heavy(states, key, heavy)
     names = dict(
         key=key,
         event_time=event_time,
@@ -39,8 +37,11 @@ def asof_join(
         state_id=state_id,
         payload=payload,
     )
-    return asof_by_window(events_few, states_few, **names).unionByName(
-        asof_by_running(events_many, states_many, **names)
+    ordinary = asof_by_window(events_by.ordinary, states_by.ordinary, **names)
+    if events_by.large is None or states_by.large is None:
+        return ordinary
+    return ordinary.unionByName(
+        asof_by_running(events_by.large, states_by.large, **names)
     )
 
 

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardflow.operators.prefix import running_total
-from wardflow.operators.skew import null_safe_join, split_heavy
+from wardflow.operators.skew import HEAVY_ROWS, Split, null_safe_join, split_heavy
 
 # name of the new column -> (column, rows back; negative means rows ahead)
 Shifts = Mapping[str, tuple[str, int]]
 
-SEGMENT_ROWS = 1_000_000
+# ids per block when rows of one instant are numbered
+BLOCK_IDS = 1_000_000
 
 
 def with_neighbours(
@@ -29,7 +30,7 @@ def with_neighbours_in_segments(
     ts: str,
     row_id: str,
     shifts: Shifts,
-    segment_rows: int = SEGMENT_ROWS,
+    segment_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Same result for keys of any size.
 
@@ -38,6 +39,7 @@ def with_neighbours_in_segments(
     next to it, so that every shift is answered inside one segment.
     """
     reach = max(abs(offset) for _, offset in shifts.values())
+    segment_rows = max(segment_rows, reach)
     position = F.col("_position")
     segment = F.floor(position / segment_rows)
     place = position % segment_rows
@@ -50,7 +52,7 @@ def with_neighbours_in_segments(
     )
     order = Window.partitionBy(key, "_segment").orderBy("_position")
     return (
-        with_position(df, key, ts, row_id, segment_rows)
+        with_position(df, key, ts, row_id)
         .withColumn("_home", segment)
         .withColumn("_segment", F.explode(lent_to))
         .withColumns(_shifted(shifts, order))
@@ -60,7 +62,7 @@ def with_neighbours_in_segments(
 
 
 def with_position(
-    df: DataFrame, key: str, ts: str, row_id: str, block: int = SEGMENT_ROWS
+    df: DataFrame, key: str, ts: str, row_id: str, block: int = BLOCK_IDS
 ) -> DataFrame:
     """0-based ``_position`` in order of (ts, row_id) within the key.
 
@@ -96,26 +98,29 @@ def neighbours(
     ts: str,
     row_id: str,
     shifts: Shifts,
-    heavy: DataFrame,
-    segment_rows: int = SEGMENT_ROWS,
+    heavy: Sequence,
+    segment_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Shifted columns, with heavy keys worked on in segments."""
-    ordinary, large = split_heavy(df, heavy, key)
-    return neighbours_of_joined(ordinary, large, key, ts, row_id, shifts, segment_rows)
+    return split_neighbours(
+        split_heavy(df, key, heavy), key, ts, row_id, shifts, segment_rows
+    )
 
 
-def neighbours_of_joined(
-    ordinary: DataFrame,
-    large: DataFrame,
+def split_neighbours(
+    rows: Split,
     key: str,
     ts: str,
     row_id: str,
     shifts: Shifts,
-    segment_rows: int = SEGMENT_ROWS,
+    segment_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """The same for rows that are split already."""
-    return with_neighbours(ordinary, key, ts, row_id, shifts).unionByName(
-        with_neighbours_in_segments(large, key, ts, row_id, shifts, segment_rows)
+    ordinary = with_neighbours(rows.ordinary, key, ts, row_id, shifts)
+    if rows.large is None:
+        return ordinary
+    return ordinary.unionByName(
+        with_neighbours_in_segments(rows.large, key, ts, row_id, shifts, segment_rows)
     )
 
 

@@ -7,52 +7,74 @@ counted first, split off, and worked on in pieces.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 # A window task sorts this many rows without trouble (it spills).
 HEAVY_ROWS = 2_000_000
-# The list of heavy keys is broadcast, so its length has a limit.  Keys beyond it
-# stay on the ordinary path; each of those holds less than 1/10 000 of the rows.
+# The list of heavy keys is part of the query plan, so its length has a limit.  Keys
+# beyond it stay on the ordinary path; each of those holds less than 1/10 000 of
+# the rows.
 MAX_HEAVY_KEYS = 10_000
 
 
-def heavy_keys(df: DataFrame, key: str, min_rows: int = HEAVY_ROWS) -> DataFrame:
-    """At most ``MAX_HEAVY_KEYS`` keys with more than ``min_rows`` rows.
+def heavy_keys(df: DataFrame, key: str, min_rows: int = HEAVY_ROWS) -> list:
+    """At most ``MAX_HEAVY_KEYS`` keys with more than ``min_rows`` rows, largest first.
 
-    The counts are exact and ties are broken by the key: every evaluation, also
-    after the loss of an executor, gives the same list.
+    Runs one counting job over a single column, with map-side combine.  The list
+    only decides how rows are worked on, never which rows are in a result.
     """
-    return (
+    largest = (
         df.where(F.col(key).isNotNull())
         .groupBy(key)
         .agg(F.count("*").alias("n"))
         .where(F.col("n") > min_rows)
         .orderBy(F.desc("n"), key)
         .limit(MAX_HEAVY_KEYS)
-        .select(key)
     )
+    return [row[key] for row in largest.select(key).collect()]
 
 
-def split_heavy(df: DataFrame, heavy: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(ordinary rows, rows of heavy keys); neither side is shuffled."""
-    listed = F.broadcast(heavy)
-    return df.join(listed, key, "left_anti"), df.join(listed, key, "left_semi")
+@dataclass(frozen=True)
+class Split:
+    """Rows of ordinary keys and, if there are any such keys, rows of heavy ones."""
 
+    ordinary: DataFrame
+    large: DataFrame | None
 
-def join_heavy(
-    rows: DataFrame, owners: DataFrame, heavy: DataFrame, key: str
-) -> tuple[DataFrame, DataFrame]:
-    """Inner join to a table with one row per key, split into (ordinary, heavy).
+    def all(self) -> DataFrame:
+        return self.ordinary if self.large is None else self.ordinary.unionByName(self.large)
+
+    def each(self, change: Callable[[DataFrame], DataFrame]) -> Split:
+        large = None if self.large is None else change(self.large)
+        return Split(change(self.ordinary), large)
+
+
+def split_heavy(df: DataFrame, key: str, heavy: Sequence) -> Split:
+    """A filter on either side: no shuffle, and none of it without heavy keys."""
+    if not heavy:
+        return Split(df, None)
+    listed = F.col(key).isin(list(heavy))
+    return Split(df.where(F.col(key).isNull() | ~listed), df.where(listed))
+
+
+def join_heavy(rows: DataFrame, owners: DataFrame, key: str, heavy: Sequence) -> Split:
+    """Inner join to a table with one row per key.
 
     Ordinary rows are joined by whatever Spark finds best.  The owners of heavy
-    keys are at most as many as the list, so they are broadcast and the rows of
-    a heavy key stay spread over the tasks that read them.
+    keys are no more than the list is long, so they are broadcast and the rows
+    of a heavy key stay spread over the tasks that read them.
     """
-    ordinary, large = split_heavy(rows, heavy, key)
-    few_owners = owners.join(F.broadcast(heavy), key, "left_semi")
-    return ordinary.join(owners, key), large.join(F.broadcast(few_owners), key)
+    split = split_heavy(rows, key, heavy)
+    if split.large is None:
+        return Split(rows.join(owners, key), None)
+    few_owners = owners.where(F.col(key).isin(list(heavy)))
+    return Split(
+        split.ordinary.join(owners, key), split.large.join(F.broadcast(few_owners), key)
+    )
 
 
 def null_safe_join(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -17,10 +16,10 @@ from wardflow.functions.locations import (
 )
 from wardflow.functions.times import ago, out_of_hours
 from wardflow.operators.intervals import BED_IN, BED_OUT, interval_events
-from wardflow.operators.neighbours import neighbours_of_joined
+from wardflow.operators.neighbours import split_neighbours
 from wardflow.operators.occupied import occupied_now
 from wardflow.operators.prefix import running_total
-from wardflow.operators.skew import heavy_keys, join_heavy, null_safe_join
+from wardflow.operators.skew import Split, join_heavy, null_safe_join
 from wardflow.sources.ehr import EhrTables
 
 AsOf = datetime | str | None
@@ -58,18 +57,8 @@ def inpatients(t: EhrTables, as_of: AsOf, window: str) -> DataFrame:
     return visits.join(person, "mrn_id").join(t.mrn.select("mrn_id", "mrn"), "mrn_id")
 
 
-@dataclass(frozen=True)
-class BedStays:
-    """Census bed stays of the cohort; heavy visits are kept apart."""
-
-    ordinary: DataFrame
-    large: DataFrame
-
-    def all(self) -> DataFrame:
-        return self.ordinary.unionByName(self.large)
-
-
-def bed_stays(t: EhrTables, cohort: DataFrame, rules: ParserRules) -> BedStays:
+def bed_stays(t: EhrTables, cohort: DataFrame, rules: ParserRules) -> Split:
+    """Bed stays of the cohort that count for the census; heavy visits are kept apart."""
     beds = parse_locations(t.location, rules).where(F.col("census")).drop("ward_raw", "census")
     stays = t.location_visit.select(
         "location_visit_id",
@@ -78,8 +67,7 @@ def bed_stays(t: EhrTables, cohort: DataFrame, rules: ParserRules) -> BedStays:
         F.col("admission_time").alias("bed_in"),
         F.col("discharge_time").alias("bed_dc"),
     ).join(beds, "location_id")
-    heavy = heavy_keys(t.location_visit, "hospital_visit_id", t.heavy_rows)
-    return BedStays(*join_heavy(stays, cohort, heavy, "hospital_visit_id"))
+    return join_heavy(stays, cohort, "hospital_visit_id", t.heavy_visits)
 
 
 def death_stays(stays: DataFrame) -> DataFrame:
@@ -141,11 +129,10 @@ def census_lookup(stays: DataFrame, by_critical_care: bool) -> DataFrame:
     return null_safe_join(lookup, by_care, ["critical_care", "ts"], "inner")
 
 
-def moves(t: EhrTables, stays: BedStays) -> DataFrame:
+def moves(t: EhrTables, stays: Split) -> DataFrame:
     """Bed stays with their neighbours in the visit and the flags derived from them."""
-    wide = neighbours_of_joined(
-        stays.ordinary.withColumn("transient", transient(F.col("bed_type"))),
-        stays.large.withColumn("transient", transient(F.col("bed_type"))),
+    wide = split_neighbours(
+        stays.each(lambda df: df.withColumn("transient", transient(F.col("bed_type")))),
         "hospital_visit_id",
         "bed_in",
         "location_visit_id",

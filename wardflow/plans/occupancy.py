@@ -7,15 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 from wardflow.functions import fixed_values as fixed
 from wardflow.functions.text import part
 from wardflow.operators.intervals import interval_events
-from wardflow.operators.neighbours import neighbours_of_joined
+from wardflow.operators.neighbours import split_neighbours
 from wardflow.operators.occupied import occupied_now
 from wardflow.operators.prefix import running_total
-from wardflow.operators.skew import heavy_keys, join_heavy, null_safe_join
+from wardflow.operators.skew import Split, join_heavy, null_safe_join
 from wardflow.sources.ehr import EhrTables
 
 
-def bed_stays(t: EhrTables) -> tuple[DataFrame, DataFrame]:
-    """Bed stays with their ward and hospital stay: (ordinary visits, heavy visits)."""
+def bed_stays(t: EhrTables) -> Split:
+    """Bed stays with their ward and hospital stay; heavy visits are kept apart."""
     place = F.col("location_string")
     beds = t.location.where(part(place, 3) != fixed.NULL_TEXT).select(
         "location_id", "location_string", part(place, 1).alias("ward")
@@ -32,8 +32,7 @@ def bed_stays(t: EhrTables) -> tuple[DataFrame, DataFrame]:
         F.col("admission_time").alias("hosp_in"),
         F.col("discharge_time").alias("hosp_dc"),
     )
-    heavy = heavy_keys(t.location_visit, "hospital_visit_id", t.heavy_rows)
-    return join_heavy(stays, visits, heavy, "hospital_visit_id")
+    return join_heavy(stays, visits, "hospital_visit_id", t.heavy_visits)
 
 
 def occupancy(t: EhrTables) -> DataFrame:
@@ -43,16 +42,14 @@ def occupancy(t: EhrTables) -> DataFrame:
     the sum is the occupancy before the event.  Wards with no bed in use now
     have no anchor and do not appear.
     """
-    ordinary, large = bed_stays(t)
-    stays = ordinary.unionByName(large)
-    anchors = occupied_now(stays, "ward", "location_string", "occupied")
+    stays = bed_stays(t)
+    anchors = occupied_now(stays.all(), "ward", "location_string", "occupied")
     sums = running_total(
-        interval_events(stays, ["ward"]), ["ward"], "ts", F.col("census"), name="occupancy_raw"
+        interval_events(stays.all(), ["ward"]), ["ward"], "ts", F.col("census"), name="occupancy_raw"
     ).join(anchors, "ward")
     long = interval_events(
-        neighbours_of_joined(
-            ordinary,
-            large,
+        split_neighbours(
+            stays,
             "hospital_visit_id",
             "bed_in",
             "location_visit_id",

@@ -51,7 +51,7 @@ def located(t: EhrTables, readings: DataFrame) -> DataFrame:
         "admission_time",
         "location_visit_id",
         ["location_string"],
-        t.heavy_rows,
+        t.heavy_visits,
     )
 
 

@@ -18,7 +18,6 @@ from wardflow.operators.neighbours import neighbours
 from wardflow.operators.observations import pivot_observations
 from wardflow.operators.occupied import occupied_now
 from wardflow.operators.prefix import running_total
-from wardflow.operators.skew import heavy_keys
 from wardflow.plans import census, cohorts, occupancy
 from wardflow.plans.oxygen import READINGS, hourly_demand
 from wardflow.sources.ehr import EhrTables
@@ -40,7 +39,7 @@ def asof_location(t: EhrTables) -> DataFrame:
         "admission_time",
         "location_visit_id",
         ["location_visit_id", "location_string"],
-        t.heavy_rows,
+        t.heavy_visits,
     )
 
 
@@ -56,8 +55,7 @@ def latest_stay(t: EhrTables) -> DataFrame:
 
 
 def _ward_stays(t: EhrTables) -> DataFrame:
-    ordinary, large = occupancy.bed_stays(t)
-    return ordinary.unionByName(large)
+    return occupancy.bed_stays(t).all()
 
 
 def running_census(t: EhrTables) -> DataFrame:
@@ -99,7 +97,7 @@ def lag_lead(t: EhrTables) -> DataFrame:
             "lag2": ("location_id", 2),
             "lead2": ("location_id", -2),
         },
-        heavy_keys(stays, "hospital_visit_id", t.heavy_rows),
+        t.heavy_visits,
         t.heavy_rows,
     )
     back_again = F.coalesce(F.col("lag2") == F.col("location_id"), F.lit(False))

@@ -213,8 +213,18 @@ PROJECTIONS: dict[str, tuple[str, dict[str, str]]] = {
 
 
 def bridge(spark: SparkSession, sf_dir: str, heavy_rows: int = HEAVY_ROWS) -> EhrTables:
-    """All tables over the test tables in ``sf_dir``."""
+    """All tables over the test tables in ``sf_dir``; the same object per application."""
     folder = sf_dir.rstrip("/")
+    known = (spark.sparkContext.applicationId, folder, heavy_rows)
+    if known not in _bridges:
+        _bridges[known] = _bridge(spark, folder, heavy_rows)
+    return _bridges[known]
+
+
+_bridges: dict[tuple[str, str, int], EhrTables] = {}
+
+
+def _bridge(spark: SparkSession, folder: str, heavy_rows: int) -> EhrTables:
 
     def read(name: str) -> DataFrame:
         if name == "location_visit":

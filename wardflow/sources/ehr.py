@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardflow.operators.skew import HEAVY_ROWS
+from wardflow.operators.skew import HEAVY_ROWS, heavy_keys
 
 SCHEMAS: dict[str, str] = {
     "mrn": "mrn_id LONG, mrn STRING, nhs_number STRING",
@@ -62,13 +63,23 @@ class EhrTables:
     """Named access to the tables: ``tables.location_visit`` is a DataFrame.
 
     ``heavy_rows`` is the number of rows from which one visit is handled as a
-    heavy one (see ``wardflow.operators.skew``).
+    heavy one (see ``wardflow.operators.skew``).  Which visits these are is
+    counted once per instance, when a pipeline first needs to know.
     """
 
     spark: SparkSession
     read: Callable[[str], DataFrame]
     heavy_rows: int = HEAVY_ROWS
 
+    @cached_property
+    def heavy_visits(self) -> list[int]:
+        """Visits with very many bed stays or observations."""
+        by_table = [
+            heavy_keys(table, "hospital_visit_id", self.heavy_rows)
+            for table in (self.location_visit, self.visit_observation)
+        ]
+        return sorted({visit for visits in by_table for visit in visits})
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
             raise AttributeError(name)
