@@ -54,12 +54,13 @@ def _time(r, days, missing=0.0):
     """Coarse times, so that ties are frequent."""
     if r.random() < missing:
         return None
-    return NOW - dt.timedelta(minutes=30 * r.randrange(days * 48))
+    slots = 6 if r.random() < 0.25 else days * 48
+    return NOW - dt.timedelta(minutes=30 * r.randrange(slots))
 
 
 def tables(seed):
     r = random.Random(seed)
-    people, visits, stays, observations = 25, 40, 160, 260
+    people, visits, stays, observations = 40, 70, 330, 330
     hot = r.randrange(visits)
 
     def visit():
@@ -105,7 +106,7 @@ def tables(seed):
                 _time(r, 30, 0.1),
                 _time(r, 2, 0.1),
                 _time(r, 200, 0.7),
-                _pick(r, ["EMERGENCY", "INPATIENT", "INPATIENT", "INPATIENT"], 0.05),
+                _pick(r, ["EMERGENCY", "INPATIENT", "INPATIENT", "INPATIENT"], 0.03),
                 _pick(r, ["Ambulance", "Walk-in"], 0.1),
                 _pick(r, ["Home"], 0.5),
                 _pick(r, ["EPIC", "EPIC", "EPIC", "WinPath"], 0.05),
@@ -198,9 +199,13 @@ def tables(seed):
 
 def load(spark, duck, seed, heavy_rows):
     """The same rows as Spark tables and in a DuckDB connection."""
+    return from_rows(spark, duck, tables(seed), heavy_rows)
+
+
+def from_rows(spark, duck, rows_by_table, heavy_rows):
     frames = {}
-    for name, rows in tables(seed).items():
-        frames[name] = spark.createDataFrame(rows, SCHEMAS[name])
+    for name, schema in SCHEMAS.items():
+        frames[name] = spark.createDataFrame(rows_by_table.get(name, []), schema)
         duck.register(f"arrow_{name}", frames[name].toArrow())
         duck.execute(f"CREATE TABLE {name} AS SELECT * FROM arrow_{name}")
     return EhrTables.from_frames(spark, frames, heavy_rows=heavy_rows)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, functions as F
 
 from wardflow.functions import fixed_values as fixed
 
+OPEN_SLOT = 2**62
+
 
 def as_of_time(as_of: datetime | str | None) -> Column:
     """The moment a pipeline calls "now"; the wall clock when none is given."""
@@ -25,10 +27,15 @@ def hour_floor(ts: Column) -> Column:
     return F.to_date(ts).cast("timestamp_ntz") + F.make_dt_interval(hours=F.hour(ts))
 
 
-def minute_number(ts: Column) -> Column:
-    """Minutes since 1970-01-01 of the wall-clock time: a coarse, ordered key."""
+def time_slot(ts: Column, minutes: int) -> Column:
+    """First minute of the ``minutes``-long slot of the wall clock: a coarse, ordered key.
+
+    An open (NULL) time is in the last slot.
+    """
     days = F.unix_date(F.to_date(ts)).cast("long")
-    return days * 1440 + F.hour(ts) * 60 + F.minute(ts)
+    minute = days * 1440 + F.hour(ts) * 60 + F.minute(ts)
+    start = minute - F.pmod(minute, F.lit(minutes))
+    return F.coalesce(start, F.lit(OPEN_SLOT))
 
 
 def age_years(born: Column, as_of: datetime | str | None = None) -> Column:

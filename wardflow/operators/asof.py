@@ -99,7 +99,7 @@ def asof_by_running(
             allowMissingColumns=True,
         )
     )
-    latest = running_latest(instants, [key], "_t", F.col("_state"), name="_state")
+    latest = running_latest(instants, key, "_t", F.col("_state"), name="_state")
     return (
         events.join(
             latest.withColumnRenamed("_t", event_time), [key, event_time], "inner"

@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 BED_IN = "bed_in"
 BED_OUT = "bed_dc"
 
 
 def interval_events(stays: DataFrame, keep: list[str]) -> DataFrame:
-    """Two rows (event, ts) per bed stay; an open stay keeps its end with NULL ts."""
-    events = stays.unpivot(keep, [BED_IN, BED_OUT], "event", "ts")
-    return events.withColumn("census", census_step(F.col("event"), F.col("ts")))
-
-
-def census_step(event: Column, ts: Column) -> Column:
-    """+1 for entering a bed, -1 for leaving it, 0 while it is still occupied."""
-    leaving = F.when(ts.isNull(), 0).otherwise(-1)
-    return F.when(event == BED_IN, 1).when(event == BED_OUT, leaving)
+    """Two rows (event, ts, census) per bed stay.
+
+    An open stay keeps its end with NULL ts.  ``census`` is +1 for entering a bed,
+    -1 for leaving it and 0 while it is still occupied.  The rows are generated
+    from an array: unlike an unpivot it keeps what Spark knows about the other
+    columns, so equal plans above it are recognised as equal and run once.
+    """
+    leaving = F.when(F.col(BED_OUT).isNull(), 0).otherwise(-1)
+    ends = F.array(
+        *[
+            F.struct(
+                F.lit(event).alias("event"),
+                F.col(event).alias("ts"),
+                step.alias("census"),
+            )
+            for event, step in [(BED_IN, F.lit(1)), (BED_OUT, leaving)]
+        ]
+    )
+    return stays.select(*keep, F.inline(ends))
 
 
 def flags_to_long(

@@ -74,7 +74,7 @@ def with_position(
     counted = blocked.groupBy(*cell).agg(F.count("*").alias("_rows"))
     upto = running_total(
         counted,
-        [key],
+        key,
         ts,
         F.col("_rows"),
         ordering=F.asc_nulls_last,

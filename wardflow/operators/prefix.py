@@ -1,109 +1,185 @@
 """Running totals over few, large groups.
 
 A window partitioned by ward (or by "critical care yes/no") is one task per
-group.  Here a group is first folded to one cell per instant, with map-side
-combine; cells are folded to one row per minute; running over the minutes of a
-group gives the carry into each minute, running over the instants of a minute
-gives the rest.  No window ever sees more than the minutes of the calendar or
-the instants of a minute, however many rows share a group, day or instant.
+group.  Here the calendar is cut into slots.  The total of every slot is folded
+with map-side combine; running over the slots of a group gives the carry into
+each slot; the carry then takes part as one more row, ahead of the others, in a
+window partitioned by group and slot.
+
+An open (NULL) time is later than all others, in either direction.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wardflow.functions.times import minute_number
+from wardflow.functions.times import time_slot
 from wardflow.operators.skew import null_safe_join
 
+Fold = Callable[[Column | str], Column]
 Ordering = Callable[[Column | str], Column]
 
+# One minute has at most 60 million instants, a century 53 million minutes: neither
+# outgrows a task.  Few rows are better served by longer slots, because then the
+# slots are far fewer than the rows.
+FINE_SLOT, COARSE_SLOT = 1, 60
+FEW_ROWS = 50_000_000
+
+
+def slot_minutes(rows: int) -> int:
+    return COARSE_SLOT if rows <= FEW_ROWS else FINE_SLOT
+
+
+def slot_carries(rows: DataFrame, group: str, fold: Fold, ordering: Ordering) -> DataFrame:
+    """(group, _slot, _value): the fold of all ``_value`` in earlier slots of the group."""
+    earlier = (
+        Window.partitionBy(group)
+        .orderBy(ordering("_slot"))
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    totals = rows.groupBy(group, "_slot").agg(fold("_value").alias("_total"))
+    return totals.select(
+        group, "_slot", fold("_total").over(earlier).alias("_value"), F.lit(True).alias("_carry")
+    )
+
 
 def running_fold(
     df: DataFrame,
-    group: list[str],
+    group: str,
     ts: str,
     value: Column,
     *,
-    fold: Callable[[Column | str], Column],
-    merge: Callable[[Column, Column], Column],
+    fold: Fold,
     ordering: Ordering,
     then_by: tuple[str, ...] = (),
     name: str = "running",
+    slot: int = FINE_SLOT,
 ) -> DataFrame:
     """One row per (group, ts, then_by) with the fold of everything up to it.
 
-    ``fold`` is an associative aggregate, ``merge(carry, here)`` joins two of
-    its results.  Rows with the same position are peers and share the result.
+    Rows with the same position are folded before anything is shuffled, so no
+    window sees more than the distinct positions of a slot, however many rows
+    share a group, a slot or a position.
     """
     position = [ts, *then_by]
-    cells = (
-        df.select(
-            *group,
-            minute_number(F.col(ts)).alias("_minute"),
-            *position,
-            value.alias("_value"),
-        )
-        .groupBy(*group, "_minute", *position)
-        .agg(fold("_value").alias("_cell"))
-    )
-    earlier_minutes = (
-        Window.partitionBy(*group)
-        .orderBy(ordering("_minute"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carries = (
-        cells.groupBy(*group, "_minute")
-        .agg(fold("_cell").alias("_minute_total"))
-        .select(*group, "_minute", fold("_minute_total").over(earlier_minutes).alias("_carry"))
+    slotted = df.select(
+        group, time_slot(F.col(ts), slot).alias("_slot"), *position, value.alias("_value")
     )
-    within_minute = (
-        Window.partitionBy(*group, "_minute")
-        .orderBy(*[ordering(c) for c in position])
+    cells = slotted.groupBy(group, "_slot", *position).agg(fold("_value").alias("_value"))
+    carries = slot_carries(cells, group, fold, ordering)
+    return _after_carry(cells, carries, group, position, fold, ordering, name)
+
+
+def _after_carry(
+    cells: DataFrame,
+    carries: DataFrame,
+    group: str,
+    position: list[str],
+    fold: Fold,
+    ordering: Ordering,
+    name: str,
+) -> DataFrame:
+    within = (
+        Window.partitionBy(group, "_slot")
+        .orderBy(F.desc("_carry"), *[ordering(c) for c in position])
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    here = cells.withColumn("_here", fold("_cell").over(within_minute))
-    return null_safe_join(here, carries, [*group, "_minute"], "inner").select(
-        *group, *position, merge(F.col("_carry"), F.col("_here")).alias(name)
+    rows = cells.withColumn("_carry", F.lit(False)).unionByName(
+        carries, allowMissingColumns=True
+    )
+    return (
+        rows.withColumn(name, fold("_value").over(within))
+        .where(~F.col("_carry"))
+        .select(group, *position, name)
     )
 
 
 def running_total(
     df: DataFrame,
-    group: list[str],
+    group: str,
     ts: str,
     value: Column,
     *,
     ordering: Ordering = F.desc_nulls_first,
     then_by: tuple[str, ...] = (),
     name: str = "running",
+    slot: int = FINE_SLOT,
 ) -> DataFrame:
     """Running sum, newest first and open (NULL) instants before all others."""
     return running_fold(
-        df,
-        group,
-        ts,
-        value,
-        fold=F.sum,
-        merge=lambda carry, here: F.coalesce(carry, F.lit(0)) + here,
-        ordering=ordering,
-        then_by=then_by,
-        name=name,
+        df, group, ts, value, fold=F.sum, ordering=ordering, then_by=then_by, name=name, slot=slot
     )
 
 
 def running_latest(
-    df: DataFrame, group: list[str], ts: str, value: Column, *, name: str = "running"
+    df: DataFrame, group: str, ts: str, value: Column, *, name: str = "running"
 ) -> DataFrame:
     """Latest non-NULL ``value`` (an orderable struct that grows with ``ts``)."""
     return running_fold(
-        df,
-        group,
-        ts,
-        value,
-        fold=F.max,
-        merge=lambda carry, here: F.coalesce(here, carry),
-        ordering=F.asc_nulls_last,
-        name=name,
+        df, group, ts, value, fold=F.max, ordering=F.asc_nulls_last, name=name
+    )
+
+
+def with_running_totals(
+    rows: DataFrame,
+    moves: DataFrame,
+    ts: str,
+    value: str,
+    groups: dict[str, str],
+    *,
+    slot: int,
+    heavy_slots: Sequence[int],
+) -> DataFrame:
+    """Add running sums of ``value``, newest first, to wide rows.
+
+    ``groups`` maps each new column to the column it is partitioned by.  ``moves``
+    holds the same (groups, ts, value) as ``rows`` from a cheaper source.  The wide
+    rows are shuffled once, by slot, for all sums together.  Slots with too many
+    rows for a task are summed per instant instead and joined to their rows.
+    """
+    slot_of = time_slot(F.col(ts), slot)
+    slotted = moves.select(
+        *groups.values(), slot_of.alias("_slot"), ts, F.col(value).alias("_value")
+    )
+    by_slot = slotted.groupBy(*groups.values(), "_slot").agg(F.sum("_value").alias("_value"))
+    carries = {
+        name: slot_carries(by_slot, group, F.sum, F.desc_nulls_first)
+        for name, group in groups.items()
+    }
+    is_heavy = F.col("_slot").isin(list(heavy_slots)) if heavy_slots else F.lit(False)
+
+    placed = rows.withColumn("_slot", slot_of)
+    stream = placed.where(~is_heavy).withColumns(
+        {"_carry": F.lit(False), **{f"_{name}": F.col(value) for name in groups}}
     )
+    for name, carry in carries.items():
+        stream = stream.unionByName(
+            carry.where(~is_heavy).withColumnRenamed("_value", f"_{name}"),
+            allowMissingColumns=True,
+        )
+    # hash(slot) also is a clustering by (ward, slot) and by (critical care, slot)
+    stream = stream.repartition("_slot")
+    for name, group in groups.items():
+        # rows of the same instant are peers: the default frame includes them all
+        order = Window.partitionBy(group, "_slot").orderBy(
+            F.desc("_carry"), F.desc_nulls_first(ts)
+        )
+        stream = stream.withColumn(name, F.sum(f"_{name}").over(order))
+    result = stream.where(~F.col("_carry")).select(*rows.columns, *groups)
+    if not heavy_slots:
+        return result
+
+    dense = placed.where(is_heavy)
+    for name, group in groups.items():
+        cells = (
+            slotted.where(is_heavy)
+            .groupBy(group, "_slot", ts)
+            .agg(F.sum("_value").alias("_value"))
+        )
+        sums = _after_carry(
+            cells, carries[name].where(is_heavy), group, [ts], F.sum, F.desc_nulls_first, name
+        )
+        dense = null_safe_join(dense, sums, [group, ts], "left")
+    return result.unionByName(dense.select(*rows.columns, *groups))

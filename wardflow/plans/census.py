@@ -18,8 +18,8 @@ from wardflow.functions.times import ago, out_of_hours
 from wardflow.operators.intervals import BED_IN, BED_OUT, interval_events
 from wardflow.operators.neighbours import split_neighbours
 from wardflow.operators.occupied import occupied_now
-from wardflow.operators.prefix import running_total
-from wardflow.operators.skew import Split, join_heavy, null_safe_join
+from wardflow.operators.prefix import with_running_totals
+from wardflow.operators.skew import Split, join_heavy
 from wardflow.sources.ehr import EhrTables
 
 AsOf = datetime | str | None
@@ -97,38 +97,6 @@ def death_stays(stays: DataFrame) -> DataFrame:
     )
 
 
-def census_lookup(stays: DataFrame, by_critical_care: bool) -> DataFrame:
-    """Counts now and running sums for every (ward, critical care, instant).
-
-    Built from the few columns it needs, and small after the first fold: the
-    wide event rows are then joined to it once instead of being sorted once per
-    running sum.
-    """
-    census = F.col("census")
-    keys = ["ward", "critical_care"] if by_critical_care else ["ward"]
-    instants = (
-        interval_events(stays, keys)
-        .groupBy(*keys, "ts")
-        .agg(F.sum("census").alias("census"))
-    )
-    by_ward = running_total(instants, ["ward"], "ts", census, name="ward_sum").join(
-        occupied_now(stays, "ward", "bed", "occupancy_now"),
-        "ward",
-        "left" if by_critical_care else "inner",
-    )
-    if not by_critical_care:
-        return by_ward
-    by_care = running_total(
-        instants, ["critical_care"], "ts", census, name="care_sum"
-    ).join(
-        occupied_now(stays, "critical_care", "location_string", "cc_now"),
-        "critical_care",
-        "left",
-    )
-    lookup = null_safe_join(instants.drop("census"), by_ward, ["ward", "ts"], "inner")
-    return null_safe_join(lookup, by_care, ["critical_care", "ts"], "inner")
-
-
 def moves(t: EhrTables, stays: Split) -> DataFrame:
     """Bed stays with their neighbours in the visit and the flags derived from them."""
     wide = split_neighbours(
@@ -186,17 +154,31 @@ def census(
     t: EhrTables, as_of: AsOf, window: str, rules: ParserRules, by_critical_care: bool
 ) -> DataFrame:
     cohort = inpatients(t, as_of, window)
-    counted = bed_stays(t, cohort, rules)
-    lookup = census_lookup(counted.all(), by_critical_care)
-    deaths = death_stays(counted.all())
+    counted = bed_stays(t, cohort, rules).all()
     # the marker is attached to the visit, so the bed stays are not shuffled for it
-    marked = cohort.join(deaths, ["hospital_visit_id", "core_demographic_id"], "left")
+    marked = cohort.join(
+        death_stays(counted), ["hospital_visit_id", "core_demographic_id"], "left"
+    )
     wide = moves(t, bed_stays(t, marked, rules))
     kept = [c for c in wide.columns if c not in (BED_IN, BED_OUT)]
-    long = interval_events(wide, kept)
-    keys = ["ward", "critical_care", "ts"] if by_critical_care else ["ward", "ts"]
-    how = "left" if by_critical_care else "inner"
-    events = null_safe_join(long, lookup, keys, how)
+    sums = {"ward_sum": "ward"}
+    if by_critical_care:
+        sums["care_sum"] = "critical_care"
+    events = with_running_totals(
+        interval_events(wide, kept),
+        interval_events(counted, list(sums.values())),
+        "ts",
+        "census",
+        sums,
+        slot=t.slot,
+        heavy_slots=t.heavy_slots,
+    )
+    wards = occupied_now(counted, "ward", "bed", "occupancy_now")
+    if by_critical_care:
+        care = occupied_now(counted, "critical_care", "location_string", "cc_now")
+        events = events.join(wards, "ward", "left").join(care, "critical_care", "left")
+    else:
+        events = events.join(wards, "ward")
     return events.withColumns(
         {
             "bed_death": F.when(F.col("event") == BED_IN, F.col("died_here")),

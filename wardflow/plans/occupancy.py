@@ -9,8 +9,8 @@ from wardflow.functions.text import part
 from wardflow.operators.intervals import interval_events
 from wardflow.operators.neighbours import split_neighbours
 from wardflow.operators.occupied import occupied_now
-from wardflow.operators.prefix import running_total
-from wardflow.operators.skew import Split, join_heavy, null_safe_join
+from wardflow.operators.prefix import with_running_totals
+from wardflow.operators.skew import Split, join_heavy
 from wardflow.sources.ehr import EhrTables
 
 
@@ -44,9 +44,6 @@ def occupancy(t: EhrTables) -> DataFrame:
     """
     stays = bed_stays(t)
     anchors = occupied_now(stays.all(), "ward", "location_string", "occupied")
-    sums = running_total(
-        interval_events(stays.all(), ["ward"]), ["ward"], "ts", F.col("census"), name="occupancy_raw"
-    ).join(anchors, "ward")
     long = interval_events(
         split_neighbours(
             stays,
@@ -58,7 +55,16 @@ def occupancy(t: EhrTables) -> DataFrame:
         ),
         ["hospital_visit_id", "location_visit_id", "location_string", "ward_lag1", "ward"],
     )
-    return null_safe_join(long, sums, ["ward", "ts"], "inner").select(
+    events = with_running_totals(
+        long,
+        interval_events(stays.all(), ["ward"]),
+        "ts",
+        "census",
+        {"occupancy_raw": "ward"},
+        slot=t.slot,
+        heavy_slots=t.heavy_slots,
+    )
+    return events.join(anchors, "ward").select(
         "hospital_visit_id",
         "location_visit_id",
         "location_string",

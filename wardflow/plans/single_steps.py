@@ -61,7 +61,7 @@ def _ward_stays(t: EhrTables) -> DataFrame:
 def running_census(t: EhrTables) -> DataFrame:
     """Ward and instant with the running sum of bed moves, newest first."""
     moves = interval_events(_ward_stays(t), ["ward"])
-    return running_total(moves, ["ward"], "ts", F.col("census"), name="running")
+    return running_total(moves, "ward", "ts", F.col("census"), name="running", slot=t.slot)
 
 
 def occupied_wards(t: EhrTables) -> DataFrame:

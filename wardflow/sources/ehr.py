@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from wardflow.functions.times import time_slot
+from wardflow.operators.prefix import slot_minutes
 from wardflow.operators.skew import HEAVY_ROWS, heavy_keys
 
 SCHEMAS: dict[str, str] = {
@@ -70,16 +72,39 @@ class EhrTables:
     spark: SparkSession
     read: Callable[[str], DataFrame]
     heavy_rows: int = HEAVY_ROWS
+    _rows: dict[str, int] = field(default_factory=dict)
 
     @cached_property
     def heavy_visits(self) -> list[int]:
         """Visits with very many bed stays or observations."""
         by_table = [
-            heavy_keys(table, "hospital_visit_id", self.heavy_rows)
-            for table in (self.location_visit, self.visit_observation)
+            heavy_keys(self.read(name), "hospital_visit_id", self.heavy_rows)
+            for name in ("location_visit", "visit_observation")
+            if self.rows(name) > self.heavy_rows
         ]
         return sorted({visit for visits in by_table for visit in visits})
 
+    @cached_property
+    def slot(self) -> int:
+        """Length in minutes of the time slots that running totals work in."""
+        return slot_minutes(2 * self.rows("location_visit"))
+
+    @cached_property
+    def heavy_slots(self) -> list[int]:
+        """Time slots with very many bed moves, the open one possibly among them."""
+        if 2 * self.rows("location_visit") <= self.heavy_rows:
+            return []
+        times = F.array("admission_time", "discharge_time")
+        moves = self.location_visit.select(F.explode(times).alias("ts"))
+        slots = moves.select(time_slot(F.col("ts"), self.slot).alias("slot"))
+        return sorted(heavy_keys(slots, "slot", self.heavy_rows))
+
+    def rows(self, name: str) -> int:
+        """Number of rows, counted once from the file footers."""
+        if name not in self._rows:
+            self._rows[name] = self.read(name).count()
+        return self._rows[name]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
             raise AttributeError(name)
