@@ -2,34 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from wardflow.operators.prefix import running_latest
-from wardflow.operators.skew import split_heavy
+from wardflow.operators.skew import Split
 
 
 def asof_join(
-    events: DataFrame,
-    states: DataFrame,
+    events: Split,
+    states: Split,
     key: str,
     event_time: str,
     state_time: str,
     state_id: str,
     payload: list[str],
-    heavy: Sequence,
 ) -> DataFrame:
     """Events with ``payload`` of their state; events without a state are dropped.
 
     States with the same time are told apart by the larger ``state_id``.  The
-    end of a state is not looked at.
+    end of a state is not looked at.  Both sides are split by the same heavy keys.
     """
-    events = events.where(F.col(key).isNotNull() & F.col(event_time).isNotNull())
-    states = states.where(F.col(key).isNotNull() & F.col(state_time).isNotNull()).select(
-        key, state_time, state_id, *payload
-    )
-    events_by, states_by = split_heavy(events, key, heavy), split_heavy(states, key, heavy)
+    events = events.each(lambda df: df.dropna(subset=[key, event_time]))
+    states = states.each(lambda df: df.dropna(subset=[key, state_time]))
     names = dict(
         key=key,
         event_time=event_time,
@@ -37,12 +31,10 @@ def asof_join(
         state_id=state_id,
         payload=payload,
     )
-    ordinary = asof_by_window(events_by.ordinary, states_by.ordinary, **names)
-    if events_by.large is None or states_by.large is None:
+    ordinary = asof_by_window(events.ordinary, states.ordinary, **names)
+    if events.large is None or states.large is None:
         return ordinary
-    return ordinary.unionByName(
-        asof_by_running(events_by.large, states_by.large, **names)
-    )
+    return ordinary.unionByName(asof_by_running(events.large, states.large, **names))
 
 
 def asof_by_window(

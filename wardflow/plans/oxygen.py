@@ -13,6 +13,7 @@ from wardflow.functions.times import ago, hour_floor
 from wardflow.operators.asof import asof_join
 from wardflow.operators.locf import grid_bounds, hold_until_next
 from wardflow.operators.observations import pivot_observations
+from wardflow.operators.skew import Split, split_heavy
 from wardflow.sources.ehr import EhrTables
 
 AsOf = datetime | str | None
@@ -39,19 +40,23 @@ def located(t: EhrTables, readings: DataFrame) -> DataFrame:
     stays = t.location_visit.select(
         "hospital_visit_id", "admission_time", "location_visit_id", "location_id"
     )
-    # the history of patients without a reading is dropped before the merge
-    concerned = stays.join(
-        readings.select("hospital_visit_id"), "hospital_visit_id", "left_semi"
-    ).join(t.location, "location_id")
+    by_weight = split_heavy(stays, "hospital_visit_id", t.heavy_visits)
+    # The history of patients without a reading is dropped before the merge.  Heavy
+    # visits are few and known by name; for them this would only be a hot join key.
+    concerned = Split(
+        by_weight.ordinary.join(
+            readings.select("hospital_visit_id"), "hospital_visit_id", "left_semi"
+        ),
+        by_weight.large,
+    )
     return asof_join(
-        readings,
-        concerned,
+        split_heavy(readings, "hospital_visit_id", t.heavy_visits),
+        concerned.each(lambda df: df.join(t.location, "location_id")),
         "hospital_visit_id",
         "observation_datetime",
         "admission_time",
         "location_visit_id",
         ["location_string"],
-        t.heavy_visits,
     )
 
 
@@ -78,7 +83,10 @@ def oxygen(t: EhrTables, as_of: AsOf = None, window: str = "7 DAYS") -> DataFram
     the value carried forward is the one of the highest visit id.
     """
     first, last = grid_bounds(as_of, window)
-    demand = hourly_demand(t, as_of, window).where(F.col("obs_dt").between(first, last))
+    # with this filter both uses below have the same plan and share one shuffle
+    demand = hourly_demand(t, as_of, window).where(
+        F.col("location_string").isNotNull() & F.col("obs_dt").between(first, last)
+    )
     known = demand.groupBy("location_string", "obs_dt").agg(
         F.max_by("o2_demand", "hospital_visit_id").alias("o2_locf")
     )

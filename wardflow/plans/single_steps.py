@@ -18,6 +18,7 @@ from wardflow.operators.neighbours import neighbours
 from wardflow.operators.observations import pivot_observations
 from wardflow.operators.occupied import occupied_now
 from wardflow.operators.prefix import running_total
+from wardflow.operators.skew import split_heavy
 from wardflow.plans import census, cohorts, occupancy
 from wardflow.plans.oxygen import READINGS, hourly_demand
 from wardflow.sources.ehr import EhrTables
@@ -32,14 +33,13 @@ def asof_location(t: EhrTables) -> DataFrame:
     )
     stays = t.location_visit.join(t.location, "location_id")
     return asof_join(
-        observations,
-        stays,
+        split_heavy(observations, "hospital_visit_id", t.heavy_visits),
+        split_heavy(stays, "hospital_visit_id", t.heavy_visits),
         "hospital_visit_id",
         "observation_datetime",
         "admission_time",
         "location_visit_id",
         ["location_visit_id", "location_string"],
-        t.heavy_visits,
     )
 
 
