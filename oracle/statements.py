@@ -329,7 +329,7 @@ AGE = f"CAST(date_part('year', age({NOW}, CAST(date_of_birth AS TIMESTAMP))) AS
 def statements(bridged: bool = True) -> dict[str, str]:
     statement = partial(any_statement, bridged=bridged)
     lag_stays = "PARTITION BY hospital_visit_id ORDER BY admission_time, location_visit_id"
-    return {
+    registered = {
         "current_bed": statement(
             "location location_visit",
             f"""SELECT s.location_visit_id, s.hospital_visit_id, s.location_id,
@@ -407,6 +407,15 @@ def statements(bridged: bool = True) -> dict[str, str]:
             FROM moves m JOIN anchors a ON a.ward = m.ward""",
             **WARD_STEPS,
         ),
+        "ward_hour_flow": statement(
+            "location location_visit",
+            """SELECT date_trunc('hour', ts) AS hour, split_part(location_string, '^', 1) AS ward,
+              count(*) FILTER (began) AS arrivals, count(*) FILTER (NOT began) AS departures,
+              CAST(sum(CASE WHEN began THEN 1 ELSE -1 END) AS BIGINT) AS net_change
+            FROM (SELECT location_id, admission_time AS ts, true AS began FROM location_visit
+                  UNION ALL SELECT location_id, discharge_time, false FROM location_visit)
+            JOIN location USING (location_id) WHERE ts IS NOT NULL GROUP BY ALL""",
+        ),
         "census_plus": statement(
             CENSUS_TABLES, CENSUS_PLUS, **census_steps(PLUS_RULES, "3 MONTH")
         ),
@@ -516,3 +525,5 @@ def statements(bridged: bool = True) -> dict[str, str]:
             ORDER BY observation_datetime DESC NULLS FIRST, visit_observation_id LIMIT 3""",
         ),
     }
+    registered["snapshot"] = registered["occupancy"]
+    return registered

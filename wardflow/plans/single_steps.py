@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -21,7 +22,10 @@ from wardflow.operators.prefix import running_total
 from wardflow.operators.skew import split_heavy
 from wardflow.plans import census, cohorts, occupancy
 from wardflow.plans.oxygen import READINGS, hourly_demand
+from wardflow.plans.snapshots import read_snapshot, write_snapshot
 from wardflow.sources.ehr import EhrTables
+from wardflow.sources.scratch import scratch_folder
+from wardflow.streaming.bed_flow import bed_moves, hourly_flow
 
 AsOf = datetime | str | None
 
@@ -68,6 +72,20 @@ def occupied_wards(t: EhrTables) -> DataFrame:
     return occupied_now(_ward_stays(t), "ward", "location_string", "n")
 
 
+def ward_hour_flow(t: EhrTables) -> DataFrame:
+    """Arrivals and departures per ward and hour (the batch form of the stream)."""
+    wards = t.location.select("location_id", part(F.col("location_string"), 1).alias("ward"))
+    return hourly_flow(bed_moves(t.location_visit, wards))
+
+
+def snapshot(t: EhrTables) -> DataFrame:
+    """Occupancy written as a snapshot and read back."""
+    df = occupancy.occupancy(t)
+    path = f"{scratch_folder(t.spark)}/snapshots/{uuid4().hex}"
+    write_snapshot(df, path)
+    return read_snapshot(t.spark, path, df.schema)
+
+
 def unpivot_intervals(t: EhrTables) -> DataFrame:
     stays = t.location_visit.select(
         "location_visit_id",

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def write_snapshot(df: DataFrame, path: str, partition_by: str = "ward") -> None:
     """Replace the snapshot at ``path``, one folder per ward.
 
+    The folder is named by a copy of the column: a folder name cannot tell an empty
+    text from a missing one.
     The rebalance hint brings the rows of a ward together, splits the shuffle
     partitions of large wards and merges those of small ones, so neither one
     task per ward nor one file per task and ward is the outcome.
     """
-    df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(
-        partition_by
-    ).parquet(path)
+    folder = f"{partition_by}_folder"
+    name = F.coalesce(F.nullif(F.col(partition_by), F.lit("")), F.lit("none"))
+    df.withColumn(folder, name).hint("rebalance", folder).write.mode(
+        "overwrite"
+    ).partitionBy(folder).parquet(path)
 
 
 def read_snapshot(spark: SparkSession, path: str, schema) -> DataFrame:
     """The snapshot with the column types it was written with."""
-    names = [field.name for field in schema]
-    return spark.read.schema(schema).parquet(path).select(*names)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
