@@ -98,7 +98,7 @@ def neighbours(
     ts: str,
     row_id: str,
     shifts: Shifts,
-    heavy: Sequence,
+    heavy: Sequence[int],
     segment_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Shifted columns, with heavy keys worked on in segments."""

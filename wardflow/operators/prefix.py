@@ -16,7 +16,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardflow.functions.times import time_slot
-from wardflow.operators.skew import null_safe_join
+from wardflow.operators.skew import is_listed, null_safe_join
 
 Fold = Callable[[Column | str], Column]
 Ordering = Callable[[Column | str], Column]
@@ -148,7 +148,7 @@ def with_running_totals(
         name: slot_carries(by_slot, group, F.sum, F.desc_nulls_first)
         for name, group in groups.items()
     }
-    is_heavy = F.col("_slot").isin(list(heavy_slots)) if heavy_slots else F.lit(False)
+    is_heavy = is_listed("_slot", heavy_slots)
 
     placed = rows.withColumn("_slot", slot_of)
     stream = placed.where(~is_heavy).withColumns(

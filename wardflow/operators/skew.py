@@ -21,7 +21,7 @@ HEAVY_ROWS = 2_000_000
 MAX_HEAVY_KEYS = 10_000
 
 
-def heavy_keys(df: DataFrame, key: str, min_rows: int = HEAVY_ROWS) -> list:
+def heavy_keys(df: DataFrame, key: str, min_rows: int = HEAVY_ROWS) -> list[int]:
     """At most ``MAX_HEAVY_KEYS`` keys with more than ``min_rows`` rows, largest first.
 
     Runs one counting job over a single column, with map-side combine.  The list
@@ -53,15 +53,24 @@ class Split:
         return Split(change(self.ordinary), large)
 
 
-def split_heavy(df: DataFrame, key: str, heavy: Sequence) -> Split:
+def is_listed(key: str, heavy: Sequence[int]) -> Column:
+    """``key IN (...)`` for whole numbers; as text, since the list can be long."""
+    if not heavy:
+        return F.lit(False)
+    return F.expr(f"{key} IN ({', '.join(str(int(k)) for k in heavy)})")
+
+
+def split_heavy(df: DataFrame, key: str, heavy: Sequence[int]) -> Split:
     """A filter on either side: no shuffle, and none of it without heavy keys."""
     if not heavy:
         return Split(df, None)
-    listed = F.col(key).isin(list(heavy))
+    listed = is_listed(key, heavy)
     return Split(df.where(F.col(key).isNull() | ~listed), df.where(listed))
 
 
-def join_heavy(rows: DataFrame, owners: DataFrame, key: str, heavy: Sequence) -> Split:
+def join_heavy(
+    rows: DataFrame, owners: DataFrame, key: str, heavy: Sequence[int]
+) -> Split:
     """Inner join to a table with one row per key.
 
     Ordinary rows are joined by whatever Spark finds best.  The owners of heavy
@@ -71,7 +80,7 @@ def join_heavy(rows: DataFrame, owners: DataFrame, key: str, heavy: Sequence) ->
     split = split_heavy(rows, key, heavy)
     if split.large is None:
         return Split(rows.join(owners, key), None)
-    few_owners = owners.where(F.col(key).isin(list(heavy)))
+    few_owners = owners.where(is_listed(key, heavy))
     return Split(
         split.ordinary.join(owners, key), split.large.join(F.broadcast(few_owners), key)
     )

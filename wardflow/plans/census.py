@@ -57,16 +57,20 @@ def inpatients(t: EhrTables, as_of: AsOf, window: str) -> DataFrame:
     return visits.join(person, "mrn_id").join(t.mrn.select("mrn_id", "mrn"), "mrn_id")
 
 
-def bed_stays(t: EhrTables, cohort: DataFrame, rules: ParserRules) -> Split:
-    """Bed stays of the cohort that count for the census; heavy visits are kept apart."""
+def census_stays(t: EhrTables, rules: ParserRules) -> DataFrame:
+    """Bed stays in places that count for the census."""
     beds = parse_locations(t.location, rules).where(F.col("census")).drop("ward_raw", "census")
-    stays = t.location_visit.select(
+    return t.location_visit.select(
         "location_visit_id",
         "hospital_visit_id",
         "location_id",
         F.col("admission_time").alias("bed_in"),
         F.col("discharge_time").alias("bed_dc"),
     ).join(beds, "location_id")
+
+
+def of_cohort(t: EhrTables, stays: DataFrame, cohort: DataFrame) -> Split:
+    """Bed stays of the cohort with its columns; heavy visits are kept apart."""
     return join_heavy(stays, cohort, "hospital_visit_id", t.heavy_visits)
 
 
@@ -154,12 +158,13 @@ def census(
     t: EhrTables, as_of: AsOf, window: str, rules: ParserRules, by_critical_care: bool
 ) -> DataFrame:
     cohort = inpatients(t, as_of, window)
-    counted = bed_stays(t, cohort, rules).all()
+    stays = census_stays(t, rules)
+    counted = of_cohort(t, stays, cohort).all()
     # the marker is attached to the visit, so the bed stays are not shuffled for it
     marked = cohort.join(
         death_stays(counted), ["hospital_visit_id", "core_demographic_id"], "left"
     )
-    wide = moves(t, bed_stays(t, marked, rules))
+    wide = moves(t, of_cohort(t, stays, marked))
     kept = [c for c in wide.columns if c not in (BED_IN, BED_OUT)]
     sums = {"ward_sum": "ward"}
     if by_critical_care:

@@ -125,7 +125,8 @@ def lag_lead(t: EhrTables) -> DataFrame:
 def death_rank(t: EhrTables, as_of: AsOf) -> DataFrame:
     """The bed stay that ranks first by distance to death, per patient number."""
     cohort = census.inpatients(t, as_of, "12 MONTHS")
-    return census.death_stays(census.bed_stays(t, cohort, CRITICAL_CARE_CENSUS).all())
+    stays = census.census_stays(t, CRITICAL_CARE_CENSUS)
+    return census.death_stays(census.of_cohort(t, stays, cohort).all())
 
 
 def resolve_live_mrn(t: EhrTables) -> DataFrame:

@@ -137,7 +137,7 @@ PROJECTIONS: dict[str, tuple[str, dict[str, str]]] = {
                 " WHEN 2 THEN '3040109304' WHEN 3 THEN '10' WHEN 4 THEN '8'"
                 " ELSE concat('P', p_partkey) END"
             ),
-            "source_application": "CASE WHEN p_partkey % 5 = 0 THEN 'caboodle' ELSE 'EPIC' END",
+            "source_application": "CASE WHEN p_partkey % 5 = 0 THEN 'other' ELSE 'EPIC' END",
         },
     ),
     "flowsheetrowdim": (
@@ -149,8 +149,8 @@ PROJECTIONS: dict[str, tuple[str, dict[str, str]]] = {
                 " ELSE concat('X', p_partkey) END END"
             ),
             "name": (
-                "CASE p_partkey WHEN 1 THEN 'R UCLH NIV DEVICE'"
-                " WHEN 2 THEN 'R OXYGEN DELIVERY METHOD' WHEN 3 THEN 'PULSE OXIMETRY'"
+                f"CASE p_partkey WHEN 1 THEN '{fixed.NIV_FLOWSHEET_ROWS[1]}'"
+                f" WHEN 2 THEN '{fixed.OXYGEN_DELIVERY_ROW}' WHEN 3 THEN 'PULSE OXIMETRY'"
                 " ELSE p_name END"
             ),
             "displayname": "p_name",

@@ -64,6 +64,8 @@ SCHEMAS: dict[str, str] = {
 class EhrTables:
     """Named access to the tables: ``tables.location_visit`` is a DataFrame.
 
+    An instance stands for the files it found; make a new one to see new files.
+
     ``heavy_rows`` is the number of rows from which one visit is handled as a
     heavy one (see ``wardflow.operators.skew``).  Which visits these are is
     counted once per instance, when a pipeline first needs to know.
@@ -72,13 +74,14 @@ class EhrTables:
     spark: SparkSession
     read: Callable[[str], DataFrame]
     heavy_rows: int = HEAVY_ROWS
+    _frames: dict[str, DataFrame] = field(default_factory=dict)
     _rows: dict[str, int] = field(default_factory=dict)
 
     @cached_property
     def heavy_visits(self) -> list[int]:
         """Visits with very many bed stays or observations."""
         by_table = [
-            heavy_keys(self.read(name), "hospital_visit_id", self.heavy_rows)
+            heavy_keys(getattr(self, name), "hospital_visit_id", self.heavy_rows)
             for name in ("location_visit", "visit_observation")
             if self.rows(name) > self.heavy_rows
         ]
@@ -91,24 +94,30 @@ class EhrTables:
 
     @cached_property
     def heavy_slots(self) -> list[int]:
-        """Time slots with very many bed moves, the open one possibly among them."""
-        if 2 * self.rows("location_visit") <= self.heavy_rows:
+        """Time slots with very many bed moves, the open one possibly among them.
+
+        The rows of a slot are spread over wards, so a slot may hold more than a visit.
+        """
+        limit = 10 * self.heavy_rows
+        if 2 * self.rows("location_visit") <= limit:
             return []
         times = F.array("admission_time", "discharge_time")
         moves = self.location_visit.select(F.explode(times).alias("ts"))
         slots = moves.select(time_slot(F.col("ts"), self.slot).alias("slot"))
-        return sorted(heavy_keys(slots, "slot", self.heavy_rows))
+        return sorted(heavy_keys(slots, "slot", limit))
 
     def rows(self, name: str) -> int:
         """Number of rows, counted once from the file footers."""
         if name not in self._rows:
-            self._rows[name] = self.read(name).count()
+            self._rows[name] = getattr(self, name).count()
         return self._rows[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
             raise AttributeError(name)
-        return self.read(name)
+        if name not in self._frames:
+            self._frames[name] = self.read(name)
+        return self._frames[name]
 
     @classmethod
     def from_directory(cls, spark: SparkSession, directory: str) -> EhrTables:
