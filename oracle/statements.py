@@ -499,6 +499,21 @@ def statements(bridged: bool = True) -> dict[str, str]:
             hours=HOURLY_STEPS["hours"],
         ),
         "locf": statement(O2_TABLES, STEP_LOCF, **HOURLY_STEPS),
+        "locf_aggregate": statement(
+            "visit_observation",
+            """SELECT hospital_visit_id, max(n) AS last_real, max(s) AS last_text,
+              coalesce(max(n), 0) AS real_or_zero
+            FROM (SELECT hospital_visit_id,
+                CASE WHEN value_as_real IS NOT NULL AND row_number() OVER (
+                  PARTITION BY hospital_visit_id, value_as_real IS NULL ORDER BY
+                  observation_datetime DESC NULLS LAST, visit_observation_id DESC) = 1
+                  THEN value_as_real END AS n,
+                CASE WHEN value_as_text IS NOT NULL AND row_number() OVER (
+                  PARTITION BY hospital_visit_id, value_as_text IS NULL ORDER BY
+                  observation_datetime DESC NULLS LAST, visit_observation_id DESC) = 1
+                  THEN value_as_text END AS s
+              FROM visit_observation) GROUP BY hospital_visit_id""",
+        ),
         "regex_capture": statement(
             "location",
             f"""SELECT location_id,

@@ -113,7 +113,8 @@ def test_single_stay_has_no_neighbours(spark):
 @pytest.mark.parametrize("join", [asof_by_window, asof_by_running])
 def test_asof(spark, join):
     states = [(1, at(10), 1, "x"), (1, at(20), 3, "tie"), (1, at(20), 2, "y"), (2, at(5), 4, "z")]
-    events = [(i, k, at(m)) for i, (k, m) in enumerate([(1, 9), (1, 10), (1, 19), (1, 20), (1, 99), (2, 5), (3, 1)])]
+    times = [(1, 9), (1, 10), (1, 19), (1, 20), (1, 99), (2, 5), (3, 1)]
+    events = [(i, k, at(m)) for i, (k, m) in enumerate(times)]
     found = join(
         spark.createDataFrame(events, "e long, k long, t timestamp_ntz"),
         spark.createDataFrame(states, "k long, since timestamp_ntz, s long, p string"),
@@ -123,7 +124,8 @@ def test_asof(spark, join):
         state_id="s",
         payload=["p"],
     )
-    assert {(r.e, r.p) for r in found.collect()} == {(1, "x"), (2, "x"), (3, "tie"), (4, "tie"), (5, "z")}
+    expected = {(1, "x"), (2, "x"), (3, "tie"), (4, "tie"), (5, "z")}
+    assert {(r.e, r.p) for r in found.collect()} == expected
 
 
 def test_asof_forms_agree_on_a_hot_key(spark):

@@ -11,11 +11,13 @@ from wardflow.streaming.bed_flow import bed_moves, hourly_flow, start_hourly_flo
 DAY = dt.datetime(2024, 1, 1)
 
 
+def minute(n):
+    return DAY + dt.timedelta(minutes=n)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     stays = [
-        (i, i % 5, i % 3, DAY + dt.timedelta(minutes=17 * i), None)
-        if i % 4 == 0
-        else (i, i % 5, i % 3, DAY + dt.timedelta(minutes=17 * i), DAY + dt.timedelta(minutes=17 * i + 40))
+        (i, i % 5, i % 3, minute(17 * i), None if i % 4 == 0 else minute(17 * i + 40))
         for i in range(200)
     ]
     source = str(tmp_path / "stays")

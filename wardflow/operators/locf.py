@@ -42,6 +42,19 @@ def hold_until_next(
     )
 
 
+def newer(earlier: Column, later: Column) -> Column:
+    """One step of carrying forward: the later value unless it is missing."""
+    return F.coalesce(later, earlier)
+
+
+def last_value(value: str, order: str) -> Column:
+    """Aggregate: the non-NULL value that comes last by ``order``.
+
+    A fold with map-side combine, independent of the order rows arrive in.
+    """
+    return F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order)))
+
+
 def last_known(value: Column | str, key: str, hour: str) -> Column:
     """Last non-NULL value at or before the hour (as a window expression)."""
     return F.last(value, ignorenulls=True).over(Window.partitionBy(key).orderBy(hour))

@@ -14,7 +14,7 @@ from wardflow.functions.times import age_years, hour_floor, out_of_hours
 from wardflow.operators.asof import asof_join
 from wardflow.operators.identity import with_mrns
 from wardflow.operators.intervals import flags_to_long, interval_events
-from wardflow.operators.locf import hour_grid, last_known
+from wardflow.operators.locf import hour_grid, last_known, last_value, newer
 from wardflow.operators.neighbours import neighbours
 from wardflow.operators.observations import pivot_observations
 from wardflow.operators.occupied import occupied_now
@@ -175,6 +175,16 @@ def locf(t: EhrTables, as_of: AsOf) -> DataFrame:
     return sparse.withColumn("o2_locf", last_known("o2_demand", "location_string", "obs_dt"))
 
 
+def locf_aggregate(t: EhrTables) -> DataFrame:
+    """Last number and last text per visit, and the number with 0 if there is none."""
+    order = F.struct("observation_datetime", "visit_observation_id")
+    last = t.visit_observation.withColumn("order", order).groupBy("hospital_visit_id").agg(
+        last_value("value_as_real", "order").alias("last_real"),
+        last_value("value_as_text", "order").alias("last_text"),
+    )
+    return last.withColumn("real_or_zero", newer(F.lit(0.0), F.col("last_real")))
+
+
 def regex_capture(t: EhrTables) -> DataFrame:
     place = F.col("location_string")
     return t.location.select(
