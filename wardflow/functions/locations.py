@@ -26,25 +26,31 @@ CRITICAL_CARE_CENSUS = ParserRules(critical_care_default=False)
 def parse_locations(locations: DataFrame, rules: ParserRules = LOCATION_VIEW) -> DataFrame:
     """One row per location: identifiers plus eight parsed attributes."""
     text = F.col("location_string")
-    return locations.select(
+    department, unit, bed = F.col("ward_raw"), F.col("_unit"), F.col("bed")
+    # the string is split once; every rule below reads the parts
+    split = locations.select(
         "location_id",
         "location_string",
-        ward_of(text).alias("ward"),
-        part(text, 3).alias("bed"),
         part(text, 1).alias("ward_raw"),
-        counts_for_census(part(text, 3)).alias("census"),
-        building_of(text, rules).alias("building"),
-        critical_care(text, rules).alias("critical_care"),
-        ed_zone_of(text).alias("ed_zone"),
-        bed_type_of(text).alias("bed_type"),
+        part(text, 2).alias("_unit"),
+        part(text, 3).alias("bed"),
     )
-
-
-def ward_of(text: Column) -> Column:
-    department = part(text, 1)
-    hidden = part(text, 2).rlike(fixed.HIDDEN_WARD_PATTERN)
-    return F.when(department != fixed.NULL_TEXT, department).when(
-        hidden, fixed.HIDDEN_WARD
+    hidden = unit.rlike(fixed.HIDDEN_WARD_PATTERN)
+    return split.select(
+        "location_id",
+        "location_string",
+        F.when(department != fixed.NULL_TEXT, department)
+        .when(hidden, fixed.HIDDEN_WARD)
+        .alias("ward"),
+        "bed",
+        "ward_raw",
+        counts_for_census(bed).alias("census"),
+        building_of(text, department, rules).alias("building"),
+        F.when(department.rlike(fixed.CRITICAL_CARE_PATTERN) | hidden, True)
+        .otherwise(F.lit(rules.critical_care_default).cast("boolean"))
+        .alias("critical_care"),
+        ed_zone_of(text, department).alias("ed_zone"),
+        bed_type_of(text, bed).alias("bed_type"),
     )
 
 
@@ -57,10 +63,10 @@ def counts_for_census(bed: Column) -> Column:
     )
 
 
-def building_of(text: Column, rules: ParserRules = LOCATION_VIEW) -> Column:
+def building_of(text: Column, department: Column, rules: ParserRules) -> Column:
     starts = lambda prefixes: F.left(text, F.lit(len(prefixes[0]))).isin(prefixes)
     tests = [
-        (part(text, 1).rlike(fixed.TOWER_PATTERN), fixed.TOWER),
+        (department.rlike(fixed.TOWER_PATTERN), fixed.TOWER),
         (starts(fixed.WMS_PREFIXES), fixed.WMS),
         *[(text.contains(name), name) for name in fixed.BUILDINGS_NAMED_IN_TEXT],
     ]
@@ -73,21 +79,12 @@ def building_of(text: Column, rules: ParserRules = LOCATION_VIEW) -> Column:
     return first_match(tests)
 
 
-def critical_care(text: Column, rules: ParserRules = LOCATION_VIEW) -> Column:
-    unit = part(text, 1).rlike(fixed.CRITICAL_CARE_PATTERN)
-    hidden = part(text, 2).rlike(fixed.HIDDEN_WARD_PATTERN)
-    return F.when(unit | hidden, True).otherwise(
-        F.lit(rules.critical_care_default).cast("boolean")
-    )
-
-
-def ed_zone_of(text: Column) -> Column:
+def ed_zone_of(text: Column, department: Column) -> Column:
     zone = first_match((text.contains(key), name) for key, name in fixed.ED_ZONES)
-    return F.when(part(text, 1) == fixed.EMERGENCY_DEPARTMENT, zone)
+    return F.when(department == fixed.EMERGENCY_DEPARTMENT, zone)
 
 
-def bed_type_of(text: Column) -> Column:
-    bed = part(text, 3)
+def bed_type_of(text: Column, bed: Column) -> Column:
     return first_match(
         [
             *[(bed.startswith(key), name) for key, name in fixed.BED_TYPE_PREFIXES],
