@@ -82,7 +82,7 @@ def _after_carry(
     name: str,
 ) -> DataFrame:
     within = (
-        Window.partitionBy(group, "_slot")
+        Window.partitionBy("_slot", group)
         .orderBy(F.desc("_carry"), *[ordering(c) for c in position])
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -163,7 +163,7 @@ def with_running_totals(
     stream = stream.repartition("_slot")
     for name, group in groups.items():
         # rows of the same instant are peers: the default frame includes them all
-        order = Window.partitionBy(group, "_slot").orderBy(
+        order = Window.partitionBy("_slot", group).orderBy(
             F.desc("_carry"), F.desc_nulls_first(ts)
         )
         stream = stream.withColumn(name, F.sum(f"_{name}").over(order))

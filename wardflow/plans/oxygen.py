@@ -25,32 +25,31 @@ READINGS = {
 }
 
 
-def oxygen_readings(t: EhrTables, as_of: AsOf, window: str) -> DataFrame:
-    """Flow, fraction and device per visit and instant of the window."""
+def oxygen_observations(t: EhrTables, as_of: AsOf, window: str) -> DataFrame:
+    """Flow, fraction and device observations of the window."""
     kinds = [kind for kind, _ in READINGS.values()]
-    recent = t.visit_observation.where(
+    return t.visit_observation.where(
         F.col("visit_observation_type_id").isin(kinds)
         & (F.col("observation_datetime") > ago(as_of, window))
     )
-    return pivot_observations(recent, READINGS)
 
 
-def located(t: EhrTables, readings: DataFrame) -> DataFrame:
-    """Readings with the location of the bed stay they fall into."""
+def located_readings(t: EhrTables, observations: DataFrame) -> DataFrame:
+    """One row per visit and instant with the location of the bed stay it falls into."""
+    readings = pivot_observations(observations, READINGS)
+    visits = observations.select("hospital_visit_id").distinct()
     stays = t.location_visit.select(
         "hospital_visit_id", "admission_time", "location_visit_id", "location_id"
     )
-    by_weight = split_heavy(stays, "hospital_visit_id", t.heavy_visits)
+    by_weight = split_heavy(stays, "hospital_visit_id", t.heavy_observed)
     # The history of patients without a reading is dropped before the merge.  Heavy
     # visits are few and known by name; for them this would only be a hot join key.
     concerned = Split(
-        by_weight.ordinary.join(
-            readings.select("hospital_visit_id"), "hospital_visit_id", "left_semi"
-        ),
+        by_weight.ordinary.join(visits, "hospital_visit_id", "left_semi"),
         by_weight.large,
     )
     return asof_join(
-        split_heavy(readings, "hospital_visit_id", t.heavy_visits),
+        split_heavy(readings, "hospital_visit_id", t.heavy_observed),
         concerned.each(lambda df: df.join(t.location, "location_id")),
         "hospital_visit_id",
         "observation_datetime",
@@ -65,7 +64,7 @@ def hourly_demand(t: EhrTables, as_of: AsOf, window: str) -> DataFrame:
     ward_prefix = capture(part(F.col("location_string"), 1), fixed.WARD_PREFIX_PATTERN)
     demand = oxygen_demand(F.col("o2_lmin"), F.col("o2_fi"), F.col("o2_device"))
     return (
-        located(t, oxygen_readings(t, as_of, window))
+        located_readings(t, oxygen_observations(t, as_of, window))
         .where(ward_prefix.isin(fixed.O2_WARD_PREFIXES))
         .groupBy(
             "hospital_visit_id",

@@ -37,8 +37,8 @@ def asof_location(t: EhrTables) -> DataFrame:
     )
     stays = t.location_visit.join(t.location, "location_id")
     return asof_join(
-        split_heavy(observations, "hospital_visit_id", t.heavy_visits),
-        split_heavy(stays, "hospital_visit_id", t.heavy_visits),
+        split_heavy(observations, "hospital_visit_id", t.heavy_observed),
+        split_heavy(stays, "hospital_visit_id", t.heavy_observed),
         "hospital_visit_id",
         "observation_datetime",
         "admission_time",

@@ -79,13 +79,18 @@ class EhrTables:
 
     @cached_property
     def heavy_visits(self) -> list[int]:
+        """Visits with very many bed stays."""
+        return self._heavy_in("location_visit")
+
+    @cached_property
+    def heavy_observed(self) -> list[int]:
         """Visits with very many bed stays or observations."""
-        by_table = [
-            heavy_keys(getattr(self, name), "hospital_visit_id", self.heavy_rows)
-            for name in ("location_visit", "visit_observation")
-            if self.rows(name) > self.heavy_rows
-        ]
-        return sorted({visit for visits in by_table for visit in visits})
+        return sorted({*self.heavy_visits, *self._heavy_in("visit_observation")})
+
+    def _heavy_in(self, name: str) -> list[int]:
+        if self.rows(name) <= self.heavy_rows:
+            return []
+        return sorted(heavy_keys(getattr(self, name), "hospital_visit_id", self.heavy_rows))
 
     @cached_property
     def slot(self) -> int:
