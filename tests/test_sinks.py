@@ -7,7 +7,7 @@ from pyspark.errors import AnalysisException
 from tests.compare import spark_rows
 from tests.random_ehr import load
 from wardflow.plans.catalog import PIPELINES, create_views, drop_views
-from wardflow.plans.snapshots import read_snapshot, write_snapshot
+from wardflow.plans.snapshots import read_snapshot, refresh_snapshot, write_snapshot
 from wardflow.sources.ehr import SCHEMAS, EhrTables
 from wardflow.sources.scratch import scratch_folder
 
@@ -39,6 +39,15 @@ def test_snapshot(spark, tables, tmp_path):
         assert spark_rows(read_snapshot(spark, path, df.schema)) == spark_rows(df)
 
 
+def test_refresh_is_repeatable(spark, tables, tmp_path):
+    df = PIPELINES["census_plus"](tables, AS_OF)
+    paths = {
+        refresh_snapshot(tables, "census_plus", str(tmp_path), AS_OF) for _ in range(2)
+    }
+    assert [p.rsplit("/", 2)[1:] for p in paths] == [["census_plus", "as_of=2024-01-31T000000"]]
+    assert spark_rows(read_snapshot(spark, paths.pop(), df.schema)) == spark_rows(df)
+
+
 def test_directory_and_database_sources(spark, tables, tmp_path):
     spark.sql(f"CREATE DATABASE older LOCATION '{tmp_path}/older'")
     try:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from wardflow.plans.catalog import PIPELINES
+from wardflow.sources.ehr import EhrTables
+
 
 def write_snapshot(df: DataFrame, path: str, partition_by: str = "ward") -> None:
     """Replace the snapshot at ``path``, one folder per ward.
@@ -24,3 +29,12 @@ def write_snapshot(df: DataFrame, path: str, partition_by: str = "ward") -> None
 def read_snapshot(spark: SparkSession, path: str, schema) -> DataFrame:
     """The snapshot with the column types it was written with."""
     return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
+def refresh_snapshot(
+    t: EhrTables, name: str, root: str, as_of: datetime | str, partition_by: str = "ward"
+) -> str:
+    """Rebuild one pipeline for a given time; running it again gives the same folder."""
+    path = f"{root.rstrip('/')}/{name}/as_of={str(as_of).replace(' ', 'T').replace(':', '')}"
+    write_snapshot(PIPELINES[name](t, as_of), path, partition_by)
+    return path
