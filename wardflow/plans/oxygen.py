@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from wardflow.functions import fixed_values as fixed
-from wardflow.functions.oxygen import oxygen_demand
+from wardflow.functions.oxygen import device_flow, oxygen_demand
 from wardflow.functions.text import capture, capture_int, part
 from wardflow.functions.times import ago, hour_floor
 from wardflow.operators.asof import asof_join
@@ -23,6 +23,8 @@ READINGS = {
     "o2_fi": (fixed.O2_FRACTION_TYPE, "value_as_real"),
     "o2_device": (fixed.O2_DEVICE_TYPE, "value_as_text"),
 }
+# the demand needs the rate of the device only: a number keeps the fold hashed and small
+RATES = {**READINGS, "o2_device": (fixed.O2_DEVICE_TYPE, "device_flow")}
 
 
 def oxygen_observations(t: EhrTables, as_of: AsOf, window: str) -> DataFrame:
@@ -36,7 +38,8 @@ def oxygen_observations(t: EhrTables, as_of: AsOf, window: str) -> DataFrame:
 
 def located_readings(t: EhrTables, observations: DataFrame) -> DataFrame:
     """One row per visit and instant with the location of the bed stay it falls into."""
-    readings = pivot_observations(observations, READINGS)
+    rated = observations.withColumn("device_flow", device_flow(F.col("value_as_text")))
+    readings = pivot_observations(rated, RATES)
     visits = observations.select("hospital_visit_id").distinct()
     stays = t.location_visit.select(
         "hospital_visit_id", "admission_time", "location_visit_id", "location_id"
