@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+from wardflow.functions import fixed_values as fixed
 from wardflow.sources.ehr import SCHEMAS, EhrTables
 
 NOW = dt.datetime(2024, 1, 31)
@@ -138,10 +139,10 @@ def tables(seed):
             (code, name, "shown", "short", None, None, None, None, None, None)
             for code, name in [
                 ("3040109304", "R OXYGEN DELIVERY METHOD"),
-                ("301550", "R UCLH NIV DEVICE"),
+                ("301550", fixed.NIV_FLOWSHEET_ROWS[1]),
                 ("10", "PULSE OXIMETRY"),
                 ("10", "PULSE OXIMETRY AGAIN"),
-                (None, "R UCLH NIV DEVICE"),
+                (None, fixed.NIV_FLOWSHEET_ROWS[1]),
             ]
         ],
         "visit_observation": [
