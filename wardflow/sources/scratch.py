@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import hashlib
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,18 +15,33 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 def scratch_folder(spark: SparkSession) -> str:
     """A folder of this application below ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder; on a
-    cluster the executors would not see it.
+    Without that setting it lies below the warehouse, which all executors share too.
+    The folder is removed when the driver's Python ends.
     """
     folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(
         CHECKPOINT_DIR
     )
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="wardflow-")
-        spark.conf.set(CHECKPOINT_DIR, folder)
-    return f"{folder.rstrip('/')}/wardflow-{spark.sparkContext.applicationId}"
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    path = f"{folder.rstrip('/')}/wardflow-{spark.sparkContext.applicationId}"
+    if path not in _folders:
+        _folders.add(path)
+        atexit.register(_remove, spark.sparkContext, path)
+    return path
+
+
+def _remove(context, path: str) -> None:
+    """Nothing is left to report to at this point, so failures are passed over."""
+    with contextlib.suppress(Exception):
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jvm.org.apache.hadoop.conf.Configuration()).delete(folder, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as parquet to a new scratch folder, then read: cuts the lineage."""
+    path = f"{scratch_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def written_once(spark: SparkSession, name: str, origin: str, build) -> DataFrame:
@@ -38,3 +55,4 @@ def written_once(spark: SparkSession, name: str, origin: str, build) -> DataFram
 
 
 _written: set[str] = set()
+_folders: set[str] = set()
