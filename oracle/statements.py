@@ -534,6 +534,11 @@ def statements(bridged: bool = True) -> dict[str, str]:
             "SELECT count(*) AS n FROM moves",
             **census_steps(CARE_RULES, "12 MONTH"),
         ),
+        "row_counts_plus": statement(
+            CENSUS_TABLES,
+            f"SELECT count(*) AS n FROM ({CENSUS_PLUS})",
+            **census_steps(PLUS_RULES, "3 MONTH"),
+        ),
         "newest_rows": statement(
             "visit_observation",
             """SELECT visit_observation_id, observation_datetime FROM visit_observation
@@ -541,4 +546,5 @@ def statements(bridged: bool = True) -> dict[str, str]:
         ),
     }
     registered["snapshot"] = registered["occupancy"]
+    registered["view_stack"] = registered["cc_filter"]
     return registered

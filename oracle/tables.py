@@ -17,11 +17,11 @@ NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 
 LOCATION_VISIT = """
     SELECT event_id AS location_visit_id, user_id AS hospital_visit_id,
-           CAST(CASE WHEN event_id % 3 = 0 THEN user_id * 7 % 64
-                     ELSE event_id * 5 % 64 END AS BIGINT) AS location_id,
+           CAST(CASE WHEN event_id % 3 = 0 THEN user_id * 7 ELSE event_id * 5 END
+                % (SELECT count(*) FROM part) AS BIGINT) AS location_id,
            ts AS admission_time,
            lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS discharge_time
-    FROM events WHERE event_type IN ('view', 'click')"""
+    FROM events"""
 
 
 def table(name: str) -> str:

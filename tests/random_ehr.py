@@ -198,15 +198,15 @@ def tables(seed):
     return rows
 
 
-def load(spark, duck, seed, heavy_rows):
+def load(spark, duck, seed):
     """The same rows as Spark tables and in a DuckDB connection."""
-    return from_rows(spark, duck, tables(seed), heavy_rows)
+    return from_rows(spark, duck, tables(seed))
 
 
-def from_rows(spark, duck, rows_by_table, heavy_rows):
+def from_rows(spark, duck, rows_by_table):
     frames = {}
     for name, schema in SCHEMAS.items():
         frames[name] = spark.createDataFrame(rows_by_table.get(name, []), schema)
         duck.register(f"arrow_{name}", frames[name].toArrow())
         duck.execute(f"CREATE TABLE {name} AS SELECT * FROM arrow_{name}")
-    return EhrTables.from_frames(spark, frames, heavy_rows=heavy_rows)
+    return EhrTables.from_frames(spark, frames)

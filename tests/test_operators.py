@@ -7,16 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import spark_rows
-from wardflow.operators.asof import asof_by_running, asof_by_window
+from wardflow.operators.asof import asof_join
+from wardflow.operators.joins import null_safe_join
 from wardflow.operators.locf import hold_until_next, hour_grid, last_known
-from wardflow.operators.neighbours import (
-    with_neighbours,
-    with_neighbours_in_segments,
-    with_position,
-)
+from wardflow.operators.neighbours import with_neighbours
 from wardflow.operators.observations import pivot_observations
 from wardflow.operators.prefix import running_total, with_running_totals
-from wardflow.operators.skew import heavy_keys, null_safe_join, split_heavy
 from wardflow.plans.census import death_stays
 from wardflow.plans.oxygen import READINGS
 
@@ -47,16 +43,13 @@ def brute_total(rows):
     ]
 
 
-@pytest.mark.parametrize("slot", [1, 60])
-@pytest.mark.parametrize("heavy", ["none", "all", "some"])
-def test_running_totals(spark, slot, heavy):
+@pytest.mark.parametrize("slot", [1, 15, 60, 100_000])
+def test_running_totals(spark, slot):
     rows = moves(slot)
     df = spark.createDataFrame(rows, "g string, ts timestamp_ntz, v int")
     expected = brute_total(rows)
     single = running_total(df, "g", "ts", F.col("v"), slot=slot)
     assert {tuple(r) for r in single.collect()} == set(expected)
-    slots = [2**62, *range(28401120 - 60, 28401120 + 9100)]
-    listed = {"all": slots, "some": slots[::60]}.get(heavy, [])
     both = with_running_totals(
         df.withColumn("h", F.lit(1)),
         df.withColumn("h", F.lit(1)),
@@ -64,7 +57,6 @@ def test_running_totals(spark, slot, heavy):
         "v",
         {"by_g": "g", "by_h": "h"},
         slot=slot,
-        heavy_slots=listed,
     )
     assert sorted(
         ((r.g, r.ts, r.by_g) for r in both.collect()), key=str
@@ -86,22 +78,24 @@ STAY = "id long, k long, ts timestamp_ntz, place long"
 SHIFTS = {"a": ("place", 1), "b": ("place", -1), "c": ("place", 2), "d": ("place", -2)}
 
 
-@pytest.mark.parametrize("segment_rows", [1, 2, 3, 7, 10_000])
-def test_segments_equal_one_window(spark, segment_rows):
-    df = spark.createDataFrame(stays(1), STAY)
-    one = with_neighbours(df, "k", "ts", "id", SHIFTS)
-    many = with_neighbours_in_segments(df, "k", "ts", "id", SHIFTS, segment_rows)
-    assert spark_rows(one) == spark_rows(many)
+def brute_neighbours(rows):
+    """Lag and lead by hand, rows of a key in order of time (none last) and id."""
+    out = []
+    for key in {s[1] for s in rows}:
+        own = sorted((s for s in rows if s[1] == key), key=lambda s: (s[2] is None, s[2] or T0, s[0]))
+        place = lambda i: own[i][3] if 0 <= i < len(own) else None
+        out += [(*s, place(i - 1), place(i + 1), place(i - 2), place(i + 2)) for i, s in enumerate(own)]
+    return out
 
 
-def test_positions(spark):
-    rows = stays(2)
-    df = spark.createDataFrame(rows, STAY)
-    order = sorted(rows, key=lambda s: (s[1], s[2] is None, s[2] or T0, s[0]))
-    first = {}
-    expected = {s[0]: i - first.setdefault(s[1], i) for i, s in enumerate(order)}
-    found = {r.id: r._position for r in with_position(df, "k", "ts", "id", block=50).collect()}
-    assert found == expected
+@pytest.mark.parametrize("slot, block", [(1, 1), (7, 1000), (15, 200_000), (60, 10**6), (100_000, 10**7)])
+@pytest.mark.parametrize("keys", [[7, 7, 8, 9, None], [None], list(range(200))])
+def test_neighbours_across_cells(spark, slot, block, keys):
+    r = random.Random(slot)
+    rows = [(i, r.choice(keys), t, p) for i, _, t, p in stays(slot)]
+    found = with_neighbours(spark.createDataFrame(rows, STAY), "k", "ts", "id", SHIFTS, slot, block)
+    key = lambda row: (row[0], str(row))
+    assert sorted((tuple(x) for x in found.collect()), key=key) == sorted(brute_neighbours(rows), key=key)
 
 
 def test_single_stay_has_no_neighbours(spark):
@@ -110,39 +104,38 @@ def test_single_stay_has_no_neighbours(spark):
     assert (row.a, row.b, row.c, row.d) == (None, None, None, None)
 
 
-@pytest.mark.parametrize("join", [asof_by_window, asof_by_running])
-def test_asof(spark, join):
-    states = [(1, at(10), 1, "x"), (1, at(20), 3, "tie"), (1, at(20), 2, "y"), (2, at(5), 4, "z")]
-    times = [(1, 9), (1, 10), (1, 19), (1, 20), (1, 99), (2, 5), (3, 1)]
+ASOF = dict(key="k", event_time="t", state_time="since", state_id="s", payload=["p"])
+
+
+@pytest.mark.parametrize("slot", [1, 15, 1000])
+def test_asof(spark, slot):
+    states = [(1, at(10), 1, "x"), (1, at(20), 3, "tie"), (1, at(20), 2, "y"), (2, at(5), 4, "z"), (None, at(1), 5, "n"), (1, None, 6, "m")]
+    times = [(1, 9), (1, 10), (1, 19), (1, 20), (1, 99), (2, 5), (3, 1), (None, 7), (1, None)]
     events = [(i, k, at(m)) for i, (k, m) in enumerate(times)]
-    found = join(
+    found = asof_join(
         spark.createDataFrame(events, "e long, k long, t timestamp_ntz"),
         spark.createDataFrame(states, "k long, since timestamp_ntz, s long, p string"),
-        key="k",
-        event_time="t",
-        state_time="since",
-        state_id="s",
-        payload=["p"],
+        **ASOF,
+        slot=slot,
     )
     expected = {(1, "x"), (2, "x"), (3, "tie"), (4, "tie"), (5, "z")}
     assert {(r.e, r.p) for r in found.collect()} == expected
 
 
-def test_asof_forms_agree_on_a_hot_key(spark):
+@pytest.mark.parametrize("slot", [1, 15, 240])
+def test_asof_on_a_hot_key(spark, slot):
     r = random.Random(5)
-    states = [(r.choice([1, 1, 2]), at(r.randrange(900)), i, f"p{i}") for i in range(150)]
+    states = [(r.choice([1, 1, 2]), at(r.randrange(900)), i, r.choice([None, f"p{i}"])) for i in range(150)]
     events = [(i, r.choice([1, 1, 2]), at(r.randrange(900))) for i in range(300)]
-    args = dict(key="k", event_time="t", state_time="since", state_id="s", payload=["p"])
     left = spark.createDataFrame(events, "e long, k long, t timestamp_ntz")
     right = spark.createDataFrame(states, "k long, since timestamp_ntz, s long, p string")
-    window = {(x.e, x.p) for x in asof_by_window(left, right, **args).collect()}
-    running = {(x.e, x.p) for x in asof_by_running(left, right, **args).collect()}
+    found = {(x.e, x.p) for x in asof_join(left, right, **ASOF, slot=slot).collect()}
     brute = set()
     for e, k, t in events:
         earlier = [(s[1], s[2], s[3]) for s in states if s[0] == k and s[1] <= t]
         if earlier:
-            brute.add((e, max(earlier)[2]))
-    assert window == running == brute
+            brute.add((e, max(earlier, key=lambda s: s[:2])[2]))
+    assert found == brute
 
 
 def test_pivot_takes_the_last_reading(spark):
@@ -205,15 +198,6 @@ def test_death_stay(spark):
     assert found == {2, 4, 6, 9}
 
 
-def test_heavy_keys(spark):
-    rows = [(1,)] * 5 + [(2,)] * 9 + [(None,)] * 20 + [(3,)]
-    df = spark.createDataFrame(rows, "k long")
-    assert heavy_keys(df, "k", 4) == [2, 1]
-    split = split_heavy(df, "k", [1, 2])
-    assert (split.ordinary.count(), split.large.count()) == (21, 14)
-    assert split_heavy(df, "k", []).large is None
-
-
 def test_null_safe_join(spark):
     left = spark.createDataFrame([(None, 1), ("", 2), ("a", 3)], "k string, x int")
     right = spark.createDataFrame([(None, 10), ("a", 30)], "k string, y int")

@@ -6,8 +6,9 @@ import __spark_entry__ as contract
 from tests.compare import assert_same, multiset, spark_rows
 from tests.conftest import data_dir
 
-QUERIES = contract.queries()
-ORACLE = contract.oracle_sql()
+NAMES = set(contract._on_tables())
+QUERIES = {name: query for name, query in contract.queries().items() if name in NAMES}
+ORACLE = {name: sql for name, sql in contract.oracle_sql().items() if name in NAMES}
 KINDS = {
     "bigint": "BIGINT",
     "int": "INTEGER",

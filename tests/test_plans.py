@@ -11,14 +11,14 @@ from wardflow.sources.ehr import SCHEMAS, EhrTables
 
 AS_OF = "2024-01-31 00:00:00"
 # a single number and a top-k end in one task
-ONE_ROW = {"row_counts"}
+ONE_ROW = {"row_counts", "row_counts_plus"}
 
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(contract._on_tables()))
 def test_no_cross_join_and_no_single_task(spark, name):
     plan = plan_of(contract.queries()[name](spark, data_dir("0.001")))
     assert "BroadcastNestedLoopJoin" not in plan
@@ -70,11 +70,17 @@ def test_columns_are_pruned(spark, stored):
     assert any(s == "hospital_visit_id:bigint,location_id:bigint" for s in schemas)
 
 
-def test_census_shuffles_wide_rows_twice(spark, stored):
-    """Once by visit, once by time slot; every other exchange is narrow."""
-    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+@pytest.mark.parametrize("name", ["asof_join", "lag_lead", "oxygen", "census_plus", "census_cc", "occupancy", "running_census"])
+def test_one_path_for_every_key(spark, stored, name):
+    """No job runs before the plan is there, and no list of keys is part of it."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", name)
     try:
-        plan = plan_of(PIPELINES["census_cc"](stored, AS_OF))
+        plan = plan_of(contract._on_tables()[name](stored))
+        assert not tracker.getJobIdsForGroup("planning")
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
-    assert len(re.findall(r"Exchange hashpartitioning\(_slot", plan)) == 1
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    lists = re.findall(r"hospital_visit_id#\d+L? (?:IN|INSET) ", plan)
+    assert not lists
+    # ordered work on visits and wards is cut by time slot
+    assert re.search(r"Exchange hashpartitioning\([^\n]*_slot", plan)

@@ -1,4 +1,4 @@
-"""Every query on awkward rows; with a low limit, most visits count as heavy."""
+"""Every query on awkward rows."""
 
 import duckdb
 import pytest
@@ -22,11 +22,10 @@ BUILDERS = contract._on_tables()
 STATEMENTS = statements(bridged=False)
 
 
-@pytest.mark.parametrize("seed, heavy_rows", [(1, 10**9), (2, 2), (3, 5), (4, 20)])
-def test_all_queries(spark, seed, heavy_rows):
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_all_queries(spark, seed):
     duck = duckdb.connect()
-    t = load(spark, duck, seed, heavy_rows)
-    assert bool(t.heavy_visits) == (heavy_rows < 10**9)
+    t = load(spark, duck, seed)
     problems, empty = [], []
     for name, build in BUILDERS.items():
         result = duck.execute(STATEMENTS[name])

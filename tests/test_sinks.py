@@ -16,7 +16,7 @@ AS_OF = "2024-01-31 00:00:00"
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    return load(spark, duckdb.connect(), 11, 10**9)
+    return load(spark, duckdb.connect(), 11)
 
 
 def test_views(spark, tables):

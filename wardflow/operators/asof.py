@@ -4,98 +4,57 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from wardflow.operators.prefix import running_latest
-from wardflow.operators.skew import Split
+from wardflow.functions.times import SLOT_MINUTES, time_slot
 
 
 def asof_join(
-    events: Split,
-    states: Split,
+    events: DataFrame,
+    states: DataFrame,
     key: str,
     event_time: str,
     state_time: str,
     state_id: str,
     payload: list[str],
+    slot: int = SLOT_MINUTES,
 ) -> DataFrame:
     """Events with ``payload`` of their state; events without a state are dropped.
 
-    States with the same time are told apart by the larger ``state_id``.  The
-    end of a state is not looked at.  Both sides are split by the same heavy keys.
+    States with the same time are told apart by the larger ``state_id``; the end of a state is not
+    looked at.  Both sides are merged in time order and the state is carried forward, in windows
+    by key and time slot, so that a key may hold any share of the rows.  The last state of every
+    slot is folded with map-side combine; running over a key's slots gives the state that each slot
+    begins with, which takes part as one more row.
     """
-    events = events.each(lambda df: df.dropna(subset=[key, event_time]))
-    states = states.each(lambda df: df.dropna(subset=[key, state_time]))
-    names = dict(
-        key=key,
-        event_time=event_time,
-        state_time=state_time,
-        state_id=state_id,
-        payload=payload,
+    events = events.dropna(subset=[key, event_time])
+    states = states.dropna(subset=[key, state_time])
+    state = F.struct(F.col(state_time).alias("_since"), F.col(state_id).alias("_id"), *payload)
+    known = states.select(
+        key, time_slot(F.col(state_time), slot).alias("_slot"), F.col(state_time).alias("_t"), state.alias("_state")
     )
-    ordinary = asof_by_window(events.ordinary, states.ordinary, **names)
-    if events.large is None or states.large is None:
-        return ordinary
-    return ordinary.unionByName(asof_by_running(events.large, states.large, **names))
-
-
-def asof_by_window(
-    events: DataFrame,
-    states: DataFrame,
-    *,
-    key: str,
-    event_time: str,
-    state_time: str,
-    state_id: str,
-    payload: list[str],
-) -> DataFrame:
-    """Merge both sides in time order and carry the state forward: one shuffle."""
-    state = F.struct(F.col(state_id).alias("_id"), *payload)
-    merged = events.withColumns(
-        {"_t": F.col(event_time), "_is_event": F.lit(1)}
-    ).unionByName(
-        states.select(
-            key, F.col(state_time).alias("_t"), F.lit(0).alias("_is_event"), state.alias("_state")
-        ),
-        allowMissingColumns=True,
+    asked = events.withColumns({"_slot": time_slot(F.col(event_time), slot), "_t": F.col(event_time)})
+    by_slot = (
+        known.select(key, "_slot", "_state")
+        .unionByName(asked.select(key, "_slot"), allowMissingColumns=True)
+        .groupBy(key, "_slot")
+        .agg(F.max("_state").alias("_state"))
+    )
+    earlier = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = by_slot.select(
+        key, "_slot", F.last("_state", ignorenulls=True).over(earlier).alias("_state")
+    ).where(F.col("_state").isNotNull())
+    # at one time the state carried in comes first, then states, then events
+    merged = (
+        asked.withColumn("_kind", F.lit(2))
+        .unionByName(known.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+        .unionByName(carried.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
     )
     order = (
-        Window.partitionBy(key)
-        .orderBy("_t", "_is_event", "_state._id")
+        Window.partitionBy(key, "_slot")
+        .orderBy(F.asc_nulls_first("_t"), "_kind", "_state._id")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
         merged.withColumn("_state", F.last("_state", ignorenulls=True).over(order))
-        .where((F.col("_is_event") == 1) & F.col("_state").isNotNull())
-        .select(*events.columns, *[F.col(f"_state.{c}").alias(c) for c in payload])
-    )
-
-
-def asof_by_running(
-    events: DataFrame,
-    states: DataFrame,
-    *,
-    key: str,
-    event_time: str,
-    state_time: str,
-    state_id: str,
-    payload: list[str],
-) -> DataFrame:
-    """Same result for keys of any size: the latest state as a running maximum."""
-    state = F.struct(
-        F.col(state_time).alias("_since"), F.col(state_id).alias("_id"), *payload
-    )
-    instants = (
-        events.select(key, F.col(event_time).alias("_t"))
-        .distinct()
-        .unionByName(
-            states.select(key, F.col(state_time).alias("_t"), state.alias("_state")),
-            allowMissingColumns=True,
-        )
-    )
-    latest = running_latest(instants, key, "_t", F.col("_state"), name="_state")
-    return (
-        events.join(
-            latest.withColumnRenamed("_t", event_time), [key, event_time], "inner"
-        )
-        .where(F.col("_state").isNotNull())
+        .where((F.col("_kind") == 2) & F.col("_state").isNotNull())
         .select(*events.columns, *[F.col(f"_state.{c}").alias(c) for c in payload])
     )

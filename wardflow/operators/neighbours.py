@@ -1,131 +1,71 @@
-"""Previous and next rows of the same key, in time order."""
+"""Previous and next rows of the same key, in time order.
+
+A key may hold any share of the rows (a placeholder visit, or all rows without one), so a
+window over a key isn't one task's work.  Every key is cut into cells: a time slot, and for
+rows without a time a block of ids.  Cells of a key follow one another in the order of its rows.  A
+window by cell answers all shifts that stay inside it.  Only the outermost rows of a cell reach into
+others, and all rows they reach are outermost rows too; so a second window by key, over the
+outermost rows alone, answers the rest.  That window grows with the calendar and not with the rows.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wardflow.operators.prefix import running_total
-from wardflow.operators.skew import HEAVY_ROWS, Split, null_safe_join, split_heavy
+from wardflow.functions.times import SLOT_MINUTES, time_slot
 
 # name of the new column -> (column, rows back; negative means rows ahead)
 Shifts = Mapping[str, tuple[str, int]]
 
-# ids per block when rows of one instant are numbered
+# ids per cell of the rows without a time, which are ordered by id alone
 BLOCK_IDS = 1_000_000
 
 
-def with_neighbours(
-    df: DataFrame, key: str, ts: str, row_id: str, shifts: Shifts
-) -> DataFrame:
-    """Add shifted columns; all of them share one shuffle and one sort by ``key``."""
-    order = Window.partitionBy(key).orderBy(F.asc_nulls_last(ts), F.asc(row_id))
-    return df.withColumns(_shifted(shifts, order))
+def _shifted(name: str, source: str, offset: int, order) -> Column:
+    return (F.lag(source, offset) if offset > 0 else F.lead(source, -offset)).over(order)
 
 
-def with_neighbours_in_segments(
+def with_neighbours(
     df: DataFrame,
     key: str,
     ts: str,
     row_id: str,
     shifts: Shifts,
-    segment_rows: int = HEAVY_ROWS,
+    slot: int = SLOT_MINUTES,
+    block: int = BLOCK_IDS,
 ) -> DataFrame:
-    """Same result for keys of any size.
+    """Add shifted columns in the order of (``ts``, ``row_id``), rows without a time last.
 
-    Rows get their position within the key, positions are cut into segments of
-    equal size, and the outermost rows of a segment are lent to the segment
-    next to it, so that every shift is answered inside one segment.
+    Rows with a NULL key are one key.  A cell holds the rows that one key has in ``slot``
+    minutes, or without a time in ``block`` consecutive ids.
     """
     reach = max(abs(offset) for _, offset in shifts.values())
-    segment_rows = max(segment_rows, reach)
-    position = F.col("_position")
-    segment = F.floor(position / segment_rows)
-    place = position % segment_rows
-    lent_to = F.array_compact(
-        F.array(
-            segment,
-            F.when((place < reach) & (segment > 0), segment - 1),
-            F.when(place >= segment_rows - reach, segment + 1),
-        )
-    )
-    order = Window.partitionBy(key, "_segment").orderBy("_position")
-    return (
-        with_position(df, key, ts, row_id)
-        .withColumn("_home", segment)
-        .withColumn("_segment", F.explode(lent_to))
-        .withColumns(_shifted(shifts, order))
-        .where(F.col("_home") == F.col("_segment"))
-        .drop("_position", "_home", "_segment")
-    )
-
-
-def with_position(
-    df: DataFrame, key: str, ts: str, row_id: str, block: int = BLOCK_IDS
-) -> DataFrame:
-    """0-based ``_position`` in order of (ts, row_id) within the key.
-
-    ``row_id`` is unique, so an instant cut into blocks of ``block`` ids has at
-    most that many rows per block, even if all rows of the key share the instant.
-    """
-    blocked = df.withColumn("_block", F.floor(F.col(row_id) / block))
-    cell = [key, ts, "_block"]
-    counted = blocked.groupBy(*cell).agg(F.count("*").alias("_rows"))
-    upto = running_total(
-        counted,
-        key,
-        ts,
-        F.col("_rows"),
-        ordering=F.asc_nulls_last,
-        then_by=("_block",),
-        name="_upto",
-    )
-    starts = null_safe_join(counted, upto, cell, "inner").select(
-        *cell, (F.col("_upto") - F.col("_rows")).alias("_start")
-    )
-    in_cell = Window.partitionBy(*cell).orderBy(row_id)
-    placed = null_safe_join(blocked, starts, cell, "inner")
-    number = F.row_number().over(in_cell)
-    return placed.withColumn("_position", F.col("_start") + number - 1).drop(
-        "_block", "_start"
-    )
-
-
-def neighbours(
-    df: DataFrame,
-    key: str,
-    ts: str,
-    row_id: str,
-    shifts: Shifts,
-    heavy: Sequence[int],
-    segment_rows: int = HEAVY_ROWS,
-) -> DataFrame:
-    """Shifted columns, with heavy keys worked on in segments."""
-    return split_neighbours(
-        split_heavy(df, key, heavy), key, ts, row_id, shifts, segment_rows
-    )
-
-
-def split_neighbours(
-    rows: Split,
-    key: str,
-    ts: str,
-    row_id: str,
-    shifts: Shifts,
-    segment_rows: int = HEAVY_ROWS,
-) -> DataFrame:
-    """The same for rows that are split already."""
-    ordinary = with_neighbours(rows.ordinary, key, ts, row_id, shifts)
-    if rows.large is None:
-        return ordinary
-    return ordinary.unionByName(
-        with_neighbours_in_segments(rows.large, key, ts, row_id, shifts, segment_rows)
+    cells = df.withColumns(
+        {
+            "_slot": time_slot(F.col(ts), slot),
+            "_block": F.when(F.col(ts).isNull(), F.floor(F.col(row_id) / block)),
+        }
     )
-
-
-def _shifted(shifts: Shifts, order) -> dict[str, Column]:
-    return {
-        name: (F.lag(c, offset) if offset > 0 else F.lead(c, -offset)).over(order)
-        for name, (c, offset) in shifts.items()
-    }
+    inside = Window.partitionBy(key, "_slot", "_block")
+    forward = inside.orderBy(F.asc_nulls_last(ts), F.asc(row_id))
+    # the rows up to the end of the cell, without a second sort in the other direction
+    size = F.count(F.lit(1)).over(inside)
+    placed = cells.withColumns(
+        {
+            "_after": F.row_number().over(forward) - 1,
+            "_size": size,
+            **{name: _shifted(name, *shift, forward) for name, shift in shifts.items()},
+        }
+    ).withColumn("_before", F.col("_size") - F.col("_after") - 1)
+    is_outer = (F.col("_after") < reach) | (F.col("_before") < reach)
+    whole = Window.partitionBy(key).orderBy(F.asc_nulls_last(ts), F.asc(row_id))
+    outer = placed.where(is_outer)
+    for name, (source, offset) in shifts.items():
+        room = F.col("_after") >= offset if offset > 0 else F.col("_before") >= -offset
+        far = _shifted(name, source, offset, whole)
+        outer = outer.withColumn(f"_far_{name}", F.when(room, F.col(name)).otherwise(far))
+    columns = [*df.columns, *shifts]
+    merged = outer.select(*df.columns, *[F.col(f"_far_{name}").alias(name) for name in shifts])
+    return placed.where(~is_outer).select(*columns).unionByName(merged)

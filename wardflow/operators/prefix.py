@@ -1,125 +1,63 @@
-"""Running totals over few, large groups.
+"""Running totals over few, large groups, newest first.
 
-A window partitioned by ward (or by "critical care yes/no") is one task per
-group.  Here the calendar is cut into slots.  The total of every slot is folded
-with map-side combine; running over the slots of a group gives the carry into
-each slot; the carry then takes part as one more row, ahead of the others, in a
-window partitioned by group and slot.
+A window partitioned by ward (or by "critical care yes/no") is one task per group.  Here the
+calendar is cut into slots of a fixed length.  The total of every slot is folded with map-side
+combine; running over the slots of a group gives the carry into each slot; the carry then takes
+part as one more row, ahead of the others, in a window partitioned by group and slot.
 
-An open (NULL) time is later than all others, in either direction.
+An open (NULL) time is later than all others.  The rows without a time are peers, so their running
+sum is one number per group; they are taken apart for that and never meet in a window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wardflow.functions.times import time_slot
-from wardflow.operators.skew import is_listed, null_safe_join
-
-Fold = Callable[[Column | str], Column]
-Ordering = Callable[[Column | str], Column]
-
-# One minute has at most 60 million instants, a century 53 million minutes: neither
-# outgrows a task.  Few rows are better served by longer slots, because then the
-# slots are far fewer than the rows.
-FINE_SLOT, COARSE_SLOT = 1, 60
-FEW_ROWS = 50_000_000
-
+from wardflow.functions.times import SLOT_MINUTES, time_slot
+from wardflow.operators.joins import null_safe_join
 
-def slot_minutes(rows: int) -> int:
-    return COARSE_SLOT if rows <= FEW_ROWS else FINE_SLOT
 
+def slot_carries(rows: DataFrame, group: str) -> DataFrame:
+    """(group, _slot, _value): the sum of all ``_value`` in later slots, open times among them.
 
-def slot_carries(rows: DataFrame, group: str, fold: Fold, ordering: Ordering) -> DataFrame:
-    """(group, _slot, _value): the fold of all ``_value`` in earlier slots of the group."""
-    earlier = (
+    The row of the NULL slot holds the sum of the open times themselves.  The window has a row for
+    each slot of a group: it grows with the calendar.
+    """
+    later = (
         Window.partitionBy(group)
-        .orderBy(ordering("_slot"))
+        .orderBy(F.desc_nulls_first("_slot"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    totals = rows.groupBy(group, "_slot").agg(fold("_value").alias("_total"))
-    return totals.select(
-        group, "_slot", fold("_total").over(earlier).alias("_value"), F.lit(True).alias("_carry")
-    )
+    totals = rows.groupBy(group, "_slot").agg(F.sum("_value").alias("_total"))
+    carried = F.when(F.col("_slot").isNull(), F.col("_total")).otherwise(F.sum("_total").over(later))
+    return totals.select(group, "_slot", carried.alias("_value"), F.lit(True).alias("_carry"))
 
 
-def running_fold(
-    df: DataFrame,
-    group: str,
-    ts: str,
-    value: Column,
-    *,
-    fold: Fold,
-    ordering: Ordering,
-    then_by: tuple[str, ...] = (),
-    name: str = "running",
-    slot: int = FINE_SLOT,
+def running_total(
+    df: DataFrame, group: str, ts: str, value: Column, name: str = "running", slot: int = SLOT_MINUTES
 ) -> DataFrame:
-    """One row per (group, ts, then_by) with the fold of everything up to it.
+    """One row per (group, ts) with the sum of all values at or after it.
 
-    Rows with the same position are folded before anything is shuffled, so no
-    window sees more than the distinct positions of a slot, however many rows
-    share a group, a slot or a position.
+    Rows of the same instant are folded before anything is shuffled, so no window sees more than
+    the distinct instants of a slot.
     """
-    position = [ts, *then_by]
-    slotted = df.select(
-        group, time_slot(F.col(ts), slot).alias("_slot"), *position, value.alias("_value")
-    )
-    cells = slotted.groupBy(group, "_slot", *position).agg(fold("_value").alias("_value"))
-    carries = slot_carries(cells, group, fold, ordering)
-    return _after_carry(cells, carries, group, position, fold, ordering, name)
-
-
-def _after_carry(
-    cells: DataFrame,
-    carries: DataFrame,
-    group: str,
-    position: list[str],
-    fold: Fold,
-    ordering: Ordering,
-    name: str,
-) -> DataFrame:
+    slotted = df.select(group, time_slot(F.col(ts), slot).alias("_slot"), ts, value.alias("_value"))
+    cells = slotted.groupBy(group, "_slot", ts).agg(F.sum("_value").alias("_value"))
+    carries = slot_carries(cells, group)
     within = (
         Window.partitionBy("_slot", group)
-        .orderBy(F.desc("_carry"), *[ordering(c) for c in position])
+        .orderBy(F.desc("_carry"), F.desc(ts))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    rows = cells.withColumn("_carry", F.lit(False)).unionByName(
-        carries, allowMissingColumns=True
-    )
-    return (
-        rows.withColumn(name, fold("_value").over(within))
+    dated = cells.where(F.col(ts).isNotNull()).withColumn("_carry", F.lit(False))
+    summed = (
+        dated.unionByName(carries.where(F.col("_slot").isNotNull()), allowMissingColumns=True)
+        .withColumn(name, F.sum("_value").over(within))
         .where(~F.col("_carry"))
-        .select(group, *position, name)
-    )
-
-
-def running_total(
-    df: DataFrame,
-    group: str,
-    ts: str,
-    value: Column,
-    *,
-    ordering: Ordering = F.desc_nulls_first,
-    then_by: tuple[str, ...] = (),
-    name: str = "running",
-    slot: int = FINE_SLOT,
-) -> DataFrame:
-    """Running sum, newest first and open (NULL) instants before all others."""
-    return running_fold(
-        df, group, ts, value, fold=F.sum, ordering=ordering, then_by=then_by, name=name, slot=slot
-    )
-
-
-def running_latest(
-    df: DataFrame, group: str, ts: str, value: Column, *, name: str = "running"
-) -> DataFrame:
-    """Latest non-NULL ``value`` (an orderable struct that grows with ``ts``)."""
-    return running_fold(
-        df, group, ts, value, fold=F.max, ordering=F.asc_nulls_last, name=name
+        .select(group, ts, name)
     )
+    open_ = cells.where(F.col(ts).isNull()).select(group, ts, F.col("_value").alias(name))
+    return summed.unionByName(open_)
 
 
 def with_running_totals(
@@ -128,58 +66,37 @@ def with_running_totals(
     ts: str,
     value: str,
     groups: dict[str, str],
-    *,
-    slot: int,
-    heavy_slots: Sequence[int],
+    slot: int = SLOT_MINUTES,
 ) -> DataFrame:
     """Add running sums of ``value``, newest first, to wide rows.
 
-    ``groups`` maps each new column to the column it is partitioned by.  ``moves``
-    holds the same (groups, ts, value) as ``rows`` from a cheaper source.  The wide
-    rows are shuffled once, by slot, for all sums together.  Slots with too many
-    rows for a task are summed per instant instead and joined to their rows.
+    ``groups`` maps each new column to the column it is partitioned by.  ``moves`` holds the same
+    (groups, ts, value) as ``rows`` from a cheaper source.  Wide rows with a time are shuffled once,
+    by slot, for all sums together; those without are joined to the one sum of their group.
     """
     slot_of = time_slot(F.col(ts), slot)
     slotted = moves.select(
-        *groups.values(), slot_of.alias("_slot"), ts, F.col(value).alias("_value")
+        *groups.values(), slot_of.alias("_slot"), F.col(value).alias("_value")
     )
     by_slot = slotted.groupBy(*groups.values(), "_slot").agg(F.sum("_value").alias("_value"))
-    carries = {
-        name: slot_carries(by_slot, group, F.sum, F.desc_nulls_first)
-        for name, group in groups.items()
-    }
-    is_heavy = is_listed("_slot", heavy_slots)
+    carries = {name: slot_carries(by_slot, group) for name, group in groups.items()}
 
-    placed = rows.withColumn("_slot", slot_of)
-    stream = placed.where(~is_heavy).withColumns(
-        {"_carry": F.lit(False), **{f"_{name}": F.col(value) for name in groups}}
+    stream = (
+        rows.where(F.col(ts).isNotNull())
+        .withColumn("_slot", slot_of)
+        .withColumns({"_carry": F.lit(False), **{f"_{name}": F.col(value) for name in groups}})
     )
-    for name, carry in carries.items():
-        stream = stream.unionByName(
-            carry.where(~is_heavy).withColumnRenamed("_value", f"_{name}"),
-            allowMissingColumns=True,
-        )
+    open_rows = rows.where(F.col(ts).isNull())
+    for name, group in groups.items():
+        carry = carries[name].withColumnRenamed("_value", f"_{name}")
+        stream = stream.unionByName(carry.where(F.col("_slot").isNotNull()), allowMissingColumns=True)
+        of_open = carry.where(F.col("_slot").isNull()).select(group, F.col(f"_{name}").alias(name))
+        open_rows = null_safe_join(open_rows, of_open, [group], "left")
     # hash(slot) also is a clustering by (ward, slot) and by (critical care, slot)
     stream = stream.repartition("_slot")
     for name, group in groups.items():
         # rows of the same instant are peers: the default frame includes them all
-        order = Window.partitionBy("_slot", group).orderBy(
-            F.desc("_carry"), F.desc_nulls_first(ts)
-        )
+        order = Window.partitionBy("_slot", group).orderBy(F.desc("_carry"), F.desc(ts))
         stream = stream.withColumn(name, F.sum(f"_{name}").over(order))
-    result = stream.where(~F.col("_carry")).select(*rows.columns, *groups)
-    if not heavy_slots:
-        return result
-
-    dense = placed.where(is_heavy)
-    for name, group in groups.items():
-        cells = (
-            slotted.where(is_heavy)
-            .groupBy(group, "_slot", ts)
-            .agg(F.sum("_value").alias("_value"))
-        )
-        sums = _after_carry(
-            cells, carries[name].where(is_heavy), group, [ts], F.sum, F.desc_nulls_first, name
-        )
-        dense = null_safe_join(dense, sums, [group, ts], "left")
-    return result.unionByName(dense.select(*rows.columns, *groups))
+    dated = stream.where(~F.col("_carry")).select(*rows.columns, *groups)
+    return dated.unionByName(open_rows.select(*rows.columns, *groups))

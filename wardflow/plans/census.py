@@ -16,10 +16,9 @@ from wardflow.functions.locations import (
 )
 from wardflow.functions.times import ago, out_of_hours
 from wardflow.operators.intervals import BED_IN, BED_OUT, interval_events
-from wardflow.operators.neighbours import split_neighbours
+from wardflow.operators.neighbours import with_neighbours
 from wardflow.operators.occupied import occupied_now
 from wardflow.operators.prefix import with_running_totals
-from wardflow.operators.skew import Split, join_heavy
 from wardflow.sources.ehr import EhrTables
 
 AsOf = datetime | str | None
@@ -69,9 +68,13 @@ def census_stays(t: EhrTables, rules: ParserRules) -> DataFrame:
     ).join(beds, "location_id")
 
 
-def of_cohort(t: EhrTables, stays: DataFrame, cohort: DataFrame) -> Split:
-    """Bed stays of the cohort with its columns; heavy visits are kept apart."""
-    return join_heavy(stays, cohort, "hospital_visit_id", t.heavy_visits)
+def of_cohort(stays: DataFrame, cohort: DataFrame) -> DataFrame:
+    """Bed stays of the cohort with its columns.
+
+    A visit with very many stays, and a patient number shared by many visits, are skewed keys of
+    plain joins, which adaptive execution splits.
+    """
+    return stays.join(cohort, "hospital_visit_id")
 
 
 def death_stays(stays: DataFrame) -> DataFrame:
@@ -101,16 +104,16 @@ def death_stays(stays: DataFrame) -> DataFrame:
     )
 
 
-def moves(t: EhrTables, stays: Split) -> DataFrame:
+def moves(stays: DataFrame, deaths: DataFrame) -> DataFrame:
     """Bed stays with their neighbours in the visit and the flags derived from them."""
-    wide = split_neighbours(
-        stays.each(lambda df: df.withColumn("transient", transient(F.col("bed_type")))),
+    shifted = with_neighbours(
+        stays.withColumn("transient", transient(F.col("bed_type"))),
         "hospital_visit_id",
         "bed_in",
         "location_visit_id",
         MOVES,
-        t.heavy_rows,
     )
+    wide = shifted.join(deaths, ["hospital_visit_id", "core_demographic_id"], "left")
     here = F.col("location_id")
     round_trip = lambda near, far: F.coalesce(near & (far == here), F.lit(False))
     in_bed_now = (
@@ -159,12 +162,8 @@ def census(
 ) -> DataFrame:
     cohort = inpatients(t, as_of, window)
     stays = census_stays(t, rules)
-    counted = of_cohort(t, stays, cohort).all()
-    # the marker is attached to the visit, so the bed stays are not shuffled for it
-    marked = cohort.join(
-        death_stays(counted), ["hospital_visit_id", "core_demographic_id"], "left"
-    )
-    wide = moves(t, of_cohort(t, stays, marked))
+    counted = of_cohort(stays, cohort)
+    wide = moves(counted, death_stays(counted))
     kept = [c for c in wide.columns if c not in (BED_IN, BED_OUT)]
     sums = {"ward_sum": "ward"}
     if by_critical_care:
@@ -175,8 +174,6 @@ def census(
         "ts",
         "census",
         sums,
-        slot=t.slot,
-        heavy_slots=t.heavy_slots,
     )
     wards = occupied_now(counted, "ward", "bed", "occupancy_now")
     if by_critical_care:

@@ -7,15 +7,14 @@ from pyspark.sql import DataFrame, functions as F
 from wardflow.functions import fixed_values as fixed
 from wardflow.functions.text import part
 from wardflow.operators.intervals import interval_events
-from wardflow.operators.neighbours import split_neighbours
+from wardflow.operators.neighbours import with_neighbours
 from wardflow.operators.occupied import occupied_now
 from wardflow.operators.prefix import with_running_totals
-from wardflow.operators.skew import Split, join_heavy
 from wardflow.sources.ehr import EhrTables
 
 
-def bed_stays(t: EhrTables) -> Split:
-    """Bed stays with their ward and hospital stay; heavy visits are kept apart."""
+def bed_stays(t: EhrTables) -> DataFrame:
+    """Bed stays with their ward and hospital stay."""
     place = F.col("location_string")
     beds = t.location.where(part(place, 3) != fixed.NULL_TEXT).select(
         "location_id", "location_string", part(place, 1).alias("ward")
@@ -32,7 +31,7 @@ def bed_stays(t: EhrTables) -> Split:
         F.col("admission_time").alias("hosp_in"),
         F.col("discharge_time").alias("hosp_dc"),
     )
-    return join_heavy(stays, visits, "hospital_visit_id", t.heavy_visits)
+    return stays.join(visits, "hospital_visit_id")
 
 
 def occupancy(t: EhrTables) -> DataFrame:
@@ -43,26 +42,23 @@ def occupancy(t: EhrTables) -> DataFrame:
     have no anchor and do not appear.
     """
     stays = bed_stays(t)
-    anchors = occupied_now(stays.all(), "ward", "location_string", "occupied")
+    anchors = occupied_now(stays, "ward", "location_string", "occupied")
     long = interval_events(
-        split_neighbours(
+        with_neighbours(
             stays,
             "hospital_visit_id",
             "bed_in",
             "location_visit_id",
             {"ward_lag1": ("ward", 1)},
-            t.heavy_rows,
         ),
         ["hospital_visit_id", "location_visit_id", "location_string", "ward_lag1", "ward"],
     )
     events = with_running_totals(
         long,
-        interval_events(stays.all(), ["ward"]),
+        interval_events(stays, ["ward"]),
         "ts",
         "census",
         {"occupancy_raw": "ward"},
-        slot=t.slot,
-        heavy_slots=t.heavy_slots,
     )
     return events.join(anchors, "ward").select(
         "hospital_visit_id",

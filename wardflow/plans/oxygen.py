@@ -13,7 +13,6 @@ from wardflow.functions.times import ago, hour_floor
 from wardflow.operators.asof import asof_join
 from wardflow.operators.locf import grid_bounds, hold_until_next
 from wardflow.operators.observations import pivot_observations
-from wardflow.operators.skew import Split, split_heavy
 from wardflow.sources.ehr import EhrTables
 
 AsOf = datetime | str | None
@@ -44,16 +43,11 @@ def located_readings(t: EhrTables, observations: DataFrame) -> DataFrame:
     stays = t.location_visit.select(
         "hospital_visit_id", "admission_time", "location_visit_id", "location_id"
     )
-    by_weight = split_heavy(stays, "hospital_visit_id", t.heavy_observed)
-    # The history of patients without a reading is dropped before the merge.  Heavy
-    # visits are few and known by name; for them this would only be a hot join key.
-    concerned = Split(
-        by_weight.ordinary.join(visits, "hospital_visit_id", "left_semi"),
-        by_weight.large,
-    )
+    # the history of patients without a reading is dropped before the merge
+    concerned = stays.join(visits, "hospital_visit_id", "left_semi")
     return asof_join(
-        split_heavy(readings, "hospital_visit_id", t.heavy_observed),
-        concerned.each(lambda df: df.join(t.location, "location_id")),
+        readings,
+        concerned.join(t.location, "location_id"),
         "hospital_visit_id",
         "observation_datetime",
         "admission_time",

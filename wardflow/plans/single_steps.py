@@ -12,15 +12,15 @@ from wardflow.functions.locations import CRITICAL_CARE_CENSUS
 from wardflow.functions.text import capture, capture_int, part
 from wardflow.functions.times import age_years, hour_floor, out_of_hours
 from wardflow.operators.asof import asof_join
-from wardflow.operators.identity import with_mrns
+from wardflow.operators.identity import identities_of, with_mrns
 from wardflow.operators.intervals import flags_to_long, interval_events
 from wardflow.operators.locf import hour_grid, last_known, last_value, newer
-from wardflow.operators.neighbours import neighbours
+from wardflow.operators.neighbours import with_neighbours
 from wardflow.operators.observations import pivot_observations
 from wardflow.operators.occupied import occupied_now
 from wardflow.operators.prefix import running_total
-from wardflow.operators.skew import split_heavy
 from wardflow.plans import census, cohorts, occupancy
+from wardflow.plans.catalog import create_views, drop_views
 from wardflow.plans.oxygen import READINGS, hourly_demand
 from wardflow.plans.snapshots import read_snapshot, write_snapshot
 from wardflow.sources.ehr import EhrTables
@@ -37,8 +37,8 @@ def asof_location(t: EhrTables) -> DataFrame:
     )
     stays = t.location_visit.join(t.location, "location_id")
     return asof_join(
-        split_heavy(observations, "hospital_visit_id", t.heavy_observed),
-        split_heavy(stays, "hospital_visit_id", t.heavy_observed),
+        observations,
+        stays,
         "hospital_visit_id",
         "observation_datetime",
         "admission_time",
@@ -48,7 +48,11 @@ def asof_location(t: EhrTables) -> DataFrame:
 
 
 def latest_stay(t: EhrTables) -> DataFrame:
-    """The last bed stay of every visit (a fold, not a sort)."""
+    """The last bed stay of every visit.
+
+    A fold with map-side combine.  Structs are no hash buffers, so it sorts by visit on both sides
+    of the shuffle; only narrow columns take part.
+    """
     newest = F.max(F.struct("admission_time", "location_visit_id", "location_id"))
     return (
         t.location_visit.where(F.col("admission_time").isNotNull())
@@ -59,13 +63,13 @@ def latest_stay(t: EhrTables) -> DataFrame:
 
 
 def _ward_stays(t: EhrTables) -> DataFrame:
-    return occupancy.bed_stays(t).all()
+    return occupancy.bed_stays(t)
 
 
 def running_census(t: EhrTables) -> DataFrame:
     """Ward and instant with the running sum of bed moves, newest first."""
     moves = interval_events(_ward_stays(t), ["ward"])
-    return running_total(moves, "ward", "ts", F.col("census"), name="running", slot=t.slot)
+    return running_total(moves, "ward", "ts", F.col("census"))
 
 
 def occupied_wards(t: EhrTables) -> DataFrame:
@@ -104,7 +108,7 @@ def lag_lead(t: EhrTables) -> DataFrame:
     stays = t.location_visit.select(
         "location_visit_id", "hospital_visit_id", "location_id", "admission_time"
     )
-    shifted = neighbours(
+    shifted = with_neighbours(
         stays,
         "hospital_visit_id",
         "admission_time",
@@ -115,8 +119,6 @@ def lag_lead(t: EhrTables) -> DataFrame:
             "lag2": ("location_id", 2),
             "lead2": ("location_id", -2),
         },
-        t.heavy_visits,
-        t.heavy_rows,
     )
     back_again = F.coalesce(F.col("lag2") == F.col("location_id"), F.lit(False))
     return shifted.withColumn("round_trip", back_again)
@@ -126,7 +128,7 @@ def death_rank(t: EhrTables, as_of: AsOf) -> DataFrame:
     """The bed stay that ranks first by distance to death, per patient number."""
     cohort = census.inpatients(t, as_of, "12 MONTHS")
     stays = census.census_stays(t, CRITICAL_CARE_CENSUS)
-    return census.death_stays(census.of_cohort(t, stays, cohort).all())
+    return census.death_stays(census.of_cohort(stays, cohort))
 
 
 def resolve_live_mrn(t: EhrTables) -> DataFrame:
@@ -213,6 +215,30 @@ def row_counts(t: EhrTables, as_of: AsOf) -> DataFrame:
     return census.census_cc(t, as_of).agg(F.count("*").alias("n"))
 
 
+def row_counts_plus(t: EhrTables, as_of: AsOf) -> DataFrame:
+    """Size of the general census."""
+    return census.census_plus(t, as_of).agg(F.count("*").alias("n"))
+
+
+def view_stack(t: EhrTables) -> DataFrame:
+    """The critical-care list by way of views: ``location`` is created, replaced and read by name.
+
+    The views are dropped at the end; a DataFrame made from a view outlives it.
+    """
+    prefix = f"stack_{uuid4().hex}_"
+    made = [f"{prefix}location"]
+    try:
+        for _ in range(2):
+            create_views(t, names=["location"], prefix=prefix)
+        beds = t.spark.table(made[0]).where(F.col("critical_care")).select("location_id")
+        visits = t.location_visit.join(beds, "location_id").select("hospital_visit_id")
+        visits.distinct().createTempView(f"{prefix}visits")
+        made.append(f"{prefix}visits")
+        return identities_of(t.spark.table(made[1]), t)
+    finally:
+        drop_views(t.spark, [*made, f"{prefix}never_made"])
+
+
 def newest_rows(t: EhrTables, n: int = 3) -> DataFrame:
     """A peek at the newest observations (top-k, never a full sort)."""
     return (

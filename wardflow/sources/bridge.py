@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardflow.functions import fixed_values as fixed
-from wardflow.operators.neighbours import neighbours
-from wardflow.operators.skew import HEAVY_ROWS, heavy_keys
+from wardflow.operators.neighbours import with_neighbours
 from wardflow.sources.ehr import SCHEMAS, EhrTables
 from wardflow.sources.scratch import written_once
 
@@ -212,29 +211,27 @@ PROJECTIONS: dict[str, tuple[str, dict[str, str]]] = {
 }
 
 
-def bridge(spark: SparkSession, sf_dir: str, heavy_rows: int = HEAVY_ROWS) -> EhrTables:
+def bridge(spark: SparkSession, sf_dir: str) -> EhrTables:
     """All tables over the test tables in ``sf_dir``; the same object per application."""
     folder = sf_dir.rstrip("/")
-    known = (spark.sparkContext.applicationId, folder, heavy_rows)
+    known = (spark.sparkContext.applicationId, folder)
     if known not in _bridges:
-        _bridges[known] = _bridge(spark, folder, heavy_rows)
+        _bridges[known] = _bridge(spark, folder)
     return _bridges[known]
 
 
-_bridges: dict[tuple[str, str, int], EhrTables] = {}
+_bridges: dict[tuple[str, str], EhrTables] = {}
 
 
-def _bridge(spark: SparkSession, folder: str, heavy_rows: int) -> EhrTables:
+def _bridge(spark: SparkSession, folder: str) -> EhrTables:
 
     def read(name: str) -> DataFrame:
         if name == "location_visit":
-            return written_once(
-                spark, name, folder, lambda: _location_visit(spark, folder, heavy_rows)
-            )
+            return written_once(spark, name, folder, lambda: _location_visit(spark, folder))
         source, columns = PROJECTIONS[name]
         return _typed(spark.read.parquet(f"{folder}/{source}.parquet"), name, columns)
 
-    return EhrTables(spark, read, heavy_rows)
+    return EhrTables(spark, read)
 
 
 def _typed(df: DataFrame, name: str, columns: dict[str, str]) -> DataFrame:
@@ -244,25 +241,16 @@ def _typed(df: DataFrame, name: str, columns: dict[str, str]) -> DataFrame:
     )
 
 
-def _location_visit(spark: SparkSession, folder: str, heavy_rows: int) -> DataFrame:
-    """Bed stays from 'view' and 'click' events; a stay ends when the next begins."""
-    moves = spark.read.parquet(f"{folder}/events.parquet").where(
-        F.col("event_type").isin("view", "click")
-    )
-    moves = neighbours(
-        moves,
-        "user_id",
-        "ts",
-        "event_id",
-        {"next_ts": ("ts", -1)},
-        heavy_keys(moves, "user_id", heavy_rows),
-        heavy_rows,
-    )
+def _location_visit(spark: SparkSession, folder: str) -> DataFrame:
+    """Bed stays from all events, over all places; a stay ends when the next begins."""
+    moves = spark.read.parquet(f"{folder}/events.parquet")
+    places = spark.read.parquet(f"{folder}/part.parquet").count()
+    moves = with_neighbours(moves, "user_id", "ts", "event_id", {"next_ts": ("ts", -1)})
     columns = {
         "location_visit_id": "event_id",
         "hospital_visit_id": "user_id",
         "location_id": (
-            "CASE WHEN event_id % 3 = 0 THEN user_id * 7 % 64 ELSE event_id * 5 % 64 END"
+            f"CASE WHEN event_id % 3 = 0 THEN user_id * 7 ELSE event_id * 5 END % {places}"
         ),
         "admission_time": "ts",
         "discharge_time": "next_ts",

@@ -4,13 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
-from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from wardflow.functions.times import time_slot
-from wardflow.operators.prefix import slot_minutes
-from wardflow.operators.skew import HEAVY_ROWS, heavy_keys
+from pyspark.sql import DataFrame, SparkSession
 
 SCHEMAS: dict[str, str] = {
     "mrn": "mrn_id LONG, mrn STRING, nhs_number STRING",
@@ -65,57 +60,11 @@ class EhrTables:
     """Named access to the tables: ``tables.location_visit`` is a DataFrame.
 
     An instance stands for the files it found; make a new one to see new files.
-
-    ``heavy_rows`` is the number of rows from which one visit is handled as a
-    heavy one (see ``wardflow.operators.skew``).  Which visits these are is
-    counted once per instance, when a pipeline first needs to know.
     """
 
     spark: SparkSession
     read: Callable[[str], DataFrame]
-    heavy_rows: int = HEAVY_ROWS
     _frames: dict[str, DataFrame] = field(default_factory=dict)
-    _rows: dict[str, int] = field(default_factory=dict)
-
-    @cached_property
-    def heavy_visits(self) -> list[int]:
-        """Visits with very many bed stays."""
-        return self._heavy_in("location_visit")
-
-    @cached_property
-    def heavy_observed(self) -> list[int]:
-        """Visits with very many bed stays or observations."""
-        return sorted({*self.heavy_visits, *self._heavy_in("visit_observation")})
-
-    def _heavy_in(self, name: str) -> list[int]:
-        if self.rows(name) <= self.heavy_rows:
-            return []
-        return sorted(heavy_keys(getattr(self, name), "hospital_visit_id", self.heavy_rows))
-
-    @cached_property
-    def slot(self) -> int:
-        """Length in minutes of the time slots that running totals work in."""
-        return slot_minutes(2 * self.rows("location_visit"))
-
-    @cached_property
-    def heavy_slots(self) -> list[int]:
-        """Time slots with very many bed moves, the open one possibly among them.
-
-        The rows of a slot are spread over wards, so a slot may hold more than a visit.
-        """
-        limit = 10 * self.heavy_rows
-        if 2 * self.rows("location_visit") <= limit:
-            return []
-        times = F.array("admission_time", "discharge_time")
-        moves = self.location_visit.select(F.explode(times).alias("ts"))
-        slots = moves.select(time_slot(F.col("ts"), self.slot).alias("slot"))
-        return sorted(heavy_keys(slots, "slot", limit))
-
-    def rows(self, name: str) -> int:
-        """Number of rows, counted once from the file footers."""
-        if name not in self._rows:
-            self._rows[name] = getattr(self, name).count()
-        return self._rows[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
@@ -141,6 +90,6 @@ class EhrTables:
 
     @classmethod
     def from_frames(
-        cls, spark: SparkSession, frames: Mapping[str, DataFrame], **options
+        cls, spark: SparkSession, frames: Mapping[str, DataFrame]
     ) -> EhrTables:
-        return cls(spark, lambda name: frames[name], **options)
+        return cls(spark, lambda name: frames[name])
