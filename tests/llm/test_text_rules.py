@@ -1,0 +1,100 @@
+import hashlib
+import random
+import re
+from collections import Counter
+
+from tests.llm.odd import documents, words
+from wardflow.llm import repetition, secret_scan
+
+
+def base_spans(text):
+    """The contract's words, one after another."""
+    found = []
+    assign = re.compile(
+        r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
+    )
+    found += [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m.group(2)) >= 12]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 18]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 16]
+    return [("assign", "access", "hex")[k] + f":{a}:{b}" for a, k, b in sorted(found)]
+
+
+def test_base_spans(spark):
+    rng = random.Random(2)
+    bits = ["token", "Secret", "API_KEY", "paſſwd", "passwd", " = ", ":", "='", '": "', "AKIA", "ABCD1234EFGH5678", "deadbeef01", "0123456789abcdef", "x", " ", "é", "🙂", "-", "\n"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 14))), "s") for i in range(800)]
+    docs = documents(spark, rows).unionByName(documents(spark))
+    for r in docs.select("text").distinct().collect():
+        found = [f"{k}:{a}:{b}" for a, b, k in secret_scan.spans(r["text"]) if k != "novel"]
+        assert found == base_spans(r["text"] or "")
+    out = secret_scan.scanned(docs)
+    assert out.count() == docs.count()
+    by_id = {r["doc_id"]: r for r in out.collect() if r["doc_id"] is not None}
+    for doc_id, text, _ in rows[20:]:
+        if doc_id > 12:
+            line = ",".join(base_spans(text))
+            assert by_id[doc_id]["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+            assert by_id[doc_id]["n_hex"] == line.count("hex:")
+    assert secret_scan.scanned(docs.limit(0)).count() == 0
+
+
+def test_novelty_tells_random_strings_from_names():
+    random_one = "kX9vQ2mLr8Zt4WcY7bNd1HsP"
+    assert [k for *_, k in secret_scan.spans(f"the private signature is {random_one} and so on")] == ["novel"]
+    assert secret_scan.spans(f"the weather is {random_one} and so on") == []
+    assert secret_scan.spans("private file /usr/local/bin/python/resources/version1.0.0 is here") == []
+    assert secret_scan.spans(f"{random_one} is known, its session {random_one}") == []
+    assert secret_scan.novelty("auth ", random_one) > secret_scan.novelty(random_one, random_one)
+
+
+def test_redaction(spark):
+    assert secret_scan.redacted_text("a token = abcdef0123456789abcdef b") == "a [SECRET] b"
+    assert secret_scan.redacted_text("plain") == "plain"
+    docs = documents(spark)
+    out = secret_scan.redacted(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    assert out.where("text IS NULL").count() == 2
+
+
+def plain(text):
+    text = text or ""
+    w = words(text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if words(line):
+            dup += line in seen
+            seen.add(line)
+    count = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    inside = set()
+    for i in range(len(w) - 4):
+        if count[tuple(w[i : i + 5])] > 1:
+            inside |= set(range(i, i + 5))
+    shares = []
+    for n in repetition.MOST_IN_NGRAMS:
+        seen_n, cover = set(), set()
+        for i in range(len(w) - n + 1):
+            gram = tuple(w[i : i + n])
+            if gram in seen_n:
+                cover |= set(range(i, i + n))
+            seen_n.add(gram)
+        shares.append(round(sum(len(w[i]) for i in cover) / max(1, sum(map(len, w))), 9))
+    failed = len(w) < 10 or 100 * len(inside) > 20 * len(w)
+    return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(inside), failed, *shares)
+
+
+def test_repetition(spark):
+    rng = random.Random(9)
+    bits = ["a", "b", "c", "dé", "漢", "#|", "\n", "\t", "x y z q r", "  "]
+    rows = [(i, " ".join(rng.choice(bits) for _ in range(rng.randint(0, 60))), "s") for i in range(100, 500)]
+    docs = documents(spark, rows).unionByName(documents(spark))
+    columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    out = repetition.scored(docs).collect()
+    got = Counter(
+        (r["doc_id"], *(r[c] for c in columns), *(round(r[f"dup_{n}"], 9) for n in repetition.MOST_IN_NGRAMS)) for r in out
+    )
+    assert got == Counter((r["doc_id"], *plain(r["text"])) for r in docs.collect())
+    assert not any(r["kept"] and r["base_failed"] for r in out)
+    for r in out:
+        over = any(r[f"dup_{n}"] > most for n, most in repetition.MOST_IN_NGRAMS.items()) or r["dup_lines"] > repetition.MOST_IN_LINES
+        assert r["kept"] == (not r["base_failed"] and not over)
+    assert repetition.scored(docs.limit(0)).count() == 0
