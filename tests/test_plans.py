@@ -84,3 +84,20 @@ def test_one_path_for_every_key(spark, stored, name):
     assert not lists
     # ordered work on visits and wards is cut by time slot
     assert re.search(r"Exchange hashpartitioning\([^\n]*_slot", plan)
+
+
+@pytest.mark.parametrize("name", ["oxygen", "vital_signs"])
+def test_recent_windows_read_their_dates(spark, tmp_path, name):
+    for table, schema in SCHEMAS.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{table}.parquet")
+    spark.sql(
+        "SELECT 1L AS visit_observation_id, 1L AS hospital_visit_id, timestamp_ntz'2024-01-30 23:59:00' AS"
+        " observation_datetime, 1L AS visit_observation_type_id, 1D AS value_as_real, '' AS value_as_text, '' AS unit,"
+        " explode(array(date'2024-01-01', date'2024-01-30')) AS observation_datetime_date"
+    ).write.mode("overwrite").partitionBy("observation_datetime_date").parquet(f"{tmp_path}/visit_observation.parquet")
+    tables = EhrTables.from_directory(spark, str(tmp_path))
+    df = PIPELINES[name](tables, AS_OF)
+    assert re.search(r"PartitionFilters: \[[^\]]*observation_datetime_date", plan_of(df))
+    assert set(df.columns) == set(PIPELINES[name](EhrTables.from_frames(spark, {
+        t: spark.createDataFrame([], s) for t, s in SCHEMAS.items()
+    }), AS_OF).columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wardflow.functions import fixed_values as fixed
 
@@ -25,6 +25,16 @@ def ago(as_of: datetime | str | None, window: str) -> Column:
     return as_of_time(as_of) - F.expr(f"INTERVAL {window}")
 
 
+def later_than(df: DataFrame, column: str, moment: Column) -> DataFrame:
+    """The rows whose ``column`` is later; in a table partitioned by its date, only from that date on.
+
+    The date's column is called as ``column`` with ``_date`` at its end.
+    """
+    recent = df.where(F.col(column) > moment)
+    date = f"{column}_date"
+    return recent.where(F.col(date) >= F.to_date(moment)) if date in df.columns else recent
+
+
 def hour_floor(ts: Column) -> Column:
     return F.to_date(ts).cast("timestamp_ntz") + F.make_dt_interval(hours=F.hour(ts))
 

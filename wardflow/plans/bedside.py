@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from wardflow.functions import fixed_values as fixed
 from wardflow.functions.text import initials, label_for, part
-from wardflow.functions.times import age_years, ago
+from wardflow.functions.times import age_years, ago, later_than
 from wardflow.operators.identity import with_mrns
 from wardflow.sources.ehr import EhrTables
 
@@ -101,10 +101,8 @@ def hospital_visit_3(t: EhrTables, as_of: AsOf = None, window: str = "12 HOURS")
 
 def lactate(t: EhrTables, as_of: AsOf = None, window: str = "3 HOURS") -> DataFrame:
     """Recent blood lactate results with the visit they belong to."""
-    results = t.lab_result.where(
-        (F.col("lab_test_definition_id") == fixed.LACTATE_TEST)
-        & (F.col("result_last_modified_time") > ago(as_of, window))
-    )
+    recent = later_than(t.lab_result, "result_last_modified_time", ago(as_of, window))
+    results = recent.where(F.col("lab_test_definition_id") == fixed.LACTATE_TEST)
     return (
         results.join(t.lab_order, "lab_order_id")
         .select(
@@ -126,7 +124,7 @@ def vital_signs(t: EhrTables, as_of: AsOf = None, window: str = "5 MINUTES") ->
         F.col("visit_observation_type").alias("visit_observation_type_id"),
         label_for(F.col("id_in_application"), fixed.VITAL_LABELS).alias("vital"),
     ).where(F.col("vital").isNotNull())
-    recent = t.visit_observation.where(F.col("observation_datetime") > ago(as_of, window))
+    recent = later_than(t.visit_observation, "observation_datetime", ago(as_of, window))
     return (
         recent.join(kinds, "visit_observation_type_id")
         .select(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from wardflow.functions import fixed_values as fixed
 from wardflow.functions.oxygen import device_flow, oxygen_demand
 from wardflow.functions.text import capture, capture_int, part
-from wardflow.functions.times import ago, hour_floor
+from wardflow.functions.times import ago, hour_floor, later_than
 from wardflow.operators.asof import asof_join
 from wardflow.operators.locf import grid_bounds, hold_until_next
 from wardflow.operators.observations import pivot_observations
@@ -29,10 +29,8 @@ RATES = {**READINGS, "o2_device": (fixed.O2_DEVICE_TYPE, "device_flow")}
 def oxygen_observations(t: EhrTables, as_of: AsOf, window: str) -> DataFrame:
     """Flow, fraction and device observations of the window."""
     kinds = [kind for kind, _ in READINGS.values()]
-    return t.visit_observation.where(
-        F.col("visit_observation_type_id").isin(kinds)
-        & (F.col("observation_datetime") > ago(as_of, window))
-    )
+    recent = later_than(t.visit_observation, "observation_datetime", ago(as_of, window))
+    return recent.where(F.col("visit_observation_type_id").isin(kinds))
 
 
 def located_readings(t: EhrTables, observations: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from wardflow.sources.ehr import EhrTables
 
 
 def write_snapshot(df: DataFrame, path: str, partition_by: str = "ward") -> None:
-    """Replace the snapshot at ``path``, one folder per ward.
+    """Replace the snapshot at ``path``, one folder per ward; without that column, undivided.
 
     The folder is named by a copy of the column: a folder name cannot tell an empty
     text from a missing one.
@@ -19,6 +19,9 @@ def write_snapshot(df: DataFrame, path: str, partition_by: str = "ward") -> None
     partitions of large wards and merges those of small ones, so neither one
     task per ward nor one file per task and ward is the outcome.
     """
+    if partition_by not in df.columns:
+        df.write.mode("overwrite").parquet(path)
+        return
     folder = f"{partition_by}_folder"
     name = F.coalesce(F.nullif(F.col(partition_by), F.lit("")), F.lit("none"))
     df.withColumn(folder, name).hint("rebalance", folder).write.mode(

@@ -75,7 +75,11 @@ class EhrTables:
 
     @classmethod
     def from_directory(cls, spark: SparkSession, directory: str) -> EhrTables:
-        """Parquet files or folders ``{directory}/{table}.parquet``."""
+        """Parquet files or folders ``{directory}/{table}.parquet``.
+
+        A table may be partitioned by the date of a time column, in folders ``{column}_date=...``;
+        windows of recent time then read the dates they need.
+        """
 
         def read(name: str) -> DataFrame:
             path = f"{directory.rstrip('/')}/{name}.parquet"
