@@ -31,15 +31,25 @@ def scratch_folder(spark: SparkSession) -> str:
 
 
 def _remove(context, path: str) -> None:
-    """Nothing is left to report to at this point, so failures are passed over."""
+    """What can't be removed stays until the folder's owner removes it."""
     with contextlib.suppress(Exception):
         folder = context._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(context._jvm.org.apache.hadoop.conf.Configuration()).delete(folder, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A name for a scratch folder of its own, for ``written`` and ``discarded``."""
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def discarded(spark: SparkSession, folder: str) -> None:
+    """Remove a scratch folder whose tables nothing will read again."""
+    _remove(spark.sparkContext, folder)
+
+
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """``df`` written as parquet to a new scratch folder, then read: cuts the lineage."""
-    path = f"{scratch_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}.parquet"
+    path = f"{folder or scratch_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
