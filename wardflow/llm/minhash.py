@@ -4,14 +4,18 @@ Signature.  A document's set holds a 64-bit hash of every 5-word shingle.  A fir
 sends each member to a place on a circle of 2**32; a second one, shifted by k places, gives the
 k-th coordinate as its minimum over the set.  Two permutations thus make all coordinates.
 
-Candidates.  Four coordinates make a band; documents that share one of the 32 bands meet in a
-bucket.  At a similarity of 0.75 a pair misses every band with a probability of 5e-6.
+Candidates.  Six coordinates make a band; documents that share one of the 64 bands meet in a
+bucket.  At a similarity of 0.75 a pair shares fewer than two bands with a probability of 5e-5.
 
 Large groups.  Documents with equal sets are one node from the start.  A bucket's members are
-compared with two centres (its smallest and its largest id), never all with all, and what
-verifies is contracted to components.  Only members of a bucket that are still in different
-components, and share a second band, are compared pairwise afterwards; so no bucket is
-capped and no link that the bands found is lost.
+compared with its smallest id, never all with all, and what verifies is contracted to components.
+Where a bucket's members are still in different components, a pivot decides which of them can be
+linked: the node with the most links of the bucket's commonest component.  Two sets can't be
+similar enough unless (A) both share enough members with the pivot, or (B) they share a member
+that the pivot doesn't have.  Pairs of kind A are few, since what is that near the pivot is linked
+with it, but for sizes.  For B it is enough to look at the first quarter of each set's
+members outside the pivot, in the order of their hashes; pairs meet by such a member and need two
+common bands.  So no bucket is capped, and no link between texts that share two bands is lost.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from wardflow.llm.words import Slice, mix64, slices, windows
 from wardflow.sources.scratch import written
 
 SHINGLE_WORDS = 5
-BANDS, BAND_ROWS = 32, 4
+BANDS, BAND_ROWS = 64, 6
 #: Similarity in hundredths from which two documents are linked.
 SIMILARITY = 75
 
@@ -116,31 +120,30 @@ def described(documents: DataFrame) -> DataFrame:
     )
 
 
+def _sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, members`` of the documents whose id is in ``ids``."""
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    needed = texts.join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return written(needed.mapInPandas(_with_sets, "id long, members array<long>"), "sets")
+
+
+def _with_members(rows: DataFrame, sets: DataFrame, at: str) -> DataFrame:
+    return rows.join(sets.select(F.col("id").alias(at), F.col("members").alias(f"of_{at}")), at)
+
+
+def _may_be_similar(n: str, m: str):
+    return 100 * F.least(n, m) >= SIMILARITY * F.greatest(n, m)
+
+
 def _verified(pairs: DataFrame, documents: DataFrame, sizes: DataFrame) -> DataFrame:
     """The pairs ``(u, v)`` whose whole sets are similar enough."""
     size = lambda c: sizes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
-    near = written(
-        pairs.where("u <> v")
-        .distinct()
-        .join(size("u"), "u")
-        .join(size("v"), "v")
-        .where(100 * F.least("n_u", "n_v") >= SIMILARITY * F.greatest("n_u", "n_v")),
-        "pairs",
-    )
-    needed = near.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = written(
-        texts.join(needed, "doc_id", "left_semi").mapInPandas(_with_sets, "id long, members array<long>"), "sets"
-    )
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("members").alias(f"of_{c}"))
+    near = pairs.where("u <> v").distinct().join(size("u"), "u").join(size("v"), "v")
+    near = written(near.where(_may_be_similar("n_u", "n_v")).select("u", "v"), "pairs")
+    sets = _sets_of(documents, near.select(F.explode(F.array("u", "v")).alias("id")))
     both = F.size(F.array_intersect("of_u", "of_v"))
-    return (
-        near.select("u", "v")
-        .join(side("u"), "u")
-        .join(side("v"), "v")
-        .where(100 * both >= SIMILARITY * (F.size("of_u") + F.size("of_v") - both))
-        .select("u", "v")
-    )
+    joined = _with_members(_with_members(near, sets, "u"), sets, "v")
+    return joined.where(100 * both >= SIMILARITY * (F.size("of_u") + F.size("of_v") - both)).select("u", "v")
 
 
 def _labelled(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -149,18 +152,52 @@ def _labelled(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(of, "id", "left").withColumn("c", F.coalesce("c", "id"))
 
 
-def _mixed(members: DataFrame, key: str) -> DataFrame:
-    """Keys whose members are in more than one component."""
-    return members.groupBy(key).agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select(key)
-
-
-def _pairs_across(members: DataFrame) -> DataFrame:
-    """Pairs of one bucket, still in different components, that share a second band."""
-    by_second = members.select("id", "c", "b", F.explode("bands").alias("b2")).where("b < b2")
-    keyed = by_second.select(F.xxhash64("b", "b2").alias("k"), "id", "c")
-    rows = keyed.join(_mixed(keyed, "k"), "k", "left_semi")
-    other = rows.select("k", F.col("id").alias("v"), F.col("c").alias("c_v"))
-    return rows.join(other, "k").where("c <> c_v AND id < v").select(F.col("id").alias("u"), "v").distinct()
+def _pivots(members: DataFrame, links: DataFrame, groups: DataFrame) -> DataFrame:
+    """``b, pivot, pivot_c`` of the buckets whose members are in more than one component."""
+    ends = links.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    hubs = _labelled(ends, groups).groupBy("c").agg((-F.max(F.struct("n", (-F.col("id")).alias("i")))["i"]).alias("hub"))
+    parts = members.groupBy("b", "c").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("b").agg(F.count("*").alias("parts"), F.max(F.struct("n", (-F.col("c")).alias("i"))).alias("most"))
+    commonest = mixed.where("parts > 1").select("b", (-F.col("most.i")).alias("c"))
+    return commonest.join(hubs, "c", "left").select("b", F.coalesce("hub", "c").alias("pivot"), F.col("c").alias("pivot_c"))
+
+
+def _pairs_across(members: DataFrame, pivots: DataFrame, known: DataFrame, documents: DataFrame) -> DataFrame:
+    """``u, v``: what may be linked among members of one bucket in different components."""
+    apart = written(members.join(pivots, "b").select("id", "c", "pivot", "pivot_c").distinct(), "apart")
+    sets = _sets_of(documents, apart.select(F.explode(F.array("id", "pivot")).alias("id")))
+    beside = _with_members(_with_members(apart, sets, "id"), sets, "pivot")
+    outside = F.array_sort(F.array_except("of_id", "of_pivot"))
+    seen = written(
+        beside.select(
+            "id",
+            "c",
+            "pivot",
+            "pivot_c",
+            F.size("of_id").alias("n"),
+            (F.size("of_id") - F.size(outside)).alias("a"),
+            F.slice(outside, 1, F.floor(F.size("of_id") * (100 - SIMILARITY) / 100).cast("int") + 1).alias("head"),
+        ),
+        "seen",
+    )
+    # one side is outside the pivot's component; if both are, the smaller id comes first
+    differ = (F.col("c") != F.col("c2")) & ((F.col("c2") == F.col("pivot_c")) | (F.col("id") < F.col("id2")))
+    differ &= _may_be_similar("n", "n2")
+    out = F.col("c") != F.col("pivot_c")
+    near = seen.where(100 * F.col("a") >= SIMILARITY * F.col("n")).drop("head")
+    near_too = near.select("pivot", F.col("a").alias("a2"), *(F.col(c).alias(f"{c}2") for c in ("id", "c", "n")))
+    enough = (100 + SIMILARITY) * F.least("a", "a2") >= SIMILARITY * (F.col("n") + F.col("n2"))
+    kind_a = near.where(out).join(near_too, "pivot").where(differ & enough)
+    by_member = seen.select("id", "c", "pivot", "pivot_c", "n", F.explode("head").alias("s"))
+    # members that one component alone has bring no pair about
+    shared = by_member.groupBy("pivot", "s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    by_member = by_member.join(shared.select("pivot", "s"), ["pivot", "s"], "left_semi")
+    by_member = written(by_member.join(known.select("id", "bands"), "id"), "heads")
+    by_other = by_member.select("pivot", "s", *(F.col(c).alias(f"{c}2") for c in ("id", "c", "n", "bands")))
+    two_bands = F.size(F.array_intersect("bands", "bands2")) >= 2
+    kind_b = by_member.where(out).join(by_other, ["pivot", "s"]).where(differ & two_bands)
+    pairs = [k.select(F.col("id").alias("u"), F.col("id2").alias("v")) for k in (kind_a, kind_b)]
+    return pairs[0].unionByName(pairs[1]).distinct()
 
 
 def near_duplicate_groups(documents: DataFrame) -> DataFrame:
@@ -181,16 +218,15 @@ text they are one document.  An empty table gives an empty result.
     )
     sizes = known.groupBy("id").agg(F.max("n").alias("n"))
     in_bucket = known.select("id", F.explode("bands").alias("b"))
-    # every member with both ends of its bucket
-    ends = in_bucket.groupBy("b").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    shared = written(in_bucket.join(ends, "b"), "buckets")
-    stars = shared.select(F.explode(F.array("low", "high")).alias("u"), F.col("id").alias("v"))
-    links = written(_verified(stars, documents, sizes), "links")
+    # every member with the smallest one of its bucket
+    least = in_bucket.groupBy("b").agg(F.min("id").alias("low"), F.count("*").alias("size")).where("size > 1")
+    shared = written(in_bucket.join(least.select("b", "low"), "b"), "buckets")
+    links = written(_verified(shared.select(F.col("low").alias("u"), F.col("id").alias("v")), documents, sizes), "links")
     groups = components(links)
     members = _labelled(shared.select("id", "b"), groups)
-    rest = members.join(_mixed(members, "b"), "b", "left_semi").join(known.select("id", "bands"), "id")
-    left = _verified(_pairs_across(rest), documents, sizes)
-    groups = components(links.unionByName(left))
+    pairs = _pairs_across(members, _pivots(members, links, groups), known, documents)
+    more = written(_verified(pairs, documents, sizes), "links")
+    groups = components(groups.unionByName(more))
     of_set = _labelled(nodes, groups).select("set_key", F.col("c").alias("component_id"))
     return (
         rows.join(of_set, "set_key", "left")
