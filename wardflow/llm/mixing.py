@@ -48,7 +48,7 @@ def water_filled(sizes: DataFrame, share: float, max_epochs: float) -> DataFrame
     # first that isn't, so the final level is the highest
     levelled = weighed.withColumn("level", (wanted - clamped) / left)
     target = F.least(F.col("cap"), F.max("level").over(everything) * F.col("w"))
-    return levelled.withColumn("target", F.coalesce(target, F.lit(0.0))).select("source", "source_size", "weight", "target")
+    return levelled.withColumn("target", F.when(F.col("w").isNull(), 0.0).otherwise(target)).select("source", "source_size", "weight", "target")
 
 
 def _decided(documents: DataFrame, size: Column | None, weights, share: float, max_epochs: int, seed: int) -> DataFrame:
