@@ -34,16 +34,9 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, source, n_tokens, ids, decodes``: packed ids, and whether they read back as the text."""
-    path = public_tokenizers.path(RANKS)
-    rows = docs.select("doc_id", "source", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    both = bpe.decode_column(bpe.encode_column(rows, path), path)
-    return both.select(
-        "doc_id",
-        "source",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        "ids",
-        (F.col("decoded") == F.col("text").cast("binary")).alias("decodes"),
-    )
+    rows = docs.select("doc_id", "source", "text")
+    both = bpe.encode_column(rows, public_tokenizers.path(RANKS), check="decodes")
+    return both.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decodes")
 
 
 STAGES = [

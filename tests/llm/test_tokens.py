@@ -52,9 +52,9 @@ def test_transducer_encodes_as_the_library(texts, tik):
 
 def test_forgetting_states_changes_nothing(monkeypatch, texts, tik):
     monkeypatch.setattr(bpe, "STATES", 50)
-    monkeypatch.setattr(pretokens, "REMEMBERED", 20)
+    monkeypatch.setattr(pretokens, "SLICE_CHARS", 500)
     machine = bpe.Transducer(bpe.Merges.from_file(RANKS))
-    encode = pretokens.RememberingEncoder(lambda found: [machine.encode(p.encode()) for p in found])
+    encode = pretokens.RememberingEncoder(lambda found: [machine.encode(p.encode()) for p in found], 40)
     got = [ids.tolist() for _, found in encode(texts[:300]) for ids in found]
     assert got == [tik.encode_ordinary(t) for t in texts[:300]]
 

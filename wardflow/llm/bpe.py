@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from wardflow.llm.pretokens import RememberingEncoder, spread
 
-#: Remembered states; a worker that has more starts again with none.
-STATES = 300_000
+#: Remembered states, after which a worker starts again with none, and remembered pieces and pairs.
+#: They take about 300 MB of a worker's memory.
+STATES, PIECES, PAIRS = 200_000, 250_000, 100_000
 
 
 class Merges:
@@ -41,8 +42,8 @@ class Merges:
             self.bytes[rank] = token
         self.longest = max(map(len, ranks))
         self.prefixes = {token[:i] for token in ranks for i in range(len(token))}
-        self.pair_of = functools.cache(self._split)
-        self.neighbours = functools.cache(self._neighbours)
+        self.pair_of = functools.lru_cache(PAIRS)(self._split)
+        self.neighbours = functools.lru_cache(PAIRS)(self._neighbours)
 
     @classmethod
     def from_file(cls, path: str) -> Merges:
@@ -181,11 +182,16 @@ class Transducer:
         return out + self.finish(state)
 
 
+@functools.cache
+def _merges(ranks_path: str) -> Merges:
+    return Merges.from_file(ranks_path)
+
+
 @functools.cache
 def encoder(ranks_path: str) -> RememberingEncoder:
     """Kept for the life of a Python worker."""
-    transducer = Transducer(Merges.from_file(ranks_path))
-    return RememberingEncoder(lambda found: [transducer.encode(p.encode("utf-8", "replace")) for p in found])
+    transducer = Transducer(_merges(ranks_path))
+    return RememberingEncoder(lambda found: [transducer.encode(p.encode("utf-8", "replace")) for p in found], PIECES)
 
 
 #: Continuation bytes still to come after each lead byte, by the byte's high bits.
@@ -233,13 +239,16 @@ class Decoder:
 
 @functools.cache
 def decoder(ranks_path: str) -> Decoder:
-    return Decoder(Merges.from_file(ranks_path))
+    return Decoder(_merges(ranks_path))
 
 
-def encode_column(documents: DataFrame, ranks_path: str, column: str = "text", to: str = "ids") -> DataFrame:
+def encode_column(
+    documents: DataFrame, ranks_path: str, column: str = "text", to: str = "ids", check: str | None = None
+) -> DataFrame:
     """``documents`` with a binary column: the text's ids as little-endian unsigned 32-bit integers.
 
-    A null text is empty and has no ids.  All other columns stay; one named ``to`` is replaced.
+    A null text is empty and has no ids.  ``check`` names a column for whether the ids decode to the
+    text again.  All other columns stay; those of the added names are replaced.
     """
 
     def run(batches):
@@ -247,10 +256,14 @@ def encode_column(documents: DataFrame, ranks_path: str, column: str = "text", t
             for begin, ids in encoder(ranks_path)(batch[column]):
                 rows = batch.iloc[begin : begin + len(ids)].copy()
                 rows[to] = [x.tobytes() for x in ids]
+                if check:
+                    texts = [(t if isinstance(t, str) else "").encode() for t in rows[column]]
+                    rows[check] = [b"".join(decoder(ranks_path)(x)) == t for x, t in zip(ids, texts, strict=True)]
                 yield rows
 
-    rows = documents.drop(to)
-    return rows.mapInPandas(run, rows.withColumn(to, F.lit(b"")).schema)
+    rows = documents.drop(to, *[check] * bool(check))
+    wide = rows.withColumn(to, F.lit(b""))
+    return rows.mapInPandas(run, (wide.withColumn(check, F.lit(True)) if check else wide).schema)
 
 
 def decode_column(encoded: DataFrame, ranks_path: str, column: str = "ids", to: str = "decoded") -> DataFrame:

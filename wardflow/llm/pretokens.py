@@ -20,8 +20,8 @@ import numpy as np
 from wardflow.llm.words import mix64, prefix_hash, span_hash
 
 #: Characters handled in one go; a longer text is handled alone.
-SLICE_CHARS = 1 << 20
-#: Distinct pieces a worker remembers; beyond it starts again with none.
+SLICE_CHARS = 1 << 19
+#: Distinct pieces a worker remembers at most: it forgets the half not seen for longest.
 REMEMBERED = 600_000
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
@@ -132,17 +132,26 @@ class RememberingEncoder:
     ``encode`` turns a list of pieces into a list of packed ids (little-endian unsigned 32 bits).
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode = encode
-        self.known: dict[str, bytes] = {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int = REMEMBERED):
+        self.encode, self.half = encode, remembered // 2
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _packed(self, distinct: list[str]) -> list[bytes]:
-        missing = [p for p in distinct if p not in self.known]
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-            missing = distinct
-        self.known.update(zip(missing, self.encode(missing), strict=True))
-        return [self.known[p] for p in distinct]
+        recent, older = self.recent, self.older
+        missing = []
+        for piece in distinct:
+            if piece not in recent:
+                known = older.get(piece)
+                if known is None:
+                    missing.append(piece)
+                else:
+                    recent[piece] = known
+        recent.update(zip(missing, self.encode(missing), strict=True))
+        out = [recent[piece] for piece in distinct]
+        if len(recent) > self.half:
+            self.older, self.recent = recent, {}
+        return out
 
     def __call__(self, texts) -> Iterator[tuple[int, list[np.ndarray]]]:
         """For each slice: the number of its first text, and the ids of each of its texts."""
