@@ -42,16 +42,16 @@ def _only_stars(edges: DataFrame) -> bool:
     return counted.where("up > 1 OR up = 1 AND down = 1").isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
     """``(u, v)`` links to ``(u, v)``: every node that isn't its component's smallest, and that one.
 
-    Self links and nulls are passed over.  Groups meet in minima with map-side combine and in
+    ``folder``: the scratch folder for the rounds.  Self links and nulls are passed over.  Groups meet in minima with map-side combine and in
     joins that adaptive execution may split, so that a node may have any number of links.
     """
     ordered = edges.where("u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     )
-    now = written(ordered.distinct(), "links")
+    now = written(ordered.distinct(), "links", folder)
     while not _only_stars(now):
-        now = written(_small_star(_large_star(now)), "links")
+        now = written(_small_star(_large_star(now)), "links", folder)
     return now

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from wardflow.llm.components import components
 from wardflow.llm.words import Slice, mix64, slices, windows
-from wardflow.sources.scratch import written
+from wardflow.sources.scratch import discarded, new_folder, written
 
 SHINGLE_WORDS = 5
 BANDS, BAND_ROWS = 64, 6
@@ -120,11 +120,11 @@ def described(documents: DataFrame) -> DataFrame:
     )
 
 
-def _sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+def _sets_of(documents: DataFrame, ids: DataFrame, folder: str) -> DataFrame:
     """``id, members`` of the documents whose id is in ``ids``."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     needed = texts.join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return written(needed.mapInPandas(_with_sets, "id long, members array<long>"), "sets")
+    return written(needed.mapInPandas(_with_sets, "id long, members array<long>"), "sets", folder)
 
 
 def _with_members(rows: DataFrame, sets: DataFrame, at: str) -> DataFrame:
@@ -135,15 +135,15 @@ def _may_be_similar(n: str, m: str):
     return 100 * F.least(n, m) >= SIMILARITY * F.greatest(n, m)
 
 
-def _verified(pairs: DataFrame, documents: DataFrame, sizes: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, folder: str) -> DataFrame:
     """The pairs ``(u, v)`` whose whole sets are similar enough."""
     size = lambda c: sizes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
     near = pairs.where("u <> v").distinct().join(size("u"), "u").join(size("v"), "v")
-    near = written(near.where(_may_be_similar("n_u", "n_v")).select("u", "v"), "pairs")
-    sets = _sets_of(documents, near.select(F.explode(F.array("u", "v")).alias("id")))
+    near = near.where(_may_be_similar("n_u", "n_v")).select("u", "v")
     both = F.size(F.array_intersect("of_u", "of_v"))
     joined = _with_members(_with_members(near, sets, "u"), sets, "v")
-    return joined.where(100 * both >= SIMILARITY * (F.size("of_u") + F.size("of_v") - both)).select("u", "v")
+    similar = joined.where(100 * both >= SIMILARITY * (F.size("of_u") + F.size("of_v") - both))
+    return written(similar.select("u", "v"), "verified", folder)
 
 
 def _labelled(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -162,10 +162,9 @@ def _pivots(members: DataFrame, links: DataFrame, groups: DataFrame) -> DataFram
     return commonest.join(hubs, "c", "left").select("b", F.coalesce("hub", "c").alias("pivot"), F.col("c").alias("pivot_c"))
 
 
-def _pairs_across(members: DataFrame, pivots: DataFrame, known: DataFrame, documents: DataFrame) -> DataFrame:
+def _pairs_across(members: DataFrame, pivots: DataFrame, known: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
     """``u, v``: what may be linked among members of one bucket in different components."""
-    apart = written(members.join(pivots, "b").select("id", "c", "pivot", "pivot_c").distinct(), "apart")
-    sets = _sets_of(documents, apart.select(F.explode(F.array("id", "pivot")).alias("id")))
+    apart = members.join(pivots, "b").select("id", "c", "pivot", "pivot_c").distinct()
     beside = _with_members(_with_members(apart, sets, "id"), sets, "pivot")
     outside = F.array_sort(F.array_except("of_id", "of_pivot"))
     seen = written(
@@ -179,6 +178,7 @@ def _pairs_across(members: DataFrame, pivots: DataFrame, known: DataFrame, docum
             F.slice(outside, 1, F.floor(F.size("of_id") * (100 - SIMILARITY) / 100).cast("int") + 1).alias("head"),
         ),
         "seen",
+        folder,
     )
     # one side is outside the pivot's component; if both are, the smaller id comes first
     differ = (F.col("c") != F.col("c2")) & ((F.col("c2") == F.col("pivot_c")) | (F.col("id") < F.col("id2")))
@@ -192,7 +192,7 @@ def _pairs_across(members: DataFrame, pivots: DataFrame, known: DataFrame, docum
     # members that one component alone has bring no pair about
     shared = by_member.groupBy("pivot", "s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
     by_member = by_member.join(shared.select("pivot", "s"), ["pivot", "s"], "left_semi")
-    by_member = written(by_member.join(known.select("id", "bands"), "id"), "heads")
+    by_member = written(by_member.join(known.select("id", "bands"), "id"), "heads", folder)
     by_other = by_member.select("pivot", "s", *(F.col(c).alias(f"{c}2") for c in ("id", "c", "n", "bands")))
     two_bands = F.size(F.array_intersect("bands", "bands2")) >= 2
     kind_b = by_member.where(out).join(by_other, ["pivot", "s"]).where(differ & two_bands)
@@ -206,27 +206,31 @@ def near_duplicate_groups(documents: DataFrame) -> DataFrame:
     Needs columns ``doc_id`` and ``text``; others are ignored.  A null or wordless text has an
     empty set and is linked with nothing.  Rows without ``doc_id`` are in no group and kept, with
     a null ``component_id``.  Rows that repeat a ``doc_id`` are placed each by its own text; with one
-text they are one document.  An empty table gives an empty result.
+    text they are one document.  An empty table gives an empty result.
     """
+    spark = documents.sparkSession
+    folder = new_folder(spark, "near")
     rows = written(described(documents), "described")
     copies = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = written(copies.groupBy("set_key").agg(F.min("doc_id").alias("id")), "nodes")
     first = nodes.select(F.col("id").alias("doc_id"), "set_key")
-    known = written(
-        copies.join(first, ["doc_id", "set_key"], "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands"),
-        "signatures",
-    )
+    known = copies.join(first, ["doc_id", "set_key"], "left_semi")
+    known = written(known.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands"), "known", folder)
     sizes = known.groupBy("id").agg(F.max("n").alias("n"))
     in_bucket = known.select("id", F.explode("bands").alias("b"))
     # every member with the smallest one of its bucket
     least = in_bucket.groupBy("b").agg(F.min("id").alias("low"), F.count("*").alias("size")).where("size > 1")
-    shared = written(in_bucket.join(least.select("b", "low"), "b"), "buckets")
-    links = written(_verified(shared.select(F.col("low").alias("u"), F.col("id").alias("v")), documents, sizes), "links")
-    groups = components(links)
+    shared = written(in_bucket.join(least.select("b", "low"), "b"), "buckets", folder)
+    # the whole sets of all documents that share a bucket, once for all comparisons
+    sets = _sets_of(documents, shared.select("id"), folder)
+    stars = shared.select(F.col("low").alias("u"), F.col("id").alias("v"))
+    links = _verified(stars, sets, sizes, folder)
+    groups = components(links, folder)
     members = _labelled(shared.select("id", "b"), groups)
-    pairs = _pairs_across(members, _pivots(members, links, groups), known, documents)
-    more = written(_verified(pairs, documents, sizes), "links")
-    groups = components(groups.unionByName(more))
+    pairs = _pairs_across(members, _pivots(members, links, groups), known, sets, folder)
+    more = _verified(pairs, sets, sizes, folder)
+    groups = written(components(groups.unionByName(more), folder), "groups")
+    discarded(spark, folder)
     of_set = _labelled(nodes, groups).select("set_key", F.col("c").alias("component_id"))
     return (
         rows.join(of_set, "set_key", "left")
