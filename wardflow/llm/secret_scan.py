@@ -2,7 +2,8 @@
 
 Base spans are three kinds of matches: assignments, access keys and long hexadecimal runs.
 
-Novelty.  A candidate is a long string with letters and digits that follows a sensitive word.
+Novelty.  A candidate is a long string with letters and digits that follows a sensitive word; in
+``name=value`` it is the value, and the name is what it follows.
 A zstandard compressor is primed with a dictionary of common code and identifiers, and the text
 around the candidate; the candidate's novelty is the growth of the compressed size when it is
 appended to what lies before it, in bytes per character.  Names, paths and repeated strings are
@@ -31,6 +32,9 @@ KINDS = ("assign", "access", "hex", "novel")
 
 #: What may be a secret by novelty, and the words that make its surroundings sensitive.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]{16,}")
+#: What an equals sign cuts off, with the padding after it if nothing else follows.
+VALUE = re.compile(r"[^=]+(?:=+\Z)?")
+LEAST_CANDIDATE = 16
 SENSITIVE = re.compile(
     r"key|token|secret|passw|pwd|credential|auth|bearer|private|signature|cookie|session|jwt|salt|hash",
     re.IGNORECASE | re.ASCII,
@@ -74,6 +78,12 @@ def _is_random(text: str, start: int, end: int) -> bool:
     ) >= NOVEL
 
 
+def _values(m: re.Match) -> list[tuple[int, int]]:
+    """Where the long values between a candidate's equals signs lie, and then the whole candidate."""
+    cut = [(m.start() + v.start(), m.start() + v.end()) for v in VALUE.finditer(m[0])]
+    return [(a, b) for a, b in cut if LEAST_CANDIDATE <= b - a < len(m[0])] + [m.span()]
+
+
 def spans(text: str | None) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` of all secrets of a whole text, by start and then kind.
 
@@ -86,11 +96,15 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
     base.sort(key=lambda s: (s[0], s[2]))
     more, at, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
-        while at < len(base) and base[at][0] < m.end():
-            reach = max(reach, base[at][1])
-            at += 1
-        if reach <= m.start() and _is_random(text, m.start(), m.end()):
-            more.append((m.start(), m.end(), 3))
+        found = []
+        for start, end in _values(m):
+            while at < len(base) and base[at][0] < end:
+                reach = max(reach, base[at][1])
+                at += 1
+            # the whole comes last: parts may be too short or too plain on their own
+            if reach <= start and (end - start < len(m[0]) or not found) and _is_random(text, start, end):
+                found.append((start, end, 3))
+        more += found
     return [(a, b, KINDS[k]) for a, b, k in sorted(base + more, key=lambda s: (s[0], s[2]))]
 
 
