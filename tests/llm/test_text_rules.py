@@ -70,6 +70,58 @@ def test_a_name_joined_to_its_value_is_its_context():
     assert secret_scan.spans("it is weather=kX9vQ2mLr8Zt4WcY7bNd1HsP") == []
 
 
+CLEAN = [
+    "The author wrote in winter-report-2024.pdf about the sea.",
+    "The key figures are in quarterly_results_2023_final.xlsx as before.",
+    "We heard the keynote by anna.schmidt1972-berlin.university.de in May.",
+    "The monkey photos are IMG_20230405_112233_forest.jpg and others.",
+    "A key paper is www.example.org/articles/2021/05/history-of-salt.html today.",
+    "The session notes are in /home/anna/projects/meeting2/session_03_notes.docx now.",
+    "Salt prices: /usr/share/data/salt-prices-1999-2020.csv has them.",
+    "The private letter went to john.doe1985.smith at home.",
+    "El autor y la sesion privada: informe_anual_2021_version_final.docx fue enviado.",
+    "Der Autor schrieb im Krankenhaus-Bericht-2020.pdf dazu; private Fotos in sommer2019-urlaub-album.zip",
+    "La session est dans rapport-annuel-2019-definitif.pdf et la salle.",
+    "author=winter-report-2024.pdf",
+    "hash: backup_2024_01_31_full.tar.gz",
+    "the key com.example.project.module2.ServiceFactory is used",
+]
+
+
+def test_clean_sentences_keep_their_names():
+    prose = "It was a long day and nothing more was said about the matter until the evening came. "
+    for sentence in CLEAN:
+        for text in (sentence, prose * 9 + sentence, sentence + " " + prose * 9):
+            assert secret_scan.redacted_text(text) == text
+
+
+def test_the_bar_lies_between_names_and_random_strings():
+    rng = random.Random(3)
+    prose = "the settings of the server were changed last week and the key is "
+    found = [secret_scan.novelty(prose, m[0]) for t in CLEAN for m in secret_scan.CANDIDATE.finditer(t) if re.search(r"\d", m[0])]
+    assert len(found) > 8 and max(found) < secret_scan.NOVEL
+    letters = string.ascii_letters
+    for kind in (letters + string.digits, letters.lower() + string.digits, string.ascii_uppercase + "234567", "0123456789ABCDEF", letters + "0123456789-_", letters + "0123456789+/"):
+        values = ["".join(rng.choice(kind) for _ in range(n)) for n in (16, 24, 32, 40, 64) for _ in range(60)]
+        scores = [secret_scan.novelty(prose, v) for v in values if re.search("[A-Za-z]", v) and re.search(r"\d", v)]
+        assert sum(x < secret_scan.NOVEL for x in scores) <= len(scores) // 100
+
+
+def test_sensitive_words_have_boundaries():
+    one = "kX9vQ2mLr8Zt4WcY7bNd1HsP"
+    names = ["apiKey:", "accessToken: ", "JSESSIONID=", "dbpassword=", "sshkey: ", "my_secret_key ", "Passwort ist ", "Authorization Bearer ", '"sessionId": "', "hashes ", "cookie ", "OAuth ", "config['githubtoken'] = '"]
+    for name in names:
+        assert len(secret_scan.spans(f"and {name}{one} so")) == 1, name
+    for word in ("author", "monkey", "keynote", "keyboard", "secretary", "possession", "basalt", "hashtag"):
+        assert secret_scan.spans(f"the {word} wrote {one} so") == []
+
+
+def test_copies_do_not_hide_a_secret():
+    one = "kX9vQ2mLr8Zt4WcY7bNd1HsP"
+    text = f"PRIVATE_KEY={one}\nexport PRIVATE_KEY={one}\nthen we sent {one} away, and all was well in the end"
+    assert [text[a:b] for a, b, _ in secret_scan.spans(text)] == [one, one, one]
+
+
 def test_redaction(spark):
     assert secret_scan.redacted_text("a token = abcdef0123456789abcdef b") == "a [SECRET] b"
     assert secret_scan.redacted_text("plain") == "plain"

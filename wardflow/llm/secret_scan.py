@@ -4,10 +4,11 @@ Base spans are three kinds of matches: assignments, access keys and long hexadec
 
 Novelty.  A candidate is a long string with letters and digits that follows a sensitive word; in
 ``name=value`` it is the value, and the name is what it follows.
-A zstandard compressor is primed with a dictionary of common code and identifiers, and the text
-around the candidate; the candidate's novelty is the growth of the compressed size when it is
-appended to what lies before it, in bytes per character.  Names, paths and repeated strings are
-cheap after their surroundings; random ones are not, and are reported as kind ``novel``.
+Parts of it that read as words, dates and short numbers, or whose words the text has elsewhere, are
+those of names, paths and addresses and add nothing.  The others are compressed by zstandard, primed
+with a dictionary of common code and identifiers and the text on both sides; the bytes they take, per
+character of the candidate, are its novelty.  Random strings have no parts that read and are reported
+as kind ``novel``.  A copy near before in a plain place makes a string known; later copies don't.
 """
 
 from __future__ import annotations
@@ -35,14 +36,42 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]{16,}")
 #: What an equals sign cuts off, with the padding after it if nothing else follows.
 VALUE = re.compile(r"[^=]+(?:=+\Z)?")
 LEAST_CANDIDATE = 16
+_WORDS = (
+    r"(?:keys?|tokens?|secret(?:s|os?|as?|e|es)?|passw[a-z]*|passphrases?|passcodes?|pwds?|credentials?"
+    r"|auth(?:ori[sz]ation|entication|ori[sz]e|enticate|[nz])?|bearer|private[nrs]?|signatures?|cookies?|sessions?"
+    r"|jwts?|salts?|hash(?:es|ed)?)"
+)
+#: A boundary is the end of a run of letters or a capital after a small letter.
 SENSITIVE = re.compile(
-    r"key|token|secret|passw|pwd|credential|auth|bearer|private|signature|cookie|session|jwt|salt|hash",
+    rf"(?:(?<![a-z])|(?-i:(?<=[a-z])(?=[A-Z])))(?:api|access|app|auth|aws|client|crypt|csrf|db|encryption|git|hmac|host"
+    rf"|id|j|license|master|o|my|pgp|gpg|php|private|public|refresh|rsa|secret|session|signing|ssh|ssl|user|xsrf)?{_WORDS}"
+    rf"(?:id|file|hash|key|token|secret)?(?:(?![a-z])|(?-i:(?<=[a-z])(?=[A-Z])))",
+    re.IGNORECASE | re.ASCII,
+)
+#: The name of a value right behind it, as in settings; words inside it count without boundaries.
+NAMED = re.compile(r"""([A-Za-z0-9_.\[\]-]{1,64})["'\]]*[\x20\t]*(?:=>|:=|[:=])+[\x20\t]*["'\[]*\Z""")
+INSIDE = re.compile(
+    r"(?<!mon)(?<!tur)(?<!don)(?<!hoc)key(?!note|board|word|stone)|token|secret(?!ar)|passw|pwd|credential"
+    r"|auth(?!or(?!i[sz]))|bearer|private|signature|cookie|session|jwt|salt|hash",
     re.IGNORECASE | re.ASCII,
 )
-#: Characters before a candidate that may hold a sensitive word, and that prime the compressor.
+#: Characters before a candidate that may hold a sensitive word, and those on either side that
+#: prime the compressor.
 NEAR, AROUND = 48, 512
-#: Least bytes per character that a random string adds.
-NOVEL = 0.72
+#: Least bytes per character of a random string; ``test_text_rules`` measures random strings and names.
+NOVEL = 0.4
+#: Characters compressed together: fewer than zstandard recodes by their frequency.
+PIECE = 48
+
+#: A part of a name: words, then a short number; a number; or a letter or two with a short number.
+PART = re.compile(r"[A-Za-z0-9]+")
+NAME_PART = re.compile(r"((?:[A-Z]?[a-z]{2,}|[A-Z]{3,})+)\d{0,4}|\d{1,8}|[A-Za-z]{1,2}\d{0,3}|\d{1,4}[A-Za-z]{1,2}(?:\d{1,2})?")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Endings and short words without the shape of one.
+SHORT_WORDS = frozenset(
+    "pdf xls xlsx doc docx ppt pptx txt csv tsv tex tar tgz zip jpg jpeg png gif svg mp html htm xml yml sql www http"
+    " https ftp src tmp lib bin usr dev img pkg cfg ssh ssl gz py js ts md rb sh st nd rd th ltd gmbh".split()
+)
 
 #: What is common around identifiers in code and settings.
 DICTIONARY = (
@@ -56,26 +85,83 @@ DICTIONARY = (
 ).encode()
 
 
-@functools.cache
-def _compressor() -> zstandard.ZstdCompressor:
-    primed = zstandard.ZstdCompressionDict(DICTIONARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return zstandard.ZstdCompressor(level=3, dict_data=primed)
+def _reads(word: str, known: frozenset[str] | set[str] = frozenset()) -> bool:
+    """Whether a run of letters may be a word of a European language, or is one of ``known``."""
+    low = word.lower()
+    if low in SHORT_WORDS or low in known:
+        return True
+    vowels = len(re.findall("[aeiouy]", low))
+    return 4 * vowels >= len(low) and 4 * vowels <= 3 * len(low) + 4 and not re.search("[^aeiouy]{5}", low)
+
+
+def _unread(candidate: str, known: frozenset[str] | set[str] = frozenset()) -> str:
+    """The candidate's parts that are no parts of names; numbers are only beside a word or in a row."""
+    kept, numbers, reads = [], [], False
+    for part in (parts := PART.findall(candidate)):
+        m = NAME_PART.fullmatch(part)
+        if not m or m[1] and not all(_reads(w, known) for w in WORD.findall(m[1])):
+            kept.append(part)
+        elif m[1]:
+            reads = True
+        elif part.isdigit():
+            numbers.append(part)
+    if not reads and 2 * sum(map(len, numbers)) < sum(map(len, parts)):
+        kept = parts
+    return "".join(kept)
+
+
+def novelty(before: str, candidate: str, known: frozenset[str] | set[str] = frozenset()) -> float:
+    """Compressed bytes per character that ``candidate`` adds to ``before`` and words ``known``."""
+    rest, size = _unread(candidate, known), 0
+    prime = DICTIONARY + before.encode("utf-8", "replace")
+    for at in range(0, len(rest), PIECE):
+        primed = zstandard.ZstdCompressionDict(prime, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        compressor = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False)
+        piece = rest[at : at + PIECE].encode()
+        size += len(compressor.compress(piece)) - len(compressor.compress(b""))
+        prime += piece
+    return size / len(candidate)
+
+
+def _is_sensitive(text: str, start: int) -> bool:
+    before = text[max(0, start - NEAR) : start]
+    if SENSITIVE.search(text, max(0, start - NEAR), start):
+        return True
+    named = NAMED.search(before)
+    return named is not None and INSIDE.search(named[1]) is not None
+
+
+def _words(text: str) -> set[str]:
+    """The words in a text's plain places."""
+    out, at = set(), 0
+    for m in CANDIDATE.finditer(text):
+        if re.search(r"\d", m[0]) and _is_sensitive(text, m.start()):
+            out.update(w.lower() for w in WORD.findall(text[at : m.start()]))
+            at = m.end()
+    out.update(w.lower() for w in WORD.findall(text[at:]))
+    return {w for w in out if len(w) > 2}
+
 
+class _Judge:
+    """Which candidates of one text are random."""
 
-def novelty(before: str, candidate: str) -> float:
-    """Compressed bytes per character that ``candidate`` adds after ``before``."""
-    plain = before.encode("utf-8", "replace")
-    size = lambda data: len(_compressor().compress(data))
-    return (size(plain + candidate.encode()) - size(plain)) / len(candidate)
+    def __init__(self, text: str):
+        self.text, self.found = text, set()
 
+    @functools.cached_property
+    def known(self) -> set[str]:
+        return _words(self.text)
 
-def _is_random(text: str, start: int, end: int) -> bool:
-    found = text[start:end]
-    if not (re.search(r"\d", found) and re.search(r"[A-Za-z]", found)):
-        return False
-    return SENSITIVE.search(text, max(0, start - NEAR), start) is not None and novelty(
-        text[max(0, start - AROUND) : start], found
-    ) >= NOVEL
+    def __call__(self, start: int, end: int) -> bool:
+        text, found = self.text, self.text[start:end]
+        if not (re.search(r"\d", found) and re.search(r"[A-Za-z]", found) and _is_sensitive(text, start)):
+            return False
+        if found not in self.found:
+            after = text[end : end + AROUND].replace(found, " ")
+            if novelty(f"{after} {text[max(0, start - AROUND) : start]}", found, self.known) < NOVEL:
+                return False
+            self.found.add(found)
+        return True
 
 
 def _values(m: re.Match) -> list[tuple[int, int]]:
@@ -95,6 +181,7 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
     base += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     base.sort(key=lambda s: (s[0], s[2]))
     more, at, reach = [], 0, 0
+    is_random = _Judge(text)
     for m in CANDIDATE.finditer(text):
         found = []
         for start, end in _values(m):
@@ -102,7 +189,7 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
                 reach = max(reach, base[at][1])
                 at += 1
             # the whole comes last: parts may be too short or too plain on their own
-            if reach <= start and (end - start < len(m[0]) or not found) and _is_random(text, start, end):
+            if reach <= start and (end - start < len(m[0]) or not found) and is_random(start, end):
                 found.append((start, end, 3))
         more += found
     return [(a, b, KINDS[k]) for a, b, k in sorted(base + more, key=lambda s: (s[0], s[2]))]
