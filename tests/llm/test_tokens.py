@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 import regex
 import tiktoken
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from tests.llm.odd import documents
 from wardflow.llm import bpe, codes, pretokens, token_counts
@@ -125,6 +125,32 @@ def test_segments_read_back(spark, monkeypatch):
     assert codes.written_and_read(docs.limit(0), LIBRARY).count() == 0
 
 
+def test_added_tokens_have_their_own_ids(spark, monkeypatch, tmp_path, texts):
+    end = "<|endoftext|>"
+    rng = random.Random(6)
+    made = ["a <|endoftext|> b", end, end * 3, f" {end}\n {end}", f"{end[:-1]}{end}", "<|endoftext|", f"x's{end}'s", f"漢{end}🙂 "]
+    made += ["".join(rng.choice([end, "a", " ", "  ", "\n", "'s", "<|", "|>", "é"]) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    made += texts[:500]
+    rows = [(i, t, "s") for i, t in enumerate(made, 100)]
+    docs = documents(spark).unionByName(documents(spark, rows)).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    library = Tokenizer.from_file(LIBRARY)
+    assert library.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    want, start = set(), 0
+    for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
+        ids = np.array([*library.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4")
+        want.add((r["doc_id"], start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert {tuple(r) for r in codes.written_and_read(docs, LIBRARY).collect()} == want
+    # slices that end inside a text, and tokens that take in what is beside them
+    monkeypatch.setattr(pretokens, "SLICE_CHARS", 7)
+    library.add_special_tokens([AddedToken("<|left|>", lstrip=True), AddedToken("<|end"), AddedToken("<|word|>", single_word=True)])
+    library.save(path := str(tmp_path / "more.json"))
+    made += [f"a  <|left|> b{end}", "<|endof", "x<|word|> <|word|> y", "<|end<|endoftext|>", None]
+    got = list(codes.library_encoder(path)(made))
+    assert [begin for begin, _ in got] == [sum(len(f) for _, f in got[:i]) for i in range(len(got))]
+    assert [ids.tolist() for _, f in got for ids in f] == [library.encode(t or "", add_special_tokens=False).ids for t in made]
+
+
 @pytest.mark.parametrize("block", [1, 3, 50, 1 << 18])
 def test_counts_are_stitched_across_blocks(spark, tik, block):
     rows = [(i, t, "s") for i, t in enumerate(["", "a b c d e f g h", None, "x", "", "one two three four five " * 9])]

@@ -11,6 +11,8 @@ A file is a row of a Parquet table: a segment of whole documents in ascending or
 from __future__ import annotations
 
 import functools
+import itertools
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -89,8 +91,51 @@ class Codes:
         return out
 
 
+class WholeTexts:
+    """Ids of texts as the library gives them: cut at the file's added tokens, then by its pattern.
+
+    An added token has its own id wherever it stands.  A text with one that takes in what is beside
+    it (``lstrip``, ``rstrip``, ``single_word``) goes to the library whole.
+    """
+
+    def __init__(self, tokenizer, plain: RememberingEncoder):
+        self.tokenizer, self.plain = tokenizer, plain
+        added = tokenizer.get_added_tokens_decoder()
+        self.ids = {t.content: np.array([i], np.uint32) for i, t in added.items()}
+        # of several at one place the library takes the longest
+        either = lambda some: "|".join(re.escape(c) for c in sorted(some, key=lambda c: -len(c))) or r"(?!)"
+        self.cut = re.compile(f"({either(self.ids)})")
+        beside = [t.content for t in added.values() if t.lstrip or t.rstrip or t.single_word]
+        self.whole = re.compile(either(beside)) if beside else None
+
+    def _joined(self, text: str, cut: list[str], found: list[np.ndarray]) -> np.ndarray:
+        if not found:
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        if len(found) == 1:
+            return found[0]
+        between = [self.ids[token] for token in cut[1::2]]
+        return np.concatenate([x for pair in zip(found, between, strict=False) for x in pair] + found[-1:])
+
+    def __call__(self, texts) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """For each slice: the number of its first text, and the ids of each of its texts."""
+        texts = [t if isinstance(t, str) else "" for t in texts]
+        cuts = [[] if self.whole and self.whole.search(t) else self.cut.split(t) for t in texts]
+        held: list[np.ndarray] = []
+        at = 0
+        slices = itertools.chain(self.plain([part for cut in cuts for part in cut[::2]]), [(0, [])])
+        for _, found in slices:
+            held += found
+            begin, done, used = at, [], 0
+            while at < len(texts) and used + (n := len(cuts[at][::2])) <= len(held):
+                done.append(self._joined(texts[at], cuts[at], held[used : used + n]))
+                at, used = at + 1, used + n
+            held = held[used:]
+            if done:
+                yield begin, done
+
+
 @functools.cache
-def library_encoder(tokenizer_path: str) -> RememberingEncoder:
+def library_encoder(tokenizer_path: str) -> WholeTexts:
     """Ids by the tokenizers library; it gets each distinct piece once, as a word of its own.
 
     A piece of the tokenizer's own pattern is split no further by it, so ids are the same as for
@@ -99,7 +144,6 @@ def library_encoder(tokenizer_path: str) -> RememberingEncoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
-    tokenizer.encode_special_tokens = True
 
     def run(found: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -112,7 +156,7 @@ def library_encoder(tokenizer_path: str) -> RememberingEncoder:
             out += [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         return out
 
-    return RememberingEncoder(run)
+    return WholeTexts(tokenizer, RememberingEncoder(run))
 
 
 def _segments(batches: Iterator[pd.DataFrame], tokenizer_path: str, end_id: int) -> Iterator[pd.DataFrame]:
