@@ -45,6 +45,24 @@ def test_held_out_documents_and_gapped_insults(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] == 0 for r in out.values())
 
 
+def test_whole_documents_are_learned_from(spark):
+    rng = random.Random(4)
+    plain = lambda n: " ".join("".join(rng.choice(SYLLABLES) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    rows = []
+    for i in range(300):
+        # one long sentence, or many of them; what makes a document toxic comes last
+        text = plain(150) if i % 2 else ". ".join(plain(8) for _ in range(50))
+        rows.append((i, f"{text} {rng.choice(INSULTS)}" if i % 3 == 0 else text, int(i % 3 == 0)))
+    docs = documents(spark, [(i, t, "s") for i, t, _ in rows])
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    whole = toxicity.fit([t for _, t, _ in rows], np.array([y for *_, y in rows]))
+    assert (model.columns == whole.columns).all() and np.allclose(model.weights, whole.weights)
+    assert np.isclose(model.slope, whole.slope) and np.isclose(model.offset, whole.offset)
+    right = (model.scores([t for _, t, _ in rows]) >= 0.3) == np.array([y == 1 for *_, y in rows])
+    assert right.mean() > 0.97
+    assert list(toxicity.words_of_each(["the cat the", None, "", "cat"])) == [b"\x03\x01\x14\0\x14\x08\x05", b"", b"", b"\x03\x01\x14"]
+
+
 def test_the_table_is_the_kernel_machine():
     rows = made(150, 2)
     model = toxicity.fit([t for _, t, _ in rows], np.array([y for *_, y in rows]))

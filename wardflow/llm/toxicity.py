@@ -10,10 +10,10 @@ Nystroem landmarks.  Words that labelled documents tell apart, and common ones,
 word's coordinates are its kernel values with the landmarks, whitened by the landmarks' own
 kernel matrix.  A linear machine is trained on them with a squared hinge loss.
 
-Training.  Labelled documents give labelled sentences.  Words of clean sentences are negative; of
-the sentences of each toxic document the word that scores highest is its witness and positive.
-Witnesses are chosen by word counts first and then by the machine, which is fitted again.  Document
-scores become probabilities by a logistic fit.
+Training.  Labelled documents are learned from whole, by their distinct words.  Words of clean
+documents are negative; of each toxic document the word that scores highest is its witness and
+positive.  Witnesses are chosen by word counts first and then by the machine, which is fitted again.
+The scores of whole documents become probabilities by a logistic fit.
 
 Scoring.  The machine is linear in the kernel and the kernel in its subsequences, so both fold into
 one table of subsequence weights.  A text's score is that of its highest word.  Every character of
@@ -37,11 +37,10 @@ from wardflow.llm.words import mix64, prefix_hash, span_hash
 DECAY, SKIPS, ORDER = 0.75, 3, 4
 LANDMARKS = 256
 #: The classifier is fitted on at most so many labelled documents of each label, chosen by a hash
-#: of their id, so many sentences of each, chosen by a hash of the sentence, and so many distinct
-#: words, the commonest.
-TRAIN_DOCUMENTS, TRAIN_SENTENCES, TRAIN_WORDS = 2000, 32, 40_000
-#: Characters of a sentence that are used in training; whole texts are scored.
-SENTENCE_CHARS = 400
+#: of their id, and the machine on so many of their distinct words, the commonest.
+TRAIN_DOCUMENTS, TRAIN_WORDS = 2000, 40_000
+#: Characters of texts whose words are found in one go; a longer text is handled alone.
+SLICE_CHARS = 1 << 20
 THRESHOLD = 0.3
 ROUNDS = 3
 #: Symbols of a word; longer ones are scored in overlapping pieces of this length.
@@ -116,6 +115,25 @@ def distinct_words(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np
     return [data[a:b] for a, b in zip(begin[first].tolist(), finish[first].tolist(), strict=True)], which, np.searchsorted(ends, begin)
 
 
+def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    begin, size = 0, 0
+    for i, text in enumerate(texts, 1):
+        size += len(text or "")
+        if size > SLICE_CHARS or i == len(texts):
+            yield begin, i
+            begin, size = i, 0
+
+
+def words_of_each(texts: list[str | None]) -> Iterator[bytes]:
+    """For each text its distinct words, in order, between spaces."""
+    for a, b in _slices(texts):
+        words, which, owner = distinct_words(texts[a:b])
+        place = np.unique(owner * max(1, len(words)) + which)
+        ends = np.searchsorted(place, np.arange(1, b - a + 1) * max(1, len(words)))
+        held = np.split(place % max(1, len(words)), ends[:-1])
+        yield from (bytes([SPACE]).join(sorted(words[w] for w in some.tolist())) for some in held)
+
+
 def _laid_out(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All words between spaces in one array, far enough apart; where each starts; their norms."""
     gap = bytes([SPACE]) + bytes([PAD]) * (ORDER + SKIPS) + bytes([SPACE])
@@ -199,13 +217,7 @@ class Model:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """The probability of label 1 for each text, computed over slices of them."""
-        cuts, size = [0], 0
-        for i, text in enumerate(texts, 1):
-            size += len(text or "")
-            if size > 1 << 20 or i == len(texts):
-                cuts.append(i)
-                size = 0
-        parts = [self.margins(texts[a:b]) for a, b in itertools.pairwise(cuts)]
+        parts = [self.margins(texts[a:b]) for a, b in _slices(texts)]
         return self.probability(np.concatenate(parts).astype(np.float64)) if parts else np.zeros(0)
 
     def probability(self, margins: np.ndarray) -> np.ndarray:
@@ -249,19 +261,26 @@ def _fit_logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(texts: list[str], labels: np.ndarray, share: float | None = None, size: int = LANDMARKS) -> Model:
-    """A model from labelled texts (sentences of a document, joined) and their 0/1 labels.
+    """A model from labelled texts and their 0/1 labels; see ``fit_words``."""
+    return fit_words(list(words_of_each(texts)), labels, share, size)
+
+
+def fit_words(texts: list[bytes], labels: np.ndarray, share: float | None = None, size: int = LANDMARKS) -> Model:
+    """A model from the distinct words of labelled texts, as ``words_of_each`` gives them.
 
     ``share`` is the share of toxic documents where it differs from that of ``labels``.  Without
     words, or without texts of both labels, every score is that share.
     """
     y = np.where(np.asarray(labels) > 0, 1.0, -1.0)
     share = float(np.mean(y > 0)) if share is None and len(y) else share or 0.0
-    words, which, owner = distinct_words(texts)
+    held = [text.split(bytes([SPACE])) if text else [] for text in texts]
+    words = sorted(set(itertools.chain.from_iterable(held)))
+    number = {word: i for i, word in enumerate(words)}
+    which = np.fromiter((number[w] for some in held for w in some), np.int64)
+    owner = np.repeat(np.arange(len(held)), [len(some) for some in held]).astype(np.int64)
     if not words or len(set(y)) < 2:
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, 1.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     # in how many texts of each label a word occurs
-    place = np.unique(which * len(texts) + owner)
-    which, owner = place // len(texts), place % len(texts)
     n_toxic = np.bincount(which[y[owner] > 0], minlength=len(words))
     n_clean = np.bincount(which[y[owner] < 0], minlength=len(words))
     by_place = np.arange(len(words))
@@ -298,22 +317,21 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None = None, size:
         w = _fit_machine(x[use], np.where(positive, 1.0, -1.0).astype(np.float32)[use], weight[use], w)
         score = x @ w
     model = Model(columns, (project @ w[:-1]).astype(np.float32), float(w[-1]), 1.0, 0.0)
-    model.slope, model.offset = _fit_logistic(model.margins(texts).astype(np.float64), y)
+    # a whole text's margin is that of its highest word
+    margins = np.full(len(texts), model.bias, np.float32)
+    np.maximum.at(margins, owner, model.word_margins(words)[which])
+    model.slope, model.offset = _fit_logistic(margins.astype(np.float64), y)
     # from the sample's share of toxic texts to the documents'
     odds = lambda p: np.log(max(p, 1e-4) / max(1 - p, 1e-4))
     model.offset += float(odds(share) - odds(float(np.mean(y > 0))))
     return model
 
 
-def sentences_of(text: Column) -> Column:
-    return F.filter(F.split(text, r"[.!?\n]+"), lambda s: F.length(s) > 1)
-
-
-def train(documents: DataFrame, labelled: DataFrame, sentences: int = TRAIN_SENTENCES) -> Model:
+def train(documents: DataFrame, labelled: DataFrame) -> Model:
     """A model from ``labelled`` rows ``doc_id, toxic``; null or other labels than 0 and 1 are left out.
 
-    At most ``TRAIN_DOCUMENTS`` of each label, by a hash of the id, and ``sentences`` of each, by
-    a hash of the sentence, reach the driver.  A document that is labelled twice counts once, as
+    At most ``TRAIN_DOCUMENTS`` of each label, by a hash of the id, are learned from; the distinct
+    words of their whole texts reach the driver.  A document that is labelled twice counts once, as
     toxic if any row says so.
     """
     one = (
@@ -324,16 +342,17 @@ def train(documents: DataFrame, labelled: DataFrame, sentences: int = TRAIN_SENT
     some = [one.where(F.col("toxic") == t).orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCUMENTS) for t in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # at most twice TRAIN_DOCUMENTS rows of two numbers
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    hashed = F.transform(
-        sentences_of(F.col("text")),
-        lambda s: F.struct(F.xxhash64(s).alias("h"), F.substring(s, 1, SENTENCE_CHARS).alias("s")),
-    )
-    picked = F.array_join(F.transform(F.slice(F.sort_array(hashed), 1, sentences), lambda s: s["s"]), ".\n")
-    rows = texts.where("text IS NOT NULL").join(chosen, "id").select("id", "toxic", picked.alias("text"))
-    found = sorted(rows.collect(), key=lambda r: (r["id"], r["text"]))
+    rows = texts.where("text IS NOT NULL").join(chosen, "id").select("id", "toxic", "text")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[["id", "toxic"]].assign(words=list(words_of_each(batch["text"].tolist())))
+
+    found = rows.withColumn("toxic", F.col("toxic").cast("int")).mapInPandas(run, "id long, toxic int, words binary").collect()
+    found = sorted(((r["id"], bytes(r["words"]), r["toxic"]) for r in found))
     counts = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    return fit([r["text"] for r in found], np.array([r["toxic"] for r in found], int), share)
+    return fit_words([words for _, words, _ in found], np.array([toxic for *_, toxic in found], int), share)
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
