@@ -17,9 +17,30 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each near-duplicate group; rows without doc_id stay."""
-    extra = minhash.near_duplicate_groups(docs).where("NOT kept").select(F.col("doc_id").alias("copy_id")).distinct()
-    return docs.join(extra, docs["doc_id"] == extra["copy_id"], "left_anti")
+    """One row of each near-duplicate group, of its smallest doc_id; rows without doc_id stay.
+
+    Rows that repeat a doc_id are documents of their own, each by its text; with one text they are copies.
+    """
+    known = docs.where("doc_id IS NOT NULL")
+    repeated = written(known.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("copy_id")), "repeated")
+    if repeated.isEmpty():
+        extra = minhash.near_duplicate_groups(docs).where("NOT kept").select(F.col("doc_id").alias("copy_id")).distinct()
+        return docs.join(extra, docs["doc_id"] == extra["copy_id"], "left_anti")
+    # ids don't name rows here: one row for each id and text, and a number for each
+    number, packed = (max(docs.columns, key=len) + end for end in ("_n", "_s"))
+    others = F.struct(F.lit(0).alias(packed), *(c for c in docs.columns if c not in ("doc_id", "text")))
+    same = docs["doc_id"] == repeated["copy_id"]
+    # the first of equal rows in the order of what else they hold
+    once = docs.join(repeated, same, "left_semi").groupBy("doc_id", "text").agg(F.min_by(others, F.to_json(others)).alias(packed))
+    once = once.select(*(F.col(c) if c in ("doc_id", "text") else F.col(packed)[c].alias(c) for c in docs.columns))
+    rows = docs.join(repeated, same, "left_anti").unionByName(once)
+    rows = written(rows.withColumn(number, F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "numbered")
+    groups = minhash.near_duplicate_groups(rows.select(F.col(number).alias("doc_id"), "text"))
+    groups = written(groups.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("n"), F.col("component_id").alias("c")), "copies")
+    narrow = rows.select(F.col(number).alias("n"), "doc_id", F.sha2("text", 256).alias("digest"))
+    first = groups.join(narrow, "n").groupBy("c").agg(F.min(F.struct("doc_id", "digest", "n"))["n"].alias("n"))
+    extra = groups.join(first, "n", "left_anti").select(F.col("n").alias("copy_id"))
+    return rows.join(extra, rows[number] == extra["copy_id"], "left_anti").select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,3 +62,30 @@ def test_stages_take_odd_rows(spark, tmp_path):
         assert stage(spark, docs.limit(0), folder).count() == 0
         docs = spark.read.parquet(path)
     assert docs.where("NOT decodes").count() == 0
+
+
+def test_repeated_ids_lose_no_text_and_keep_no_copy(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    rows = [
+        (1, text("a"), "s"),
+        (2, text("a"), "s"),  # a copy of 1
+        (2, text("b"), "s"),  # and alone
+        (3, text("c"), "t"),  # three times the same
+        (3, text("c"), "s"),
+        (3, text("c"), None),
+        (4, text("d"), "s"),  # the smallest of one group, and a copy of 1 besides
+        (4, text("a"), "s"),
+        (5, text("d"), "s"),
+        (6, text("e") + " x", "s"),  # near copies of one another
+        (6, text("e") + " y", "s"),
+        (None, text("a"), "s"),
+        (None, text("a"), "s"),
+        (7, None, "s"),
+        (7, None, "s"),
+        (8, text("f"), "s"),
+    ]
+    docs = documents(spark, rows)
+    out = corpus_pipeline.without_copies(spark, docs, "")
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    got = Counter((r["doc_id"], (r["text"] or "")[:1]) for r in out.collect())
+    assert got == Counter([(1, "a"), (2, "b"), (3, "c"), (4, "d"), (6, "e"), (None, "a"), (None, "a"), (7, ""), (8, "f")])
