@@ -90,3 +90,17 @@ def test_top_k_is_exact(spark):
     few = table.where("vec_id IN (0, 1, 50)")
     assert topk.top_k(few, F.col("vec_id") % 50 == 0).count() == 4
     assert topk.top_k(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_ties_below_zero_are_not_passed_over(spark):
+    # a floor that a block's only point just reaches
+    search = topk.Search(np.array([[-1000.0]]), 1, np.array([-1e6]))
+    search.walk(np.array([[1000.0]]))
+    assert [x.tolist() for x in search.results()] == [[0], [0], [-1e6]]
+    # one component: every product of a point with another sign is negative
+    values = [-100.0] + [100.0 + i for i in range(40)] + [100.0 + i for i in range(40)]
+    table = spark.createDataFrame([(i if i else 1000, [v]) for i, v in enumerate(values)], "vec_id long, embedding array<float>")
+    want = sorted((-int(256 * -100 * 256 * v), i) for i, v in enumerate(values) if i)[:5]
+    for points in (1, 8, 5000):
+        got = topk.top_k(table, F.col("vec_id") == 1000, 5, points).collect()
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(k, i, -s) for k, (s, i) in enumerate(want, 1)]

@@ -71,6 +71,11 @@ def cover_tree(points: np.ndarray, rows: np.ndarray | None = None, centre: np.nd
     return node
 
 
+def widened(bound):
+    """What a bound is at most, with the error of floating-point numbers; also below zero."""
+    return bound + np.abs(bound) * 1e-9 + 1e-6
+
+
 class Search:
     """The k best points of each query, among all points shown to ``walk``."""
 
@@ -91,7 +96,7 @@ class Search:
 
     def _bound(self, q: Node, x: Node) -> float:
         nq, nx = np.sqrt((q.centre**2).sum()), np.sqrt((x.centre**2).sum())
-        return (float(q.centre @ x.centre) + nq * x.radius + nx * q.radius + q.radius * x.radius) * (1 + 1e-9) + 1e-6
+        return widened(float(q.centre @ x.centre) + nq * x.radius + nx * q.radius + q.radius * x.radius)
 
     def _pair(self, q: Node, x: Node, points: np.ndarray) -> None:
         if self._bound(q, x) < self.worst(q.rows):
@@ -232,7 +237,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block_points: int =
             if own:
                 q, c = np.arange(len(v)), home
             else:
-                bound = (products[:, used] + np.sqrt((v**2).sum(1))[:, None] * reach) * (1 + 1e-9) + 1e-6
+                bound = widened(products[:, used] + np.sqrt((v**2).sum(1))[:, None] * reach)
                 q, at = np.nonzero(bound >= batch["floor"].fillna(-np.inf).to_numpy(np.float64)[:, None])
                 c = used[at]
                 q, c = q[c != home[q]], c[c != home[q]]
