@@ -21,7 +21,7 @@ def test_queries_match_their_sql(spark, duck, name):
 
 def test_every_operator_has_a_query():
     names = [n for n in contract.queries() if n.startswith("op")]
-    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11)) and "pipeline" in contract.queries()
+    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 14)) and "pipeline" in contract.queries()
 
 
 def test_stages_one_by_one(spark):

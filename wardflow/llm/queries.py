@@ -11,9 +11,12 @@ from wardflow.llm import (
     bpe,
     chat,
     codes,
+    content_sort,
+    merkle,
     minhash,
     mixing,
     repetition,
+    resampling,
     secret_scan,
     token_counts,
     topk,
@@ -91,6 +94,21 @@ def encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
 
+def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_sort.exact_groups(table(spark, sf_dir, "documents"))
+
+
+def make_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves whose id's checksum 3 divides are tampered with: their texts' A-Z are lower-cased."""
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), {"text": lowered}, chosen)
+
+
+def resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mix,
     "op2_token_counts": count_tokens,
@@ -102,8 +120,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_codes": code_tokens,
     "op9_repetition": rate_repetition,
     "op10_byte_bpe": encode_decode,
+    "op11_content_sort": exact_duplicates,
+    "op12_merkle_manifest": make_manifest,
+    "op13_resampling": resample,
 }
 
+#: A text's CRC-32, given the column ``crc_table``.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen({0})),
+    lambda k: 16 * (instr('0123456789ABCDEF', hex(encode({0}))[2 * k + 1]) - 1) + instr('0123456789ABCDEF', hex(encode({0}))[2 * k + 2]) - 1)),
+    lambda c, b: xor(c >> 8, crc_table[1 + (xor(c, b) & 255)])))"""
+_CRC_TABLE = """SELECT list(list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc_table FROM range(256) t(i)"""
+_LEAF = "sha256(concat(" + ", ".join(f"coalesce(concat(strlen({c}::VARCHAR), ':', {c}), '-')" for c in ("doc_id", "source", "lang", "n_chars")) + ", coalesce(concat(strlen({0}), ':', {0}), '-')))"
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 SQL: dict[str, str] = {
     "op1_mixing": r"""
 WITH docs AS (
@@ -176,4 +206,78 @@ scored AS (
   FROM points q JOIN points p ON p.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
 FROM scored QUALIFY rank <= 5""",
+    "op11_content_sort": r"""
+WITH texts AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept,
+  sha256(t) AS text_sha256
+FROM texts WINDOW w AS (PARTITION BY t)""",
+    "op12_merkle_manifest": rf"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+leaves AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {_LEAF.format("text")} AS leaf,
+    CASE WHEN {_CRC32.format("doc_id::VARCHAR")} % 3 = 0 THEN {_LEAF.format(_LOWERED)} ELSE {_LEAF.format("text")} END AS start,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n
+  FROM documents, crc),
+nodes AS (
+  SELECT tree, 0 AS lvl, i, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT tree, lvl + 1, i // 8, any_value((n + 7) // 8), sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1
+  GROUP BY tree, lvl, i // 8),
+subroots AS MATERIALIZED (
+  SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS lvl, i, n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT lvl + 1, i // 8, any_value((n + 7) // 8), sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1
+  GROUP BY lvl, i // 8),
+runs AS MATERIALIZED (
+  SELECT tree, lvl, i // 8 AS up, list(h ORDER BY i) AS hs FROM nodes WHERE n > 1 GROUP BY tree, lvl, i // 8),
+top_runs AS MATERIALIZED (SELECT lvl, i // 8 AS up, list(h ORDER BY i) AS hs FROM tops WHERE n > 1 GROUP BY lvl, i // 8),
+climb AS (
+  SELECT doc_id, leaf, tree, 0 AS lvl, i, '' AS proof, start AS h FROM leaves
+  UNION ALL
+  SELECT c.doc_id, c.leaf, c.tree, c.lvl + 1, c.i // 8,
+    c.proof || array_to_string(list_concat(r.hs[1 : c.i % 8], r.hs[c.i % 8 + 2 :]), ''),
+    sha256(array_to_string(list_concat(r.hs[1 : c.i % 8], [c.h], r.hs[c.i % 8 + 2 :]), ''))
+  FROM climb c JOIN runs r ON r.tree = c.tree AND r.lvl = c.lvl AND r.up = c.i // 8),
+at_subroot AS (SELECT doc_id, max_by(struct_pack(leaf, tree, proof, h), lvl) AS s FROM climb GROUP BY doc_id),
+climb_top AS (
+  SELECT a.doc_id, a.s.leaf AS leaf, b.subroot, 0 AS lvl, b.i, a.s.proof AS proof, a.s.h AS h
+  FROM at_subroot a JOIN subroots b ON b.tree = a.s.tree
+  UNION ALL
+  SELECT c.doc_id, c.leaf, c.subroot, c.lvl + 1, c.i // 8,
+    c.proof || array_to_string(list_concat(r.hs[1 : c.i % 8], r.hs[c.i % 8 + 2 :]), ''),
+    sha256(array_to_string(list_concat(r.hs[1 : c.i % 8], [c.h], r.hs[c.i % 8 + 2 :]), ''))
+  FROM climb_top c JOIN top_runs r ON r.lvl = c.lvl AND r.up = c.i // 8),
+ended AS (SELECT doc_id, max_by(struct_pack(leaf, subroot, proof, h), lvl) AS s FROM climb_top GROUP BY doc_id),
+root AS (SELECT h AS root FROM tops WHERE n = 1)
+SELECT doc_id, s.leaf AS leaf, s.subroot AS subroot, root, sha256(s.proof) AS proof_sha256, s.h AS folded_root,
+  s.h = root AS verified
+FROM ended, root""",
+    "op13_resampling": rf"""
+WITH texts AS (
+  SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+words AS MATERIALIZED (
+  SELECT kind, id, regexp_extract_all(coalesce({_LOWERED}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+features AS MATERIALIZED (
+  SELECT kind, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words),
+buckets AS MATERIALIZED (
+  SELECT f, ({_CRC32.format("f")} % 10000)::BIGINT AS b FROM (SELECT DISTINCT f FROM features), ({_CRC_TABLE})),
+totals AS (
+  SELECT b, (count(*) FILTER (WHERE kind = 0))::DOUBLE AS s, (count(*) FILTER (WHERE kind = 1))::DOUBLE AS t
+  FROM features JOIN buckets USING (f) GROUP BY b),
+gains AS (
+  SELECT b, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS g FROM totals),
+summed AS (
+  SELECT id, count(*) AS n, sum(g)::BIGINT AS g FROM features JOIN buckets USING (f) JOIN gains USING (b) WHERE kind = 0 GROUP BY id),
+weighted AS (
+  SELECT w.id AS doc_id, len(w.w) AS n_words, coalesce(n, 0)::BIGINT AS n_features,
+    coalesce((g - ((g % n) + n) % n) // n, 0)::BIGINT AS weight, ('0x' || sha256('7:' || w.id)[1:8])::BIGINT AS h
+  FROM words w LEFT JOIN summed USING (id) WHERE w.kind = 0),
+scored AS (
+  SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM weighted),
+placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank
+FROM scored s LEFT JOIN placed p ON p.doc_id = s.doc_id""",
 }
