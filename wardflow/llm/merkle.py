@@ -15,6 +15,8 @@ in its range, plus the rows of its tree in earlier ranges, one figure for each r
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardflow.sources.scratch import discarded, new_folder, written
@@ -97,24 +99,28 @@ def grown(leaves: DataFrame, folder: str) -> tuple[list[DataFrame], DataFrame]:
     return levels, found
 
 
-def paths(leaves: DataFrame, levels: list[DataFrame], tops: DataFrame) -> DataFrame:
-    """``tree, i, path, root`` of every leaf: the steps from it to its tree's root, then the tree's ``path`` in ``tops``.
+def paths(leaves: DataFrame, levels: list[DataFrame], begun: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """``tree, i, path, root`` of every leaf: the steps from it to its tree's root, then the path of its tree.
 
-    A step is the struct ``left, right`` of the digests beside a node in its run.
+    ``begun`` gives rows ``tree, i`` of roots their ``path`` and ``root``.  A step is the struct
+    ``left, right`` of the digests beside a node in its run.
     """
-    begun = lambda trees: trees.select("tree", "i").join(tops.select("tree", "path", "root"), "tree")
-    above = begun(leaves.where("n = 1"))
+    alone = begun(leaves.where("n = 1").select("tree", "i"))
     beside = lambda test: joined(F.transform(F.filter("run", test), lambda x: x["hash"]))
-    for k, level in enumerate(reversed(levels)):
+    below = None
+    for k, level in enumerate(reversed(levels), 1):
         # the parents' paths, and those of the trees whose root is the only parent here
-        new = begun(level.where(f"i = 0 AND n <= {ARITY}"))
-        up = (new if k == 0 else below.unionByName(new)).withColumnRenamed("i", "up")
+        up = begun(level.where(f"i = 0 AND n <= {ARITY}").select("tree", "i"))
+        up = up if below is None else below.unionByName(up)
         step = F.struct(
             beside(lambda x: x["j"] < F.col("i")).alias("left"), beside(lambda x: x["j"] > F.col("i")).alias("right")
         )
         here = level.select("tree", "i", F.floor(F.col("i") / ARITY).alias("up"), step.alias("step"))
-        below = here.join(up, ["tree", "up"]).select("tree", "i", F.concat(F.array("step"), "path").alias("path"), "root")
-    return below.unionByName(above) if levels else above
+        below = here.join(up.withColumnRenamed("i", "up"), ["tree", "up"])
+        below = below.select("tree", "i", F.concat(F.array("step"), "path").alias("path"), "root")
+        if k < len(levels):  # an eighth of the leaves at most
+            below = written(below, "paths", folder)
+    return alone if below is None else below.unionByName(alone)
 
 
 def folded(hash_: Column, path: Column) -> Column:
@@ -151,11 +157,10 @@ def manifest(documents: DataFrame, tampered: dict[str, Column] | None = None, wh
     found = root.first()
     root = F.lit(found["hash"] if found else None).cast("binary")
     no_steps = F.array().cast("array<struct<left:binary,right:binary>>")
-    top = documents.sparkSession.range(1).select(F.lit(TOP).alias("tree"), no_steps.alias("path"), root.alias("root"))
-    in_top = paths(ranked, top_levels, top).select("i", "path")
-    tops = ranked.select(F.col("key").alias("tree"), "i", F.col("hash").alias("root")).join(in_top, "i")
+    in_top = paths(ranked, top_levels, lambda t: t.withColumns({"path": no_steps, "root": root}), folder)
+    tops = ranked.select(F.col("key").alias("tree"), "i", F.col("hash").alias("root")).join(in_top.select("i", "path"), "i")
     tops = written(tops.select("tree", "path", "root"), "tops", folder)
-    joined_up = leaves.join(paths(leaves, levels, tops), ["tree", "i"])
+    joined_up = leaves.join(paths(leaves, levels, lambda t: t.join(tops, "tree"), folder), ["tree", "i"])
     proof = joined(F.transform("path", lambda s: F.concat(s["left"], s["right"])))
     result = joined_up.select(
         "doc_id",
