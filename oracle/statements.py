@@ -545,6 +545,33 @@ def statements(bridged: bool = True) -> dict[str, str]:
             ORDER BY observation_datetime DESC NULLS FIRST, visit_observation_id LIMIT 3""",
         ),
     }
+    registered["sql_scalars"] = statement(
+        "hospital_visit core_demographic location_visit location",
+        f"""SELECT v.hospital_visit_id, {AGE} AS age,
+          concat(left(p.firstname, 1), left(p.lastname, 1)) AS initials,
+          coalesce(hour(v.presentation_time) NOT BETWEEN 7 AND 21, false) AS out_of_hours, {BED} AS bed_index
+        FROM hospital_visit v JOIN core_demographic p USING (mrn_id)
+        LEFT JOIN (
+          SELECT DISTINCT ON (hospital_visit_id) hospital_visit_id, location_string
+          FROM location_visit JOIN location USING (location_id) WHERE admission_time IS NOT NULL
+          ORDER BY hospital_visit_id, admission_time DESC, location_visit_id DESC) l USING (hospital_visit_id)
+        WHERE v.patient_class = 'EMERGENCY'""",
+    )
+    registered["occupancy_stream"] = statement(
+        "location location_visit",
+        """SELECT ward, ts, net, coalesce(sum(net) OVER (PARTITION BY ward ORDER BY ts
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS occupancy
+        FROM (SELECT split_part(location_string, '^', 1) AS ward, ts, sum(census)::BIGINT AS net
+          FROM (SELECT location_id, admission_time AS ts, 1 AS census FROM location_visit
+                UNION ALL SELECT location_id, discharge_time, -1 FROM location_visit)
+          JOIN location USING (location_id) WHERE ts IS NOT NULL GROUP BY ALL)""",
+    )
+    registered["occupancy_by_date"] = registered["occupancy"]
+    for name in ("cc_filter", "niv_filter", "location", "hour_grid", "oxygen"):
+        registered[f"sql_{name}"] = registered[name]
+    registered["sql_locf"] = registered["locf_aggregate"]
+    registered["sql_crosstab"] = registered["pivot_obs"]
+    registered["generations"] = registered["occupancy"]
     registered["snapshot"] = registered["occupancy"]
     registered["view_stack"] = registered["cc_filter"]
     return registered

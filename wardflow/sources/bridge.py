@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardflow.functions import fixed_values as fixed
 from wardflow.operators.neighbours import with_neighbours
-from wardflow.sources.ehr import SCHEMAS, EhrTables
+from wardflow.sources.ehr import EhrTables, columns_of
 from wardflow.sources.scratch import written_once
 
 AS_OF = "2024-01-31 00:00:00"
@@ -231,11 +231,20 @@ def _bridge(spark: SparkSession, folder: str) -> EhrTables:
         source, columns = PROJECTIONS[name]
         return _typed(spark.read.parquet(f"{folder}/{source}.parquet"), name, columns)
 
-    return EhrTables(spark, read)
+    def query(name: str) -> str:
+        if name == "location_visit":
+            files = read(name).inputFiles()[0].rsplit("/", 1)[0]
+            return f"SELECT * FROM parquet.`{files}`"
+        source, columns = PROJECTIONS[name]
+        types = columns_of(name)
+        fields = ", ".join(f"CAST({sql} AS {types[c]}) AS {c}" for c, sql in columns.items())
+        return f"SELECT {fields} FROM parquet.`{folder}/{source}.parquet`"
+
+    return EhrTables(spark, read, query)
 
 
 def _typed(df: DataFrame, name: str, columns: dict[str, str]) -> DataFrame:
-    types = dict(field.split() for field in SCHEMAS[name].split(", "))
+    types = columns_of(name)
     return df.select(
         *[F.expr(sql).cast(types[c]).alias(c) for c, sql in columns.items()]
     )

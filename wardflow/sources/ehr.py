@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +55,11 @@ SCHEMAS: dict[str, str] = {
 }
 
 
+def columns_of(name: str) -> dict[str, str]:
+    """Column -> type of a table."""
+    return dict(column.split() for column in SCHEMAS[name].split(", "))
+
+
 @dataclass
 class EhrTables:
     """Named access to the tables: ``tables.location_visit`` is a DataFrame.
@@ -64,6 +69,10 @@ class EhrTables:
 
     spark: SparkSession
     read: Callable[[str], DataFrame]
+    #: SQL text that selects a table, where it is stored; frames have none
+    query: Callable[[str], str] | None = None
+    #: schemas that were made of these tables, by the time their views call now
+    schemas: dict[object, tuple[str, str]] = field(default_factory=dict)
     _frames: dict[str, DataFrame] = field(default_factory=dict)
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -85,12 +94,39 @@ class EhrTables:
             path = f"{directory.rstrip('/')}/{name}.parquet"
             return spark.read.schema(SCHEMAS[name]).parquet(path)
 
-        return cls(spark, read)
+        def query(name: str) -> str:
+            return f"SELECT {', '.join(columns_of(name))} FROM parquet.`{directory.rstrip('/')}/{name}.parquet`"
+
+        return cls(spark, read, query)
 
     @classmethod
     def from_database(cls, spark: SparkSession, database: str) -> EhrTables:
         """Catalog tables; pick the generation of the schema by database name."""
-        return cls(spark, lambda name: spark.table(f"{database}.{name}"))
+        return cls.from_search_path(spark, [database])
+
+    @classmethod
+    def from_search_path(
+        cls,
+        spark: SparkSession,
+        schemas: Sequence[str],
+        renamed: Mapping[str, Mapping[str, Mapping[str, str]]] | None = None,
+    ) -> EhrTables:
+        """Each table from the first of ``schemas`` that has it: a newer generation before an older one.
+
+        A generation may hold some tables only.  ``renamed`` says where it calls columns otherwise:
+        schema -> table -> {our name: its name}.  All columns a table must have are selected by our
+        names and types, so pipelines read any mix of generations alike.
+        """
+
+        def query(name: str) -> str:
+            for schema in schemas:
+                if spark.catalog.tableExists(f"{schema}.{name}"):
+                    theirs = (renamed or {}).get(schema, {}).get(name, {})
+                    fields = (f"CAST({theirs.get(c, c)} AS {kind}) AS {c}" for c, kind in columns_of(name).items())
+                    return f"SELECT {', '.join(fields)} FROM {schema}.{name}"
+            raise LookupError(f"no table {name} in {', '.join(schemas)}")
+
+        return cls(spark, lambda name: spark.sql(query(name)), query)
 
     @classmethod
     def from_frames(
