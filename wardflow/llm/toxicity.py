@@ -30,6 +30,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardflow.llm.words import mix64, prefix_hash, span_hash
@@ -40,7 +42,7 @@ LANDMARKS = 256
 #: of their id, and the machine on so many of their distinct words, the commonest.
 TRAIN_DOCUMENTS, TRAIN_WORDS = 2000, 40_000
 #: Characters of texts whose words are found in one go; a longer text is handled alone.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 THRESHOLD = 0.3
 ROUNDS = 3
 #: Symbols of a word; longer ones are scored in overlapping pieces of this length.
@@ -378,10 +380,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def clean(documents: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``documents`` that the model doesn't reject, with all their columns."""
+    """The rows of ``documents`` that the model doesn't reject, with all their columns.
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(texts.tolist()))
+    A null, empty or wordless text has the score of one without any similarity.  Rows that repeat are
+    judged each on its own, other columns pass as they are, and an empty table gives an empty result.
+    Batches go through as they come; only the texts of one slice of rows are Python strings at a time.
+    """
+    schema = documents.schema
+    place = schema.names.index("text")
 
-    return documents.where(score(F.col("text").cast("string")) < THRESHOLD)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place).cast(pa.string())
+            upto = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+            begin = 0
+            while begin < len(texts):
+                done = upto[begin - 1] if begin else 0
+                rows = max(1, int(np.searchsorted(upto, done + SLICE_CHARS, "right")) - begin)
+                score = model.scores(texts.slice(begin, rows).to_pylist())
+                yield batch.slice(begin, rows).filter(pa.array(score < THRESHOLD))
+                begin += rows
+
+    return documents.mapInArrow(run, schema)
