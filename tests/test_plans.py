@@ -1,12 +1,18 @@
 """What the plans must and must not contain."""
 
 import re
+from contextlib import contextmanager
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from tests.compare import spark_rows
 from tests.conftest import data_dir
+from wardflow.catalog.tables import new_schema, store
+from wardflow.operators.prefix import with_running_totals
 from wardflow.plans.catalog import PIPELINES
+from wardflow.sources.bridge import bridge
 from wardflow.sources.ehr import SCHEMAS, EhrTables
 
 AS_OF = "2024-01-31 00:00:00"
@@ -101,3 +107,73 @@ def test_recent_windows_read_their_dates(spark, tmp_path, name):
     assert set(df.columns) == set(PIPELINES[name](EhrTables.from_frames(spark, {
         t: spark.createDataFrame([], s) for t, s in SCHEMAS.items()
     }), AS_OF).columns)
+
+
+@contextmanager
+def settings(spark, **values):
+    names = {f"spark.sql.{k.replace('__', '.')}": v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_tables_in_buckets_need_no_exchange_by_visit(spark):
+    source = bridge(spark, data_dir("0.001"))
+    schema = new_schema(spark, "bucketed")
+    store(source, schema, 4)
+    stored_tables = EhrTables.from_database(spark, schema)
+    with settings(spark, autoBroadcastJoinThreshold="1k", adaptive__enabled="false"):
+        # the places are few; all else is too large to broadcast here
+        frames = {name: stored_tables.read(name) for name in SCHEMAS}
+        frames["location"] = F.broadcast(frames["location"])
+        tables = EhrTables.from_frames(spark, frames)
+        by_visit = r"Exchange hashpartitioning\(hospital_visit_id"
+        assert re.search(by_visit, plan_of(PIPELINES["occupancy"](source, AS_OF)))
+        assert not re.search(by_visit, plan_of(PIPELINES["occupancy"](tables, AS_OF)))
+    assert spark_rows(PIPELINES["occupancy"](stored_tables, AS_OF)) == spark_rows(PIPELINES["occupancy"](source, AS_OF))
+
+
+@pytest.mark.parametrize("name", ["census_cc", "census_plus"])
+def test_the_cohort_filters_the_scan_of_stays(spark, tmp_path, name):
+    """Spark's runtime filter: stays of visits outside the horizon are dropped before they are shuffled."""
+    source = bridge(spark, data_dir("0.001"))
+    for table in SCHEMAS:
+        source.read(table).write.parquet(str(tmp_path / f"{table}.parquet"))
+    tables = EhrTables.from_directory(spark, str(tmp_path))
+    with settings(
+        spark,
+        autoBroadcastJoinThreshold="-1",
+        optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0",
+        optimizer__runtime__bloomFilter__creationSideThreshold="1g",
+    ):
+        plan = plan_of(PIPELINES[name](tables, AS_OF))
+    assert re.search(r"might_contain\([^\n]*hospital_visit_id", plan)
+
+
+def test_rows_of_one_instant_are_dealt_to_several_tasks(spark):
+    """Half of all moves at one instant: the instant is one row of totals, and its rows a join that Spark splits."""
+    n = 40_000
+    moves = spark.range(0, n, 1, 64).select(
+        F.lit("W").alias("ward"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, IF(id % 2 = 0, 0, id))").alias("ts"),
+        F.when(F.col("id") % 3 == 0, -1).otherwise(1).alias("census"),
+        F.sha2(F.col("id").cast("string"), 256).alias("payload"),
+    )
+    small = {
+        "autoBroadcastJoinThreshold": "-1",
+        "adaptive__advisoryPartitionSizeInBytes": "160k",
+        "adaptive__skewJoin__skewedPartitionThresholdInBytes": "160k",
+        "adaptive__skewJoin__skewedPartitionFactor": "1.5",
+        "adaptive__coalescePartitions__enabled": "false",
+    }
+    with settings(spark, **small):
+        found = with_running_totals(moves, moves, "ts", "census", {"running": "ward"})
+        held = found.groupBy(F.spark_partition_id().alias("task")).agg(F.count("payload").alias("n"), F.max("running").alias("m")).collect()
+    counts = sorted(r["n"] for r in held)
+    assert sum(counts) == n and counts[-1] <= 2 * n / len(counts) and len(counts) > 8
+    assert max(r["m"] for r in held) == moves.agg(F.sum("census")).first()[0]

@@ -61,11 +61,10 @@ def with_neighbours(
     ).withColumn("_before", F.col("_size") - F.col("_after") - 1)
     is_outer = (F.col("_after") < reach) | (F.col("_before") < reach)
     whole = Window.partitionBy(key).orderBy(F.asc_nulls_last(ts), F.asc(row_id))
-    outer = placed.where(is_outer)
-    for name, (source, offset) in shifts.items():
+
+    def near_or_far(name: str, source: str, offset: int) -> Column:
         room = F.col("_after") >= offset if offset > 0 else F.col("_before") >= -offset
-        far = _shifted(name, source, offset, whole)
-        outer = outer.withColumn(f"_far_{name}", F.when(room, F.col(name)).otherwise(far))
-    columns = [*df.columns, *shifts]
-    merged = outer.select(*df.columns, *[F.col(f"_far_{name}").alias(name) for name in shifts])
-    return placed.where(~is_outer).select(*columns).unionByName(merged)
+        return F.when(room, F.col(name)).otherwise(_shifted(name, source, offset, whole)).alias(name)
+
+    merged = placed.where(is_outer).select(*df.columns, *[near_or_far(name, *shift) for name, shift in shifts.items()])
+    return placed.where(~is_outer).select(*df.columns, *shifts).unionByName(merged)

@@ -15,6 +15,11 @@ def open_stay() -> Column:
     )
 
 
+def beds_in_use(stays: DataFrame, *columns: str) -> DataFrame:
+    """The distinct places in use now; a bed shown twice (a ghost) counts once."""
+    return stays.where(open_stay()).select(*columns).distinct()
+
+
 def occupied_now(stays: DataFrame, group: str, counted: str, name: str) -> DataFrame:
     """Distinct beds in use per group; a bed shown twice (a ghost) counts once."""
     return (

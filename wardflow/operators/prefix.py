@@ -60,43 +60,53 @@ def running_total(
     return summed.unionByName(open_)
 
 
-def with_running_totals(
-    rows: DataFrame,
-    moves: DataFrame,
-    ts: str,
-    value: str,
-    groups: dict[str, str],
-    slot: int = SLOT_MINUTES,
+def running_totals(
+    moves: DataFrame, ts: str, value: str, groups: dict[str, str], slot: int = SLOT_MINUTES
 ) -> DataFrame:
-    """Add running sums of ``value``, newest first, to wide rows.
+    """One row per (groups, ts) with all running sums: for each, what its group has at or after ``ts``.
 
-    ``groups`` maps each new column to the column it is partitioned by.  ``moves`` holds the same
-    (groups, ts, value) as ``rows`` from a cheaper source.  Wide rows with a time are shuffled once,
-    by slot, for all sums together; those without are joined to the one sum of their group.
+    ``groups`` maps each new column to the column it is partitioned by.  Moves of the same groups and
+    instant are folded before anything is shuffled; one exchange by slot serves all sums.
     """
-    slot_of = time_slot(F.col(ts), slot)
-    slotted = moves.select(
-        *groups.values(), slot_of.alias("_slot"), F.col(value).alias("_value")
-    )
-    by_slot = slotted.groupBy(*groups.values(), "_slot").agg(F.sum("_value").alias("_value"))
-    carries = {name: slot_carries(by_slot, group) for name, group in groups.items()}
-
-    stream = (
-        rows.where(F.col(ts).isNotNull())
-        .withColumn("_slot", slot_of)
-        .withColumns({"_carry": F.lit(False), **{f"_{name}": F.col(value) for name in groups}})
+    keys = list(dict.fromkeys(groups.values()))
+    cells = (
+        moves.groupBy(*keys, time_slot(F.col(ts), slot).alias("_slot"), ts)
+        .agg(F.sum(value).alias("_value"))
     )
-    open_rows = rows.where(F.col(ts).isNull())
+    by_slot = cells.groupBy(*keys, "_slot").agg(F.sum("_value").alias("_value"))
+    dated = cells.where(F.col(ts).isNotNull())
+    stream = dated.withColumns({"_carry": F.lit(False), **{f"_{name}": F.col("_value") for name in groups}})
     for name, group in groups.items():
-        carry = carries[name].withColumnRenamed("_value", f"_{name}")
+        carry = slot_carries(by_slot, group).withColumnRenamed("_value", f"_{name}")
         stream = stream.unionByName(carry.where(F.col("_slot").isNotNull()), allowMissingColumns=True)
-        of_open = carry.where(F.col("_slot").isNull()).select(group, F.col(f"_{name}").alias(name))
-        open_rows = null_safe_join(open_rows, of_open, [group], "left")
     # hash(slot) also is a clustering by (ward, slot) and by (critical care, slot)
     stream = stream.repartition("_slot")
     for name, group in groups.items():
-        # rows of the same instant are peers: the default frame includes them all
+        # cells of the same instant are peers: the default frame includes them all
         order = Window.partitionBy("_slot", group).orderBy(F.desc("_carry"), F.desc(ts))
         stream = stream.withColumn(name, F.sum(f"_{name}").over(order))
-    dated = stream.where(~F.col("_carry")).select(*rows.columns, *groups)
-    return dated.unionByName(open_rows.select(*rows.columns, *groups))
+    # open times: a row for each combination of groups is left by the fold
+    open_cells = cells.where(F.col(ts).isNull())
+    for name, group in groups.items():
+        open_cells = open_cells.withColumn(name, F.sum("_value").over(Window.partitionBy(group)))
+    columns = [*keys, ts, *groups]
+    return stream.where(~F.col("_carry")).select(*columns).unionByName(open_cells.select(*columns))
+
+
+def with_running_totals(
+    rows: DataFrame,
+    moves: DataFrame,
+    ts: str,
+    value: str,
+    groups: dict[str, str],
+    slot: int = SLOT_MINUTES,
+) -> DataFrame:
+    """Add running sums of ``value``, newest first, to wide rows.
+
+    ``moves`` holds the same (groups, ts, value) as ``rows`` from a cheaper source.  The sums are
+    found on narrow, folded moves; each wide row is shuffled once, to meet the one row of its groups and
+    instant.  An instant that very many rows have (a default time, or an open one) is a skewed key
+    of that join, whose rows adaptive execution deals to several tasks.
+    """
+    totals = running_totals(moves, ts, value, groups, slot)
+    return null_safe_join(rows, totals, [*dict.fromkeys(groups.values()), ts], "inner")

@@ -17,7 +17,7 @@ from wardflow.functions.locations import (
 from wardflow.functions.times import ago, out_of_hours
 from wardflow.operators.intervals import BED_IN, BED_OUT, interval_events
 from wardflow.operators.neighbours import with_neighbours
-from wardflow.operators.occupied import occupied_now
+from wardflow.operators.occupied import beds_in_use
 from wardflow.operators.prefix import with_running_totals
 from wardflow.sources.ehr import EhrTables
 
@@ -175,9 +175,11 @@ def census(
         "census",
         sums,
     )
-    wards = occupied_now(counted, "ward", "bed", "occupancy_now")
+    # one fold for both anchors: there are no more rows in it than beds
+    in_use = beds_in_use(counted, "ward", "critical_care", "bed", "location_string")
+    wards = in_use.groupBy("ward").agg(F.countDistinct("bed").alias("occupancy_now"))
     if by_critical_care:
-        care = occupied_now(counted, "critical_care", "location_string", "cc_now")
+        care = in_use.groupBy("critical_care").agg(F.countDistinct("location_string").alias("cc_now"))
         events = events.join(wards, "ward", "left").join(care, "critical_care", "left")
     else:
         events = events.join(wards, "ward")
