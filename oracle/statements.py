@@ -66,20 +66,22 @@ VISIT = """v.hospital_visit_id, v.encounter, v.admission_time, v.arrival_method,
     v.presentation_time, v.discharge_time, v.discharge_disposition"""
 EMERGENCIES = f"""v.presentation_time > {NOW} - INTERVAL 12 HOUR
     AND v.patient_class = 'EMERGENCY' AND v.arrival_method = 'Ambulance'"""
-WITH_MRNS = """hospital_visit v
-    JOIN mrn booked USING (mrn_id)
-    JOIN mrn_to_live m2l USING (mrn_id)
-    JOIN mrn living ON living.mrn_id = m2l.live_mrn_id"""
+#: For every number a patient was booked under, the number and the identity that is valid today.
+NUMBERS = """(SELECT k.mrn_id, old.mrn AS original_mrn, now.mrn AS live_mrn
+    FROM mrn_to_live k, mrn old, mrn now WHERE old.mrn_id = k.mrn_id AND now.mrn_id = k.live_mrn_id)"""
+VISITS_WITH_NUMBERS = f"hospital_visit v JOIN {NUMBERS} USING (mrn_id)"
+
+#: The persons with what is known of their identity today, if anything is.
+PERSONS = """(SELECT c.mrn_id AS booked_id, c.core_demographic_id, known.*
+    FROM core_demographic c LEFT JOIN (
+      SELECT k.mrn_id AS mrn_id_alt, i.mrn_id, i.mrn, i.nhs_number
+      FROM mrn_to_live k LEFT JOIN mrn i ON i.mrn_id = k.live_mrn_id) known ON known.mrn_id_alt = c.mrn_id)"""
 
 
 def identities(visits: str) -> str:
-    return f"""SELECT DISTINCT p.core_demographic_id, living.mrn_id, m2l.mrn_id AS mrn_id_alt,
-      living.mrn, living.nhs_number, x.hospital_visit_id, v.encounter
-    FROM {visits} x
-    LEFT JOIN hospital_visit v ON v.hospital_visit_id = x.hospital_visit_id
-    LEFT JOIN core_demographic p ON p.mrn_id = v.mrn_id
-    LEFT JOIN mrn_to_live m2l ON m2l.mrn_id = p.mrn_id
-    LEFT JOIN mrn living ON living.mrn_id = m2l.live_mrn_id"""
+    return f"""SELECT DISTINCT core_demographic_id, who.mrn_id, mrn_id_alt, mrn, nhs_number, hospital_visit_id, encounter
+    FROM {visits} LEFT JOIN (SELECT hospital_visit_id, encounter, mrn_id AS visit_mrn_id FROM hospital_visit) USING (hospital_visit_id)
+    LEFT JOIN {PERSONS} who ON who.booked_id = visit_mrn_id"""
 
 
 DICTIONARY = """
@@ -273,6 +275,11 @@ RECENT = f"observation_datetime > {NOW} - INTERVAL 7 DAY"
 DEVICE_FLOW = " ".join(
     f"WHEN r.o2_device = '{device}' THEN {flow}" for device, flow in fixed.O2_DEVICE_FLOW
 )
+#: Where each visit was from which time on; of stays begun at one time that of the largest number.
+PLACES_BY_TIME = """(SELECT hospital_visit_id, admission_time AS since, max(location_visit_id) AS stay_id,
+        arg_max(struct_pack(place := location_string), location_visit_id).place AS location_string
+      FROM location_visit JOIN location USING (location_id)
+      WHERE admission_time IS NOT NULL GROUP BY hospital_visit_id, admission_time)"""
 HOURLY_STEPS = dict(
     readings=pivoted(RECENT),
     located=f"""
@@ -280,11 +287,8 @@ HOURLY_STEPS = dict(
       CAST(CASE WHEN r.o2_lmin IS NOT NULL THEN r.o2_lmin {DEVICE_FLOW}
         WHEN r.o2_fi > 60 THEN 11 WHEN r.o2_fi > 40 THEN 8 WHEN r.o2_fi > 21 THEN 5
         ELSE 0 END AS DOUBLE) AS demand
-    FROM readings r, LATERAL (
-      SELECT l.location_string FROM location_visit v JOIN location l USING (location_id)
-      WHERE v.hospital_visit_id = r.hospital_visit_id
-        AND v.admission_time <= r.observation_datetime
-      ORDER BY v.admission_time DESC, v.location_visit_id DESC LIMIT 1) s""",
+    FROM readings r ASOF JOIN {PLACES_BY_TIME} s
+      ON s.hospital_visit_id = r.hospital_visit_id AND s.since <= r.observation_datetime""",
     hourly="""
     SELECT hospital_visit_id, location_string,
       date_trunc('hour', observation_datetime) AS obs_dt, avg(demand) AS o2_demand
@@ -345,15 +349,15 @@ def statements(bridged: bool = True) -> dict[str, str]:
         ),
         "hospital_visit_2": statement(
             "hospital_visit mrn mrn_to_live",
-            f"""SELECT {VISIT}, booked.mrn AS original_mrn, living.mrn AS live_mrn
-            FROM {WITH_MRNS} WHERE {EMERGENCIES}""",
+            f"""SELECT {VISIT}, original_mrn, live_mrn
+            FROM {VISITS_WITH_NUMBERS} WHERE {EMERGENCIES}""",
         ),
         "hospital_visit_3": statement(
             "hospital_visit mrn mrn_to_live core_demographic",
-            f"""SELECT {VISIT}, booked.mrn AS original_mrn, living.mrn AS live_mrn,
+            f"""SELECT {VISIT}, original_mrn, live_mrn,
               p.date_of_birth, {AGE} AS age, p.sex, p.home_postcode,
               concat(left(p.firstname, 1), left(p.lastname, 1)) AS initials
-            FROM {WITH_MRNS} JOIN core_demographic p ON p.mrn_id = v.mrn_id
+            FROM {VISITS_WITH_NUMBERS} JOIN core_demographic p USING (mrn_id)
             WHERE {EMERGENCIES}""",
         ),
         "lactate": statement(
@@ -426,14 +430,10 @@ def statements(bridged: bool = True) -> dict[str, str]:
         # single operators
         "asof_join": statement(
             O2_TABLES,
-            """SELECT o.visit_observation_id, o.hospital_visit_id, o.observation_datetime,
-              s.location_visit_id, s.location_string
-            FROM visit_observation o, LATERAL (
-              SELECT v.location_visit_id, l.location_string
-              FROM location_visit v JOIN location l USING (location_id)
-              WHERE v.hospital_visit_id = o.hospital_visit_id
-                AND v.admission_time <= o.observation_datetime
-              ORDER BY v.admission_time DESC, v.location_visit_id DESC LIMIT 1) s""",
+            f"""SELECT o.visit_observation_id, o.hospital_visit_id, o.observation_datetime,
+              s.stay_id AS location_visit_id, s.location_string
+            FROM visit_observation o ASOF JOIN {PLACES_BY_TIME} s
+              ON s.hospital_visit_id = o.hospital_visit_id AND s.since <= o.observation_datetime""",
         ),
         "latest_stay": statement(
             "location_visit",
@@ -475,8 +475,7 @@ def statements(bridged: bool = True) -> dict[str, str]:
         ),
         "resolve_live_mrn": statement(
             "hospital_visit mrn mrn_to_live",
-            f"""SELECT v.hospital_visit_id, booked.mrn AS original_mrn,
-              living.mrn AS live_mrn FROM {WITH_MRNS}""",
+            f"SELECT hospital_visit_id, original_mrn, live_mrn FROM {VISITS_WITH_NUMBERS}",
         ),
         "distinct_visits": statement(
             "visit_observation visit_observation_type flowsheetrowdim",

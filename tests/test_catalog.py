@@ -99,14 +99,14 @@ def test_a_view_sees_new_rows(spark):
 def test_views_are_dropped_after_their_readers(spark, tables, schemas):
     flow = new_schema(spark, "flow")
     views.create_functions(spark, flow, schemas[0], AS_OF)
-    assert views.create_catalog_views(spark, flow, schemas[0], ["cc_filter"]) == ["location", "cc_visits", "cc_filter"]
+    assert views.create_catalog_views(spark, flow, schemas[0], ["cc_filter"]) == ["identities", "location", "cc_visits", "cc_filter"]
     there = lambda: {v.name for v in spark.catalog.listTables(flow)}
-    assert there() == {"location", "cc_visits", "cc_filter"}
+    assert there() == {"identities", "location", "cc_visits", "cc_filter"}
     with pytest.raises(AnalysisException):
         views.create_catalog_views(spark, flow, schemas[0], ["location"], replace=False)
     views.create_catalog_views(spark, flow, schemas[0], ["location"])
     assert views.drop_catalog_views(spark, flow, ["cc_visits", "niv_filter"]) == ["niv_filter", "cc_filter", "cc_visits"]
-    assert there() == {"location"}
+    assert there() == {"identities", "location"}
     views.drop_catalog_views(spark, flow)
     views.drop_functions(spark, flow)
     assert not there() and not spark.sql(f"SHOW USER FUNCTIONS IN {flow}").count()

@@ -32,14 +32,10 @@ def _texts(values) -> str:
 
 
 def _identities(visits: str) -> str:
-    """The patients behind some visits: numbers of the live identity, and the one booked under."""
-    return f"""SELECT DISTINCT person.core_demographic_id, live.mrn_id, merged.mrn_id AS mrn_id_alt, live.mrn, live.nhs_number,
-      x.hospital_visit_id, visit.encounter
-    FROM (SELECT DISTINCT hospital_visit_id FROM {visits}) x
-    LEFT JOIN {{tables}}.hospital_visit visit ON visit.hospital_visit_id = x.hospital_visit_id
-    LEFT JOIN {{tables}}.core_demographic person ON person.mrn_id = visit.mrn_id
-    LEFT JOIN {{tables}}.mrn_to_live merged ON merged.mrn_id = person.mrn_id
-    LEFT JOIN {{tables}}.mrn live ON live.mrn_id = merged.live_mrn_id"""
+    return f"""SELECT DISTINCT i.core_demographic_id, i.mrn_id, i.mrn_id_alt, i.mrn, i.nhs_number, x.hospital_visit_id, v.encounter
+    FROM {visits} x
+    LEFT JOIN {{tables}}.hospital_visit v ON v.hospital_visit_id = x.hospital_visit_id
+    LEFT JOIN identities i ON i.person_mrn_id = v.mrn_id"""
 
 
 VIEWS: dict[str, SqlView] = {
@@ -51,12 +47,19 @@ VIEWS: dict[str, SqlView] = {
         FROM (SELECT *, split_part(location_string, '{fixed.SEPARATOR}', 1) AS ward_raw,
           split_part(location_string, '{fixed.SEPARATOR}', 3) AS bed FROM {{tables}}.location)"""
     ),
+    # every person with the number booked under and, if known, the identity valid today
+    "identities": SqlView(
+        """SELECT p.mrn_id AS person_mrn_id, p.core_demographic_id, today.*
+        FROM {tables}.core_demographic p
+        LEFT JOIN (SELECT m.mrn_id AS mrn_id_alt, n.mrn_id, n.mrn, n.nhs_number FROM {tables}.mrn_to_live m
+          LEFT JOIN {tables}.mrn n ON n.mrn_id = m.live_mrn_id) today ON today.mrn_id_alt = p.mrn_id"""
+    ),
     "cc_visits": SqlView(
         """SELECT DISTINCT s.hospital_visit_id FROM {tables}.location_visit s
         JOIN location l ON l.location_id = s.location_id WHERE l.critical_care = true""",
         ("location",),
     ),
-    "cc_filter": SqlView(_identities("cc_visits"), ("cc_visits",)),
+    "cc_filter": SqlView(_identities("cc_visits"), ("identities", "cc_visits")),
     "visit_observation_type": SqlView(
         """SELECT k.visit_observation_type, k.id_in_application, k.source_application, f.name, f.displayname,
           f.abbreviation, f.valuetype, f.rowtype, f.unit, f.description, f.iscalculated, f._lastupdatedinstant
@@ -70,7 +73,7 @@ VIEWS: dict[str, SqlView] = {
           OR (k.name = '{fixed.OXYGEN_DELIVERY_ROW}' AND o.value_as_text = '{fixed.NIV_DEVICE_TEXT}')""",
         ("visit_observation_type",),
     ),
-    "niv_filter": SqlView(_identities("niv_visits"), ("niv_visits",)),
+    "niv_filter": SqlView(_identities("niv_visits"), ("identities", "niv_visits")),
     "last_known_values": SqlView(
         """SELECT hospital_visit_id, last_real, last_text, locf_s(0D, last_real) AS real_or_zero
         FROM (SELECT hospital_visit_id,
