@@ -8,13 +8,16 @@ level follows from running sums over the sources in this order, without iteratin
 Sampling.  A source whose target is e times its size gives each document floor(e) times, and once
 more to documents in a seeded random order until the rest of the target is reached: a document
 goes in if at least half of it fits.  The order's running sum is cut into slots: sums per slot
-show in which slot a source's target falls, and only that slot's documents are sorted.
+show in which slot a source's target falls, and only that slot's rows are sorted, by key and size alone.
+What comes of it is one row per source, which the documents are joined with.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wardflow.sources.scratch import written
+
 #: A slot is so many leading hexadecimal digits of a document's random key.
 SLOT_DIGITS = 3
 
@@ -51,16 +54,13 @@ def water_filled(sizes: DataFrame, share: float, max_epochs: float) -> DataFrame
     return levelled.withColumn("target", F.when(F.col("w").isNull(), 0.0).otherwise(target)).select("source", "source_size", "weight", "target")
 
 
-def _decided(documents: DataFrame, size: Column | None, weights, share: float, max_epochs: int, seed: int) -> DataFrame:
-    """Each row as the struct ``row``, with its own and its source's figures beside it."""
-    size = n_words(F.col("text").cast("string")) if size is None else size
-    rows = documents.select(
-        F.struct("*").alias("row"),
-        F.col("source").alias("of"),
-        size.alias("size"),
-        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))).alias("key"),
-    ).withColumn("slot", F.conv(F.substring("key", 1, SLOT_DIGITS), 16, 10).cast("int"))
-    slots = rows.groupBy(F.col("of").alias("source"), "slot").agg(F.sum("size").alias("words"))
+def _decisions(narrow: DataFrame, weights, share: float, max_epochs: int) -> DataFrame:
+    """One row per source, written: its figures, and up to which row of its random order it goes in once more.
+
+    ``narrow`` has ``of, size, key, slot``.  Rows of earlier slots than ``cut_slot`` go in, and those of
+    that slot up to ``last``: the key and size of the last one, and how many rows with both.
+    """
+    slots = narrow.groupBy(F.col("of").alias("source"), "slot").agg(F.sum("size").alias("words"))
     sizes = slots.groupBy("source").agg(F.sum("words").alias("source_size"))
     targets = water_filled(cyclic_weights(sizes, weights), share, max_epochs)
     times = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))
@@ -75,13 +75,43 @@ def _decided(documents: DataFrame, size: Column | None, weights, share: float, m
         .groupBy("in_source", "source_size", "target", "whole", "rest")
         .agg(F.max("slot").alias("cut_slot"), F.max("before").alias("cut_before"))
     )
-    joined = rows.join(cut, F.col("of").eqNullSafe(F.col("in_source")))
-    decided = joined.where("slot <> cut_slot").withColumn("more", (F.col("slot") < F.col("cut_slot")).cast("int"))
-    inside = Window.partitionBy("of", "slot").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = written(cut, "cut")
+    there = F.col("of").eqNullSafe(F.col("in_source")) & (F.col("slot") == F.col("cut_slot"))
+    inside = Window.partitionBy("of").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.col("cut_before") + F.sum("size").over(inside)
-    at_cut = joined.where("slot = cut_slot").withColumn("more", (upto - F.col("size") / 2 <= F.col("rest")).cast("int"))
+    at_cut = narrow.join(cut, there).withColumn("upto", upto)
+    # what stands before a row's middle only grows, so those that go in are the first ones
+    goes_in = at_cut.where(F.col("upto") - F.col("size") / 2 <= F.col("rest"))
+    last = goes_in.groupBy("of", "key", "size").agg(F.count(F.lit(1)).alias("n")).groupBy("of").agg(F.max(F.struct("key", "size", "n")).alias("last"))
+    found = cut.join(last, F.col("in_source").eqNullSafe(F.col("of")), "left")
+    return written(found.select("in_source", "source_size", "target", "whole", "cut_slot", "last"), "decisions")
+
+
+def _decided(
+    documents: DataFrame, size: Column | None, weights, share: float, max_epochs: int, seed: int, sized: bool = True
+) -> DataFrame:
+    """Each row as the struct ``row``, with its source's figures beside it and, if ``sized``, its own size.
+
+    Rows meet one row per source, which Spark broadcasts by the size of what was written: texts aren't shuffled.
+    """
+    size = n_words(F.col("text").cast("string")) if size is None else size
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
+    of, slot = F.col("source").alias("of"), F.conv(F.substring("key", 1, SLOT_DIGITS), 16, 10).cast("int")
+    narrow = written(documents.select(of, size.alias("size"), key.alias("key")).withColumn("slot", slot), "sized")
+    rows = documents.select(F.struct("*").alias("row"), of, key.alias("key"), *([size.alias("size")] if sized else []))
+    own_size = F.col("size") if sized else n_words(F.col("row")["text"].cast("string"))
+    decisions = _decisions(narrow, weights, share, max_epochs)
+    joined = rows.withColumn("slot", slot).join(decisions, F.col("of").eqNullSafe(F.col("in_source")))
+    # the size is looked at for the last row that goes in alone, and rows with its id
+    is_last = F.coalesce((F.col("slot") == F.col("cut_slot")) & (F.col("key") == F.col("last.key")) & (own_size == F.col("last.size")), F.lit(False))
+    same_key = F.when(F.col("key") == F.col("last.key"), own_size < F.col("last.size")).otherwise(F.col("key") < F.col("last.key"))
+    first = (F.col("slot") < F.col("cut_slot")) | ((F.col("slot") == F.col("cut_slot")) & F.coalesce(same_key, F.lit(False)))
+    decided = joined.where(~is_last).withColumn("more", first.cast("int"))
+    equal = F.row_number().over(Window.partitionBy("of", "key").orderBy("key"))
+    ties = joined.where(is_last).withColumn("more", (equal <= F.col("last.n")).cast("int"))
     copies = F.least(F.col("whole") + F.col("more"), F.lit(max_epochs)).cast("int")
-    return decided.unionByName(at_cut).select("row", "size", "source_size", "target", copies.alias("copies"))
+    figures = ["size", "source_size", "target"] if sized else []
+    return decided.unionByName(ties).select("row", *figures, copies.alias("copies"))
 
 
 def mixed(
@@ -108,7 +138,10 @@ def mixed(
 def repeated(
     documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, seed: int = 7
 ) -> DataFrame:
-    """The mix itself: each row as often as it is taken, with the columns of ``documents``."""
-    found = _decided(documents, None, weights, share, max_epochs, seed)
+    """The mix itself: each row as often as it is taken, with the columns of ``documents``.
+
+    Nulls, repeated rows and an empty table are as in ``mixed``; other columns pass as they are.
+    """
+    found = _decided(documents, None, weights, share, max_epochs, seed, sized=False)
     times = F.explode(F.expr("array_repeat(0, copies)"))
     return found.select("row", times.alias("copy")).select("row.*")
