@@ -159,3 +159,10 @@ def test_counts_are_stitched_across_blocks(spark, tik, block):
     got = sorted(((r["doc_id"], r["n_tokens"]) for r in token_counts.counts(files).collect()), key=str)
     assert got == sorted(((r["doc_id"], len(tik.encode_ordinary(r["text"] or ""))) for r in docs.collect()), key=str)
     assert token_counts.counts(token_counts.token_files(docs.limit(0), RANKS)).count() == 0
+
+
+def test_ids_that_do_not_fit_are_refused(spark):
+    docs = documents(spark)
+    for end_id in (50_255, 70_000):
+        with pytest.raises(ValueError, match="16 bits"):
+            token_counts.token_files(docs, RANKS, end_id)

@@ -248,7 +248,8 @@ def encode_column(
     """``documents`` with a binary column: the text's ids as little-endian unsigned 32-bit integers.
 
     A null text is empty and has no ids.  ``check`` names a column for whether the ids decode to the
-    text again.  All other columns stay; those of the added names are replaced.
+    text again.  All other columns stay; those of the added names are replaced.  Rows that repeat are
+    encoded each on its own, and an empty table stays empty.
     """
 
     def run(batches):
@@ -282,7 +283,8 @@ def decode_column(encoded: DataFrame, ranks_path: str, column: str = "ids", to:
 def digests(documents: DataFrame, ranks_path: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row, null texts as empty ones.
 
-    The decoded bytes are hashed chunk by chunk, as a stream would bring them.
+    The decoded bytes are hashed chunk by chunk, as a stream would bring them.  Rows that repeat get
+    a row each, other columns are ignored, and an empty table gives an empty result.
     """
 
     def run(batches):

@@ -82,7 +82,8 @@ def final_messages(events: DataFrame) -> DataFrame:
 def rendered(messages: DataFrame) -> DataFrame:
     """``conv_id, formatted, loss_mask`` of each conversation.
 
-    ``loss_mask`` holds the spans ``start`` and ``length`` in code points of what is learned.
+    ``loss_mask`` holds the spans ``start`` and ``length`` in code points of what is learned.  Null roles and
+    texts are empty by then; messages that repeat stand one after the other, and without messages there is no row.
     """
     head = F.concat(F.lit(TURN), escaped(F.col("role"), ROLE_ESCAPES), F.lit("\n"))
     body = escaped(F.col("text"))

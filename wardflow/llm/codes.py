@@ -189,7 +189,8 @@ def segments(documents: DataFrame, tokenizer_path: str, end_id: int = 0) -> Data
     """All texts as segments: ``part, seq, doc_ids, lengths, n_ids, codes``.
 
     Segments in order of ``part`` and ``seq`` hold the documents in ascending ``doc_id`` (nulls
-    first, equal ones by text); ``end_id`` follows each document.  A null text is empty.
+    first, equal ones by text); ``end_id`` follows each document.  A null text is empty.  Other columns are
+    ignored, and an empty table has no segments.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

@@ -113,7 +113,8 @@ def _scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def scored(documents: DataFrame) -> DataFrame:
     """``COLUMNS`` for every row of ``documents``; only ``doc_id`` and ``text`` are read.
 
-    A null text is an empty one: no words, all measures 0, failed for its length.
+    A null text is an empty one: no words, all measures 0, failed for its length.  Rows that repeat get
+    a row each, and an empty table gives an empty result.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInPandas(_scored, COLUMNS)

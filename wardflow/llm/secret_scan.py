@@ -217,7 +217,8 @@ def _scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def scanned(documents: DataFrame) -> DataFrame:
     """``doc_id``, the number of spans of each kind, a digest of the base ones, and all ``spans``.
 
-    One row for each row of ``documents``; a null text is empty and has none.
+    One row for each row of ``documents``, repeated ones too; a null text is empty and has none.  Other
+    columns are ignored, and an empty table gives an empty result.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counted = ", ".join(f"n_{kind} long" for kind in KINDS)

@@ -58,8 +58,14 @@ def token_files(documents: DataFrame, ranks_path: str, end_id: int = END_ID, blo
     """``file, block, ids, ended``: all texts as flat files of packed 16-bit ids.
 
     A null text has no ids, only its end mark.  ``ended`` names the documents whose mark lies in
-    the block; the scan pairs them with the marks it finds.
+    the block; the scan pairs them with the marks it finds.  Rows that repeat an id are documents of their
+    own, other columns are ignored, and an empty table has no blocks.  Ids that 16 bits can't hold, and an
+    end mark that is a token of the rank file, are errors.
     """
+    with open(ranks_path, "rb") as lines:
+        highest = max((int(line.split()[1]) for line in lines), default=-1)
+    if not highest < end_id <= 0xFFFF:
+        raise ValueError(f"ids up to {highest} and the end mark {end_id} must differ and fit into 16 bits")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.withColumn("part", F.spark_partition_id()).mapInPandas(
         lambda batches: _packed(batches, ranks_path, end_id, block), "file int, block int, ids binary, ended array<long>"
@@ -106,7 +112,10 @@ def scanned(files: DataFrame, end_id: int = END_ID) -> DataFrame:
 
 
 def counts(files: DataFrame, end_id: int = END_ID) -> DataFrame:
-    """``doc_id, n_tokens`` of every document in a table of token files, end marks not counted."""
+    """``doc_id, n_tokens`` of every document in a table of token files, end marks not counted.
+
+    An id that was written twice is counted twice, a row each; without blocks there is no row.
+    """
     found = scanned(files, end_id)
     named = found.join(files.select("file", "block", "ended"), ["file", "block"])
     each = named.select("carried", F.posexplode(F.arrays_zip("ended", "lengths")).alias("place", "document"))

@@ -181,7 +181,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block_points: int =
     ``vectors``: ``vec_id, embedding``; scores are of the quantised vectors, ties go to the smaller
     vec_id.  Vectors that are null or hold a null or non-finite component, rows without vec_id, and
     vectors of another length than most take no part.  Rows that repeat a vec_id count once per
-    distinct vector.  Scores are exact while sums of squares stay below 2**53.
+    distinct vector.  Scores are exact while sums of squares stay below 2**53.  Other columns are ignored,
+    whatever their names, and an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     rows = vectors.select(
