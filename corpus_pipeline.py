@@ -12,7 +12,10 @@ from wardflow.sources.scratch import written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text the model, fitted on the labelled rows of ``sf_dir``, doesn't reject."""
+    """Rows whose text the model, fitted on the labelled rows of ``sf_dir``, doesn't reject.
+
+    Null and empty texts stay; rows that repeat are judged each on its own, and an empty table stays empty.
+    """
     return toxicity.clean(docs, trained(spark, sf_dir))
 
 
@@ -44,17 +47,20 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with secrets replaced by a mark and ``n_chars`` of the new text."""
+    """All rows, repeated ones too, with secrets replaced by a mark and ``n_chars`` of the new text; null stays null."""
     return secret_scan.redacted(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix takes them."""
+    """Rows as often as the mix takes them; of repeated rows each on its own, null sources as one source."""
     return mixing.repeated(docs)
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, source, n_tokens, ids, decodes``: packed ids, and whether they read back as the text."""
+    """``doc_id, source, n_tokens, ids, decodes``: packed ids, and whether they read back as the text.
+
+    A row for each row, repeated ones too; a null text has no ids.  An empty table gives an empty result.
+    """
     rows = docs.select("doc_id", "source", "text")
     both = bpe.encode_column(rows, public_tokenizers.path(RANKS), check="decodes")
     return both.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decodes")
