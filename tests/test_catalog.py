@@ -86,7 +86,7 @@ def test_views_run_no_python_and_no_single_task(spark, schemas):
 
 
 def test_a_view_sees_new_rows(spark):
-    tables, flow = new_schema(spark, "star"), new_schema(spark, "flow")
+    tables, flow = new_schema(spark, "ehr"), new_schema(spark, "views")
     for name, schema in SCHEMAS.items():
         spark.createDataFrame([], schema).write.saveAsTable(f"{tables}.{name}")
     views.create_functions(spark, flow, tables)
@@ -97,7 +97,7 @@ def test_a_view_sees_new_rows(spark):
 
 
 def test_views_are_dropped_after_their_readers(spark, tables, schemas):
-    flow = new_schema(spark, "flow")
+    flow = new_schema(spark, "views")
     views.create_functions(spark, flow, schemas[0], AS_OF)
     assert views.create_catalog_views(spark, flow, schemas[0], ["cc_filter"]) == ["identities", "location", "cc_visits", "cc_filter"]
     there = lambda: {v.name for v in spark.catalog.listTables(flow)}
@@ -126,7 +126,7 @@ def test_the_first_schema_that_has_a_table_counts(spark, tables, schemas):
 def test_stored_tables_are_read_in_place(spark, tables, tmp_path):
     for name in ("location", "location_visit"):
         tables.read(name).write.parquet(str(tmp_path / f"{name}.parquet"))
-    schema = new_schema(spark, "star")
+    schema = new_schema(spark, "ehr")
     publish(EhrTables.from_directory(spark, str(tmp_path)), schema, ["location", "location_visit"])
     assert all(v.tableType == "VIEW" for v in spark.catalog.listTables(schema))
     assert spark_rows(spark.table(f"{schema}.location_visit")) == spark_rows(tables.location_visit)

@@ -28,7 +28,7 @@ def schemas_of(t: EhrTables, as_of: AsOf) -> tuple[str, str]:
     """The schemas of the tables and of the views over them; made once for each ``t`` and time."""
     known = t.schemas.get(as_of)
     if known is None:
-        tables, views = new_schema(t.spark, "star"), new_schema(t.spark, "flow")
+        tables, views = new_schema(t.spark, "ehr"), new_schema(t.spark, "views")
         publish(t, tables)
         create_functions(t.spark, views, tables, as_of)
         create_catalog_views(t.spark, views, tables)
@@ -69,7 +69,7 @@ def ages_and_places(t: EhrTables, as_of: AsOf) -> DataFrame:
 def newer_generation(t: EhrTables, as_of: AsOf) -> str:
     """A schema that holds the tables of ``NEWER_NAMES`` only, by their newer columns' names."""
     tables, _ = schemas_of(t, as_of)
-    schema = new_schema(t.spark, "star_a")
+    schema = new_schema(t.spark, "ehr_newer")
     for name, names in NEWER_NAMES.items():
         fields = ", ".join(f"{c} AS {names.get(c, c)}" for c in columns_of(name))
         t.spark.sql(f"CREATE VIEW {schema}.{name} AS SELECT {fields} FROM {tables}.{name}")
