@@ -6,7 +6,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from tests.llm.odd import documents
 from wardflow.llm import resampling

@@ -131,7 +131,11 @@ _CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_tr
     lambda c, b: xor(c >> 8, crc_table[1 + (xor(c, b) & 255)])))"""
 _CRC_TABLE = """SELECT list(list_reduce(list_prepend(i, range(8)),
     lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc_table FROM range(256) t(i)"""
-_LEAF = "sha256(concat(" + ", ".join(f"coalesce(concat(strlen({c}::VARCHAR), ':', {c}), '-')" for c in ("doc_id", "source", "lang", "n_chars")) + ", coalesce(concat(strlen({0}), ':', {0}), '-')))"
+_LEAF = (
+    "sha256(concat("
+    + "".join(f"coalesce(concat(strlen({c}::VARCHAR), ':', {c}), '-'), " for c in ("doc_id", "source", "lang", "n_chars"))
+    + "coalesce(concat(strlen({0}), ':', {0}), '-')))"
+)
 _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
