@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from wardflow.llm.components import components
-from wardflow.llm.words import Slice, mix64, slices, windows
+from wardflow.llm.words import Slice, mix64, releasing, slices, windows
 from wardflow.sources.scratch import discarded, new_folder, written
 
 SHINGLE_WORDS = 5
@@ -116,7 +116,7 @@ def _with_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def described(documents: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, set_key, bands`` of every row; no key and no bands for an empty set."""
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        _described, "doc_id long, n_shingles long, set_key binary, bands array<long>"
+        releasing(_described), "doc_id long, n_shingles long, set_key binary, bands array<long>"
     )
 
 
@@ -124,7 +124,7 @@ def _sets_of(documents: DataFrame, ids: DataFrame, folder: str) -> DataFrame:
     """``id, members`` of the documents whose id is in ``ids``."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     needed = texts.join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return written(needed.mapInPandas(_with_sets, "id long, members array<long>"), "sets", folder)
+    return written(needed.mapInPandas(releasing(_with_sets), "id long, members array<long>"), "sets", folder)
 
 
 def _with_members(rows: DataFrame, sets: DataFrame, at: str) -> DataFrame:

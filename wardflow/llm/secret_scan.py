@@ -19,9 +19,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from wardflow.llm.words import SLICE_BYTES, releasing, row_slices
+
 #: The shapes of the base spans and their least lengths.
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
@@ -236,10 +239,20 @@ def redacted_text(text: str, mark: str = "[SECRET]") -> str:
 
 
 def redacted(documents: DataFrame, column: str = "text") -> DataFrame:
-    """``documents`` with the secrets in one column replaced; null stays null, columns stay."""
-
-    @F.pandas_udf("string")
-    def hide(texts: pd.Series) -> pd.Series:
-        return texts.map(redacted_text, na_action="ignore")
+    """``documents`` with the secrets in one column replaced; null stays null, columns stay.
 
-    return documents.withColumn(column, hide(F.col(column).cast("string")))
+    Rows that repeat are treated each on its own, and an empty table stays empty.  Batches go through as
+    they come; only the texts of one slice of rows are Python strings at a time.
+    """
+    rows = documents.withColumn(column, F.col(column).cast("string"))
+    place = rows.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, n in row_slices(batch.column(place).cast(pa.string()), SLICE_BYTES):
+                part = batch.slice(begin, n)
+                texts = part.column(place).cast(pa.string()).to_pylist()
+                hidden = pa.array([text if text is None else redacted_text(text) for text in texts], pa.string())
+                yield part.set_column(place, column, hidden)
+
+    return rows.mapInArrow(releasing(run), rows.schema)

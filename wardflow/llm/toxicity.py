@@ -31,10 +31,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wardflow.llm.words import mix64, prefix_hash, span_hash
+from wardflow.llm.words import mix64, prefix_hash, releasing, row_slices, span_hash
 
 DECAY, SKIPS, ORDER = 0.75, 3, 4
 LANDMARKS = 256
@@ -350,7 +349,7 @@ def train(documents: DataFrame, labelled: DataFrame) -> Model:
         for batch in batches:
             yield batch[["id", "toxic"]].assign(words=list(words_of_each(batch["text"].tolist())))
 
-    found = rows.withColumn("toxic", F.col("toxic").cast("int")).mapInPandas(run, "id long, toxic int, words binary").collect()
+    found = rows.withColumn("toxic", F.col("toxic").cast("int")).mapInPandas(releasing(run), "id long, toxic int, words binary").collect()
     found = sorted(((r["id"], bytes(r["words"]), r["toxic"]) for r in found))
     counts = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
@@ -360,7 +359,8 @@ def train(documents: DataFrame, labelled: DataFrame) -> Model:
 def scored(documents: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score, predicted`` of every row; only the text enters the score.
 
-    A null, empty or wordless text has the score of one without any similarity.
+    A null, empty or wordless text has the score of one without any similarity.  Rows that repeat get a
+    row each, other columns are ignored, and an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -371,7 +371,7 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
             )
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, score double, predicted int")
+    return rows.mapInPandas(releasing(run), "doc_id long, score double, predicted int")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -392,13 +392,8 @@ def clean(documents: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(place).cast(pa.string())
-            upto = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
-            begin = 0
-            while begin < len(texts):
-                done = upto[begin - 1] if begin else 0
-                rows = max(1, int(np.searchsorted(upto, done + SLICE_CHARS, "right")) - begin)
+            for begin, rows in row_slices(texts, SLICE_CHARS):
                 score = model.scores(texts.slice(begin, rows).to_pylist())
                 yield batch.slice(begin, rows).filter(pa.array(score < THRESHOLD))
-                begin += rows
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(releasing(run), schema)

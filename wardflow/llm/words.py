@@ -6,9 +6,13 @@ a multi-byte UTF-8 character, so words can be found without decoding.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled in one go; a longer text is handled alone.
 SLICE_BYTES = 1 << 18
@@ -19,6 +23,39 @@ _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
 
+@functools.cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not this C library
+        return None
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches, and then what it has freed given back: its Python worker lives on
+    beside the executor's next stages."""
+
+    @functools.wraps(run)
+    def done(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := _trim():
+            trim(0)
+
+    return done
+
+
+def row_slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of consecutive runs of about ``size`` bytes of text."""
+    upto = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(texts):
+        done = upto[begin - 1] if begin else 0
+        rows = max(1, int(np.searchsorted(upto, done + size, "right")) - begin)
+        yield begin, rows
+        begin += rows
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the splitmix finisher)."""
     x = x ^ (x >> np.uint64(30))
