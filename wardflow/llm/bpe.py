@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from wardflow.llm.pretokens import RememberingEncoder, spread
+from wardflow.llm.words import releasing
 
 #: Remembered states, after which a worker starts again with none, and remembered pieces and pairs.
 #: They take about 300 MB of a worker's memory.
@@ -45,6 +46,10 @@ class Merges:
         self.pair_of = functools.lru_cache(PAIRS)(self._split)
         self.neighbours = functools.lru_cache(PAIRS)(self._neighbours)
 
+    def forget(self) -> None:
+        self.pair_of.cache_clear()
+        self.neighbours.cache_clear()
+
     @classmethod
     def from_file(cls, path: str) -> Merges:
         with open(path, "rb") as lines:
@@ -108,8 +113,8 @@ def _pack(ids: list[int]) -> bytes:
 class Transducer:
     """``encode`` gives a piece's packed ids; ``read`` and ``finish`` work on a byte stream."""
 
-    def __init__(self, merges: Merges):
-        self.merges = merges
+    def __init__(self, merges: Merges, most_states: int = STATES):
+        self.merges, self.most_states = merges, most_states
         self.clear()
 
     def clear(self) -> None:
@@ -172,7 +177,7 @@ class Transducer:
         return state.rest
 
     def encode(self, piece: bytes) -> bytes:
-        if len(self.states) > STATES:
+        if len(self.states) > self.most_states:
             self.clear()
         state, out = self.start, b""
         for byte in piece:
@@ -187,11 +192,15 @@ def _merges(ranks_path: str) -> Merges:
     return Merges.from_file(ranks_path)
 
 
+def new_encoder(ranks_path: str, pieces: int = PIECES, states: int = STATES) -> RememberingEncoder:
+    transducer = Transducer(_merges(ranks_path), states)
+    return RememberingEncoder(lambda found: [transducer.encode(p.encode("utf-8", "replace")) for p in found], pieces)
+
+
 @functools.cache
 def encoder(ranks_path: str) -> RememberingEncoder:
     """Kept for the life of a Python worker."""
-    transducer = Transducer(_merges(ranks_path))
-    return RememberingEncoder(lambda found: [transducer.encode(p.encode("utf-8", "replace")) for p in found], PIECES)
+    return new_encoder(ranks_path)
 
 
 #: Continuation bytes still to come after each lead byte, by the byte's high bits.
@@ -249,22 +258,25 @@ def encode_column(
 
     A null text is empty and has no ids.  ``check`` names a column for whether the ids decode to the
     text again.  All other columns stay; those of the added names are replaced.  Rows that repeat are
-    encoded each on its own, and an empty table stays empty.
+    encoded each on its own, and an empty table stays empty.  What a task remembers ends with it: its worker
+    goes on beside other stages.
     """
 
     def run(batches):
+        encode = new_encoder(ranks_path, PIECES // 2, STATES // 2)
         for batch in batches:
-            for begin, ids in encoder(ranks_path)(batch[column]):
+            for begin, ids in encode(batch[column]):
                 rows = batch.iloc[begin : begin + len(ids)].copy()
                 rows[to] = [x.tobytes() for x in ids]
                 if check:
                     texts = [(t if isinstance(t, str) else "").encode() for t in rows[column]]
                     rows[check] = [b"".join(decoder(ranks_path)(x)) == t for x, t in zip(ids, texts, strict=True)]
                 yield rows
+        _merges(ranks_path).forget()
 
     rows = documents.drop(to, *[check] * bool(check))
     wide = rows.withColumn(to, F.lit(b""))
-    return rows.mapInPandas(run, (wide.withColumn(check, F.lit(True)) if check else wide).schema)
+    return rows.mapInPandas(releasing(run), (wide.withColumn(check, F.lit(True)) if check else wide).schema)
 
 
 def decode_column(encoded: DataFrame, ranks_path: str, column: str = "ids", to: str = "decoded") -> DataFrame:
