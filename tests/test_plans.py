@@ -10,6 +10,7 @@ import __spark_entry__ as contract
 from tests.compare import spark_rows
 from tests.conftest import data_dir
 from wardflow.catalog.tables import new_schema, store
+from wardflow.operators.neighbours import with_neighbours
 from wardflow.operators.prefix import with_running_totals
 from wardflow.plans.catalog import PIPELINES
 from wardflow.sources.bridge import bridge
@@ -177,3 +178,12 @@ def test_rows_of_one_instant_are_dealt_to_several_tasks(spark):
     counts = sorted(r["n"] for r in held)
     assert sum(counts) == n and counts[-1] <= 2 * n / len(counts) and len(counts) > 8
     assert max(r["m"] for r in held) == moves.agg(F.sum("census")).first()[0]
+
+
+def test_neighbours_are_found_in_one_pass(spark):
+    """The rows aren't read once for the inner and once for the outer ones: in a union either half of a stage
+    gets half of its tasks, so that a task holds twice the rows, sorted twice."""
+    stays = spark.range(100).selectExpr("id", "id % 5 AS visit", "timestamp_ntz'2024-01-01 00:00:00' AS ts")
+    plan = plan_of(with_neighbours(stays, "visit", "ts", "id", {"before": ("id", 1)}))
+    assert "Union" not in plan
+    assert plan.count("Range (") == 1

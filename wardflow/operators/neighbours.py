@@ -4,8 +4,9 @@ A key may hold any share of the rows (a placeholder visit, or all rows without o
 window over a key isn't one task's work.  Every key is cut into cells: a time slot, and for
 rows without a time a block of ids.  Cells of a key follow one another in the order of its rows.  A
 window by cell answers all shifts that stay inside it.  Only the outermost rows of a cell reach into
-others, and all rows they reach are outermost rows too; so a second window by key, over the
-outermost rows alone, answers the rest.  That window grows with the calendar and not with the rows.
+others, and all rows they reach are outermost rows too; so a second window, by key for the
+outermost rows alone and by cell for the others, answers the rest.  What meets by key grows with the calendar
+and not with the rows.
 """
 
 from __future__ import annotations
@@ -60,11 +61,18 @@ def with_neighbours(
         }
     ).withColumn("_before", F.col("_size") - F.col("_after") - 1)
     is_outer = (F.col("_after") < reach) | (F.col("_before") < reach)
-    whole = Window.partitionBy(key).orderBy(F.asc_nulls_last(ts), F.asc(row_id))
+    # the outer rows of a key together, all others by their cell: one pass, and the rows below are read once
+    apart = placed.withColumns(
+        {
+            "_outer": is_outer,
+            "_far_slot": F.when(~is_outer, F.col("_slot")),
+            "_far_block": F.when(~is_outer, F.col("_block")),
+        }
+    )
+    whole = Window.partitionBy(key, "_outer", "_far_slot", "_far_block").orderBy(F.asc_nulls_last(ts), F.asc(row_id))
 
     def near_or_far(name: str, source: str, offset: int) -> Column:
         room = F.col("_after") >= offset if offset > 0 else F.col("_before") >= -offset
         return F.when(room, F.col(name)).otherwise(_shifted(name, source, offset, whole)).alias(name)
 
-    merged = placed.where(is_outer).select(*df.columns, *[near_or_far(name, *shift) for name, shift in shifts.items()])
-    return placed.where(~is_outer).select(*df.columns, *shifts).unionByName(merged)
+    return apart.select(*df.columns, *[near_or_far(name, *shift) for name, shift in shifts.items()])
