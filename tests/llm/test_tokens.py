@@ -1,3 +1,4 @@
+import gc
 import hashlib
 import random
 import zlib
@@ -166,3 +167,35 @@ def test_ids_that_do_not_fit_are_refused(spark):
     for end_id in (50_255, 70_000):
         with pytest.raises(ValueError, match="16 bits"):
             token_counts.token_files(docs, RANKS, end_id)
+
+
+def test_the_transducer_leaves_nothing_to_the_garbage_collector():
+    """Nothing is collected while pieces are encoded, and cleared states go without it."""
+    runs, seen = [], lambda phase, info: runs.append(phase)
+    encoder = bpe.new_encoder(RANKS)
+    gc.collect()
+    gc.callbacks.append(seen)
+    try:
+        encoder.encode([f"w{i * 7919:x}q" for i in range(5_000)])
+    finally:
+        gc.callbacks.remove(seen)
+    assert len(runs) <= 2 and gc.isenabled()
+    transducer = bpe.Transducer(bpe._merges(RANKS))
+    transducer.encode(b"states that lead to states")
+    gc.collect()
+    states = lambda: sum(isinstance(x, bpe._State) for x in gc.get_objects())
+    before, made = states(), len(transducer.states)
+    gc.disable()
+    try:
+        transducer.clear()
+        assert made and states() == before - made
+    finally:
+        gc.enable()
+
+
+def test_pieces_are_told_apart_by_their_bytes():
+    """As words of one call without the library's word numbers, and with them if the bytes don't add up."""
+    tokenizer = Tokenizer.from_file(LIBRARY)
+    texts = ["a", " Größe", "日本語 text", "", " \t x\n\n", "don't <|endoftext|> it's", "é" * 40, "🙂🙂 ok"]
+    found = [ids.tolist() for _, some in codes.library_encoder(LIBRARY)(texts) for ids in some]
+    assert found == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -42,7 +43,11 @@ class Merges:
         for token, rank in ranks.items():
             self.bytes[rank] = token
         self.longest = max(map(len, ranks))
-        self.prefixes = {token[:i] for token in ranks for i in range(len(token))}
+        self.sizes = list(map(len, self.bytes))
+        # of the tokens and all their beginnings: twice the rank (-2: no token), one more if a token goes on from there
+        self.known = dict.fromkeys((token[:i] for token in ranks for i in range(len(token))), -1)
+        for token, rank in ranks.items():
+            self.known[token] = 2 * rank + (token in self.known)
         self.pair_of = functools.lru_cache(PAIRS)(self._split)
         self.neighbours = functools.lru_cache(PAIRS)(self._neighbours)
 
@@ -106,6 +111,9 @@ class _State:
         self.rest: bytes | None = None
 
 
+_ONE = [bytes((b,)) for b in range(256)]
+
+
 def _pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -118,49 +126,58 @@ class Transducer:
         self.clear()
 
     def clear(self) -> None:
+        # states lead to one another in circles: cut these, so that they go without the garbage collector
+        for state in (self.start, *self.states.values()) if hasattr(self, "states") else ():
+            state.next.clear()
         self.states: dict[tuple, _State] = {}
         self.start = _State(b"", (None,), (0,))
 
     def _tokens(self, last: list | tuple, end: int, stop: int = 0) -> list[int]:
         """The tokens from place ``stop`` to place ``end``."""
-        path, values = [], self.merges.bytes
+        path, sizes = [], self.merges.sizes
         while end > stop:
             path.append(last[end])
-            end -= len(values[last[end]])
+            end -= sizes[last[end]]
         return path[::-1]
 
     def _step(self, state: _State, byte: int) -> tuple[_State, bytes]:
-        merges = self.merges
-        pending, values = state.pending + bytes((byte,)), merges.bytes
+        merges, before = self.merges, state.last
+        pending, known, sizes = state.pending + _ONE[byte], merges.known, merges.sizes
         n, token, live = len(pending), None, []
+        # bit i stands for place i: those from which a longer token may start
+        ends = 1 << n
         for at in state.live:
-            tail = pending[at:]
-            if token is None and (rank := merges.ranks.get(tail)) is not None:
-                before = state.last[at]
-                if before is None or merges.neighbours(before, rank):
+            code = known.get(pending[at:])
+            if code is None:
+                continue
+            if token is None and code >= 0:
+                rank, upto = code >> 1, before[at]
+                if upto is None or merges.neighbours(upto, rank):
                     token = rank
-            if tail in merges.prefixes:
+            if code & 1:
                 live.append(at)
-        last = (*state.last, token)
+                ends |= 1 << at
+        last = (*before, token)
         live.append(n)
         # where the ways back from all live places meet
-        ends = set(live)
-        needed = set(live)
-        while len(ends) > 1:
-            far = max(ends)
-            ends.remove(far)
-            near = far - len(values[last[far]])
-            ends.add(near)
-            needed.add(near)
-        meet = ends.pop()
+        needed = ends
+        while ends & (ends - 1):
+            far = ends.bit_length() - 1
+            near = 1 << (far - sizes[last[far]])
+            ends = ends ^ (1 << far) | near
+            needed |= near
+        meet = ends.bit_length() - 1
         out = _pack(self._tokens(last, meet)) if meet else b""
-        kept = tuple(last[at] if at in needed else None for at in range(meet, n + 1))
-        if live[0] != meet:
-            kept = (None, *kept[1:])
+        if meet == n:
+            kept = (token,)
+        else:
+            kept = tuple([last[at] if needed >> at & 1 else None for at in range(meet, n + 1)])
+            if live[0] != meet:
+                kept = (None, *kept[1:])
         key = (pending[meet:], kept)
         after = self.states.get(key)
         if after is None:
-            after = self.states[key] = _State(*key, tuple(at - meet for at in live))
+            after = self.states[key] = _State(*key, tuple([at - meet for at in live]))
         return after, out
 
     def read(self, state: _State, byte: int) -> tuple[_State, bytes]:
@@ -181,7 +198,10 @@ class Transducer:
             self.clear()
         state, out = self.start, b""
         for byte in piece:
-            state, certain = state.next.get(byte) or self.read(state, byte)
+            try:
+                state, certain = state.next[byte]
+            except KeyError:
+                state, certain = self.read(state, byte)
             if certain:
                 out += certain
         return out + self.finish(state)
@@ -194,7 +214,18 @@ def _merges(ranks_path: str) -> Merges:
 
 def new_encoder(ranks_path: str, pieces: int = PIECES, states: int = STATES) -> RememberingEncoder:
     transducer = Transducer(_merges(ranks_path), states)
-    return RememberingEncoder(lambda found: [transducer.encode(p.encode("utf-8", "replace")) for p in found], pieces)
+
+    def run(found: list[str]) -> list[bytes]:
+        # all that is made here is kept: the garbage collector would walk over it again and again
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return [transducer.encode(p.encode("utf-8", "replace")) for p in found]
+        finally:
+            if collecting:
+                gc.enable()
+
+    return RememberingEncoder(run, pieces)
 
 
 @functools.cache

@@ -39,6 +39,11 @@ def _classes() -> np.ndarray:
     return table
 
 
+@functools.cache
+def _symbols() -> np.ndarray:
+    return mix64(np.arange(1, 0x110001, dtype=np.uint64))
+
+
 def piece_starts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Whether a piece starts at each code point; ``first``: where texts start (none empty)."""
     kind = _classes()[codes]
@@ -94,7 +99,7 @@ class Pieces:
         codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         starts = np.flatnonzero(piece_starts(codes, first[lengths > 0]))
         stops = np.append(starts[1:], len(codes))
-        prefix = prefix_hash(mix64(codes.astype(np.uint64) + np.uint64(1)))
+        prefix = prefix_hash(_symbols()[codes])
         _, at, self.which = np.unique(span_hash(prefix, starts, stops), return_index=True, return_inverse=True)
         self.distinct = [whole[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist(), strict=True)]
         self.text_from = np.searchsorted(starts, np.append(first, len(codes)))
@@ -139,16 +144,16 @@ class RememberingEncoder:
 
     def _packed(self, distinct: list[str]) -> list[bytes]:
         recent, older = self.recent, self.older
+        out = list(map(recent.get, distinct))
         missing = []
-        for piece in distinct:
-            if piece not in recent:
-                known = older.get(piece)
-                if known is None:
-                    missing.append(piece)
-                else:
-                    recent[piece] = known
-        recent.update(zip(missing, self.encode(missing), strict=True))
-        out = [recent[piece] for piece in distinct]
+        for i in [i for i, known in enumerate(out) if known is None]:
+            known = older.get(distinct[i])
+            if known is None:
+                missing.append(i)
+            else:
+                out[i] = recent[distinct[i]] = known
+        for i, ids in zip(missing, self.encode([distinct[i] for i in missing]), strict=True):
+            out[i] = recent[distinct[i]] = ids
         if len(recent) > self.half:
             self.older, self.recent = recent, {}
         return out
@@ -160,7 +165,8 @@ class RememberingEncoder:
                 yield part.begin, [np.zeros(0, np.uint32)] * len(part)
                 continue
             packed = self._packed(part.distinct)
-            offsets = np.cumsum([0, *(len(x) // 4 for x in packed)])
+            offsets = np.zeros(len(packed) + 1, np.int64)
+            np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)) // 4, out=offsets[1:])
             ids, begins = spread(np.frombuffer(b"".join(packed), "<u4"), offsets, part.which)
             cuts = begins[part.text_from].tolist()
             yield part.begin, [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
