@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import re
 import struct
 import zlib
@@ -28,6 +29,8 @@ from wardflow.sources.scratch import written
 SEGMENT_IDS = 1 << 20
 RANK_BITS = 512
 _MAGIC = b"DAC1"
+#: The pre-tokenizer whose pattern ``pretokens`` has.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -141,19 +144,45 @@ def library_encoder(tokenizer_path: str) -> WholeTexts:
     A piece of the tokenizer's own pattern is split no further by it, so ids are the same as for
     whole texts.  Kept for the life of a Python worker.
     """
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
+    words, sizes = Tokenizer.from_file(tokenizer_path), None
+    with open(tokenizer_path, encoding="utf-8") as file:
+        stated = json.load(file)
+    if stated["pre_tokenizer"] == BYTE_LEVEL and stated["normalizer"] is None:
+        # the pieces are cut by this pattern already, and a token has a character for each byte
+        words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        vocabulary = tokenizer.get_vocab()
+        sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        sizes[list(vocabulary.values())] = list(map(len, vocabulary))
+
+    def by_bytes(some: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids, and how many of them precede each piece's end, told by the bytes they stand for."""
+        if sizes is None:
+            return None
+        # the library's fast call names no words
+        got = words.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0]
+        ids = np.asarray(got.ids, "<u4")
+        ends = np.concatenate(([0], np.cumsum(sizes[ids])))
+        stops = np.cumsum([len(piece.encode()) for piece in some])
+        if ends[-1] != stops[-1]:
+            return None
+        upto = np.searchsorted(ends, stops)
+        return (ids, upto) if (ends[upto] == stops).all() else None
+
+    def by_words(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = words.encode(some, is_pretokenized=True, add_special_tokens=False)
+        counts = np.bincount(np.asarray(got.word_ids, np.int64), minlength=len(some))
+        return np.asarray(got.ids, "<u4"), np.cumsum(counts)
 
     def run(found: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(found), 20_000):
             some = found[at : at + 20_000]
-            got = tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.asarray(got.ids, "<u4").tobytes()
-            counts = np.bincount(np.asarray(got.word_ids, np.int64), minlength=len(some))
-            cuts = (4 * np.cumsum([0, *counts])).tolist()
-            out += [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            ids, upto = by_bytes(some) or by_words(some)
+            packed, cuts = ids.tobytes(), [0, *(4 * upto).tolist()]
+            out += [packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         return out
 
     return WholeTexts(tokenizer, RememberingEncoder(run))
