@@ -1,6 +1,8 @@
 import gc
 import hashlib
 import random
+import tracemalloc
+import unicodedata
 import zlib
 
 import numpy as np
@@ -15,6 +17,8 @@ from wardflow.llm import bpe, codes, pretokens, token_counts
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 LIBRARY = public_tokenizers.path("byte_bpe_50k.json")
+#: Digits as letters: a piece holds either.
+LETTERS = str.maketrans("0123456789", "ghijklmnop")
 ALPHABET = "'  stmdrevel'l\n\t\r1²½٣é漢字-_. 　\x1c\x85🙂AΏ"
 
 
@@ -199,3 +203,34 @@ def test_pieces_are_told_apart_by_their_bytes():
     texts = ["a", " Größe", "日本語 text", "", " \t x\n\n", "don't <|endoftext|> it's", "é" * 40, "🙂🙂 ok"]
     found = [ids.tolist() for _, some in codes.library_encoder(LIBRARY)(texts) for ids in some]
     assert found == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_remembered_pieces_are_small_and_told_apart(monkeypatch):
+    """Pieces are remembered in arrays, without Python objects for each, and known by their characters."""
+    encode = pretokens.RememberingEncoder(lambda found: [p[-1].encode("utf-32-le") for p in found], 1_000_000)
+    list(encode(["warm up"]))
+    gc.collect()
+    tracemalloc.start()
+    try:
+        for k in range(0, 100_000, 20_000):
+            list(encode([" ".join(f"w{i:x}".translate(LETTERS) for i in range(k, k + 20_000))]))
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 100_000 * 100, held
+    # all pieces of one hash, one in each slice
+    monkeypatch.setattr(pretokens, "SLICE_CHARS", 1)
+    monkeypatch.setattr(pretokens, "span_hash", lambda prefix, starts, ends: np.zeros(len(starts), np.uint64))
+    asked = []
+    encode = pretokens.RememberingEncoder(lambda found: asked.extend(found) or [p.encode("utf-32-le") for p in found])
+    texts = ["ab", "cd", "abc", "ab", "é", "cd"]
+    found = [ids.tolist() for _, some in encode(texts) for ids in some]
+    assert found == [list(map(ord, t)) for t in texts] and asked[:2] == ["ab", "cd"] and asked.count("ab") == 1
+
+
+def test_classes_are_the_categories():
+    kinds = {"L": pretokens.LETTER, "N": pretokens.NUMBER}
+    table = [kinds.get(unicodedata.category(chr(c))[0], pretokens.OTHER) for c in range(0x110000)]
+    for c in pretokens.WHITE_SPACE:
+        table[c] = pretokens.SPACE
+    assert (pretokens._classes() == np.array(table)).all()

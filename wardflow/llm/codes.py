@@ -199,16 +199,17 @@ def _segments(batches: Iterator[pd.DataFrame], tokenizer_path: str, end_id: int)
         row = {"part": part, "seq": number, "doc_ids": names, "lengths": lengths, "n_ids": sum(lengths)}
         return pd.DataFrame([row | {"codes": encode(np.concatenate(held))}])
 
+    end = np.array([end_id], np.uint32)
     for batch in batches:
+        parts, ids_of = batch["part"].tolist(), batch["doc_id"].astype("Int64").tolist()
         for begin, texts in encoder(batch["text"]):
             for i, ids in enumerate(texts, begin):
                 if held and size + len(ids) + 1 > SEGMENT_IDS:
                     yield segment()
                     number, held, names, size = number + 1, [], [], 0
-                part = int(batch["part"].iloc[i])
-                name = batch["doc_id"].iloc[i]
-                names.append(None if pd.isna(name) else int(name))
-                held.append(np.append(ids, np.uint32(end_id)))
+                part = parts[i]
+                names.append(None if ids_of[i] is pd.NA else ids_of[i])
+                held.append(np.concatenate((ids, end)))
                 size += len(held[-1])
     if held:
         yield segment()

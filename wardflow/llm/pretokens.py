@@ -12,6 +12,7 @@ then found by a hash of their characters, so that each distinct piece is encoded
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -21,8 +22,8 @@ from wardflow.llm.words import mix64, prefix_hash, span_hash
 
 #: Characters handled in one go; a longer text is handled alone.
 SLICE_CHARS = 1 << 19
-#: Distinct pieces a worker remembers at most: it forgets the half not seen for longest.
-REMEMBERED = 600_000
+#: Distinct pieces a worker remembers at most: it forgets the half not seen for longest.  About 80 bytes each.
+REMEMBERED = 1_000_000
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: The characters of \s.
@@ -34,7 +35,11 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 @functools.cache
 def _classes() -> np.ndarray:
     kinds = {"L": LETTER, "N": NUMBER}
-    table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    table = np.full(0x110000, OTHER, np.uint8)
+    # letters and numbers are word characters: few of all code points are asked for their category
+    every = np.arange(0x110000, dtype=np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+    for found in re.finditer(r"\w+", every):
+        table[slice(*found.span())] = [kinds.get(unicodedata.category(c)[0], OTHER) for c in found[0]]
     table[WHITE_SPACE] = SPACE
     return table
 
@@ -83,30 +88,46 @@ def piece_starts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Pieces:
     """The pieces of some texts: ``distinct`` strings, and ``which`` of them stands at each place.
 
-    Text i of the slice has the pieces ``text_from[i]`` to ``text_from[i + 1]``.
+    Text i of the slice has the pieces ``text_from[i]`` to ``text_from[i + 1]``.  Distinct piece k is of
+    hash ``hashes[k]`` (ascending) and lies at ``starts[k]`` to ``stops[k]`` of the code points ``codes``.
     """
 
     def __init__(self, begin: int, texts: list[str]):
         self.begin, self.count = begin, len(texts)
-        whole = "".join(texts)
+        self.whole = whole = "".join(texts)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(lengths)
         first = ends - lengths
         if not whole:
-            self.distinct, self.which = [], np.zeros(0, np.int64)
+            self.codes, self.hashes = np.zeros(0, np.uint32), np.zeros(0, np.uint64)
+            self.starts = self.stops = self.which = np.zeros(0, np.int64)
             self.text_from = np.zeros(len(texts) + 1, np.int64)
             return
-        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.codes = codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         starts = np.flatnonzero(piece_starts(codes, first[lengths > 0]))
         stops = np.append(starts[1:], len(codes))
-        prefix = prefix_hash(_symbols()[codes])
-        _, at, self.which = np.unique(span_hash(prefix, starts, stops), return_index=True, return_inverse=True)
-        self.distinct = [whole[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist(), strict=True)]
+        hashes = span_hash(prefix_hash(_symbols()[codes]), starts, stops)
+        order = np.argsort(hashes)
+        ascending = hashes[order]
+        new = np.append(True, ascending[1:] != ascending[:-1])
+        self.hashes, at = ascending[new], order[new]
+        self.starts, self.stops = starts[at], stops[at]
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(new) - 1
         self.text_from = np.searchsorted(starts, np.append(first, len(codes)))
 
     def __len__(self) -> int:
         return self.count
 
+    def strings(self, some: np.ndarray) -> list[str]:
+        """The distinct pieces of these numbers."""
+        whole = self.whole
+        return [whole[a:b] for a, b in zip(self.starts[some].tolist(), self.stops[some].tolist(), strict=True)]
+
+    @property
+    def distinct(self) -> list[str]:
+        return self.strings(np.arange(len(self.hashes)))
+
 
 def pieces(texts) -> Iterator[Pieces]:
     """The texts (None: empty) in consecutive slices of about ``SLICE_CHARS``."""
@@ -122,13 +143,83 @@ def pieces(texts) -> Iterator[Pieces]:
         yield Pieces(begin, held)
 
 
+def runs(values: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that begin there and are so long, one after another."""
+    upto = np.cumsum(lengths)
+    return values[np.repeat(begins - (upto - lengths), lengths) + np.arange(upto[-1] if len(upto) else 0)]
+
+
 def spread(values: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs ``values[offsets[w]:offsets[w + 1]]`` for all w in ``which``, one after another,
     and where each begins (with the end last)."""
     lengths = (offsets[1:] - offsets[:-1])[which]
-    begins = np.concatenate(([0], np.cumsum(lengths)))
-    index = np.repeat(offsets[which] - begins[:-1], lengths) + np.arange(begins[-1])
-    return values[index], begins
+    return runs(values, offsets[which], lengths), np.concatenate(([0], np.cumsum(lengths)))
+
+
+class _Runs:
+    """Runs of 32-bit numbers, one after another in one array that grows at its end."""
+
+    def __init__(self):
+        self.held, self.upto = np.empty(1 << 10, np.uint32), np.zeros(1, np.int64)
+
+    def add(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        used = int(self.upto[-1])
+        end = used + len(values)
+        if end > len(self.held):
+            grown = np.empty(end + end // 2, np.uint32)
+            grown[:used] = self.held[:used]
+            self.held = grown
+        self.held[used:end] = values
+        self.upto = np.concatenate((self.upto, used + np.cumsum(lengths)))
+
+    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs at these places, one after another, and their lengths."""
+        begins = self.upto[places]
+        lengths = self.upto[places + 1] - begins
+        return runs(self.held, begins, lengths), lengths
+
+
+class _Remembered:
+    """Pieces and their ids in a few arrays, found by the piece's hash and its characters."""
+
+    def __init__(self):
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.characters, self.ids = _Runs(), _Runs()
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def places_of(self, part: Pieces, some: np.ndarray) -> np.ndarray:
+        """Where these distinct pieces lie; -1: not here."""
+        found = np.full(len(some), -1, np.int64)
+        if not len(self):
+            return found
+        hashes = part.hashes[some]
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self) - 1)
+        hit = np.flatnonzero(self.hashes[at] == hashes)
+        places = self.places[at[hit]].astype(np.int64)
+        begins = part.starts[some[hit]]
+        lengths = part.stops[some[hit]] - begins
+        same = np.diff(self.characters.upto)[places] == lengths
+        hit, places, begins, lengths = hit[same], places[same], begins[same], lengths[same]
+        unlike = np.flatnonzero(self.characters.of(places)[0] != runs(part.codes, begins, lengths))
+        found[hit] = places
+        # another piece of the same hash
+        found[hit[np.searchsorted(np.cumsum(lengths), unlike, "right")]] = -1
+        return found
+
+    def add(self, part: Pieces, some: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Remember the ids of these distinct pieces; returns their places."""
+        places = np.arange(len(self), len(self) + len(some))
+        begins = part.starts[some]
+        sizes = part.stops[some] - begins
+        self.characters.add(runs(part.codes, begins, sizes), sizes)
+        self.ids.add(ids, lengths)
+        # of pieces of one hash the first is found again
+        at = np.searchsorted(self.hashes, part.hashes[some], "right")
+        self.hashes = np.insert(self.hashes, at, part.hashes[some])
+        self.places = np.insert(self.places, at, places)
+        return places
 
 
 class RememberingEncoder:
@@ -139,34 +230,32 @@ class RememberingEncoder:
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int = REMEMBERED):
         self.encode, self.half = encode, remembered // 2
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _packed(self, distinct: list[str]) -> list[bytes]:
-        recent, older = self.recent, self.older
-        out = list(map(recent.get, distinct))
-        missing = []
-        for i in [i for i, known in enumerate(out) if known is None]:
-            known = older.get(distinct[i])
-            if known is None:
-                missing.append(i)
-            else:
-                out[i] = recent[distinct[i]] = known
-        for i, ids in zip(missing, self.encode([distinct[i] for i in missing]), strict=True):
-            out[i] = recent[distinct[i]] = ids
-        if len(recent) > self.half:
-            self.older, self.recent = recent, {}
-        return out
+        self.recent, self.older = _Remembered(), _Remembered()
+
+    def _places(self, part: Pieces) -> np.ndarray:
+        """Where each distinct piece of the slice lies among the recent ones."""
+        recent = self.recent
+        places = recent.places_of(part, np.arange(len(part.hashes)))
+        missing = np.flatnonzero(places < 0)
+        at = self.older.places_of(part, missing)
+        known = missing[at >= 0]
+        places[known] = recent.add(part, known, *self.older.ids.of(at[at >= 0]))
+        new = missing[at < 0]
+        packed = self.encode(part.strings(new))
+        lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        places[new] = recent.add(part, new, np.frombuffer(b"".join(packed), "<u4"), lengths)
+        return places
 
     def __call__(self, texts) -> Iterator[tuple[int, list[np.ndarray]]]:
         """For each slice: the number of its first text, and the ids of each of its texts."""
         for part in pieces(texts):
-            if not part.distinct:
+            if not len(part.hashes):
                 yield part.begin, [np.zeros(0, np.uint32)] * len(part)
                 continue
-            packed = self._packed(part.distinct)
-            offsets = np.zeros(len(packed) + 1, np.int64)
-            np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)) // 4, out=offsets[1:])
-            ids, begins = spread(np.frombuffer(b"".join(packed), "<u4"), offsets, part.which)
+            ids, lengths = self.recent.ids.of(self._places(part))
+            begins = np.concatenate(([0], np.cumsum(lengths)))
+            if len(self.recent) > self.half:
+                self.older, self.recent = self.recent, _Remembered()
+            ids, begins = spread(ids, begins, part.which)
             cuts = begins[part.text_from].tolist()
             yield part.begin, [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
