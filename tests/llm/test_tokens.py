@@ -234,3 +234,16 @@ def test_classes_are_the_categories():
     for c in pretokens.WHITE_SPACE:
         table[c] = pretokens.SPACE
     assert (pretokens._classes() == np.array(table)).all()
+
+
+def test_a_worker_keeps_nothing_of_its_task(spark):
+    """States that lead to one another are freed with the task, and so is the rank file."""
+    docs = documents(spark).repartition(8)
+    assert bpe.encode_column(docs, RANKS, check="decodes").where("NOT decodes").count() == 0
+
+    def left(batches):
+        held = sum(isinstance(x, (bpe._State, bpe.Merges)) for x in gc.get_objects())
+        for batch in batches:
+            yield batch.assign(id=held)
+
+    assert spark.range(0, 64, 1, 8).mapInPandas(left, "id long").agg({"id": "max"}).first()[0] == 0

@@ -24,13 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wardflow.llm.pretokens import RememberingEncoder, spread
-from wardflow.llm.words import releasing
+from wardflow.llm.words import SLICE_BYTES, releasing, row_slices
 
 #: Remembered states, after which a worker starts again with none, and remembered pieces and pairs.
-#: They take about 300 MB of a worker's memory.
 STATES, PIECES, PAIRS = 200_000, 250_000, 100_000
 
 
@@ -289,25 +289,33 @@ def encode_column(
 
     A null text is empty and has no ids.  ``check`` names a column for whether the ids decode to the
     text again.  All other columns stay; those of the added names are replaced.  Rows that repeat are
-    encoded each on its own, and an empty table stays empty.  What a task remembers ends with it: its worker
+    encoded each on its own, and an empty table stays empty.  Batches go through as they come; only the texts
+    of one slice of rows are Python strings at a time.  What a task remembers ends with it: its worker
     goes on beside other stages.
     """
+    rows = documents.drop(to, *[check] * bool(check))
+    wide = rows.withColumn(to, F.lit(b""))
+    schema = (wide.withColumn(check, F.lit(True)) if check else wide).schema
+    place, names = rows.columns.index(column), schema.names
 
-    def run(batches):
-        encode = new_encoder(ranks_path, PIECES // 2, STATES // 2)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = new_encoder(ranks_path, PIECES, STATES // 4)
         for batch in batches:
-            for begin, ids in encode(batch[column]):
-                rows = batch.iloc[begin : begin + len(ids)].copy()
-                rows[to] = [x.tobytes() for x in ids]
+            for begin, n in row_slices(batch.column(place).cast(pa.string()), SLICE_BYTES):
+                part = batch.slice(begin, n)
+                texts = [t if isinstance(t, str) else "" for t in part.column(place).to_pylist()]
+                found = [x for _, some in encode(texts) for x in some]
+                more = [pa.array([x.tobytes() for x in found], pa.binary())]
                 if check:
-                    texts = [(t if isinstance(t, str) else "").encode() for t in rows[column]]
-                    rows[check] = [b"".join(decoder(ranks_path)(x)) == t for x, t in zip(ids, texts, strict=True)]
-                yield rows
-        _merges(ranks_path).forget()
-
-    rows = documents.drop(to, *[check] * bool(check))
-    wide = rows.withColumn(to, F.lit(b""))
-    return rows.mapInPandas(releasing(run), (wide.withColumn(check, F.lit(True)) if check else wide).schema)
+                    decode = decoder(ranks_path)
+                    read = [b"".join(decode(x)) == t.encode() for x, t in zip(found, texts, strict=True)]
+                    more.append(pa.array(read, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names)
+        del encode
+        _merges.cache_clear()
+        decoder.cache_clear()
+
+    return rows.mapInArrow(releasing(run), schema)
 
 
 def decode_column(encoded: DataFrame, ranks_path: str, column: str = "ids", to: str = "decoded") -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,11 +34,12 @@ def _trim():
 
 def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` over batches, and then what it has freed given back: its Python worker lives on
-    beside the executor's next stages."""
+    beside the executor's next stages.  What refers to itself is freed by a collection only."""
 
     @functools.wraps(run)
     def done(batches: Iterator) -> Iterator:
         yield from run(batches)
+        gc.collect()
         pa.default_memory_pool().release_unused()
         if trim := _trim():
             trim(0)
