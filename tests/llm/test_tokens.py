@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -247,3 +248,55 @@ def test_a_worker_keeps_nothing_of_its_task(spark):
             yield batch.assign(id=held)
 
     assert spark.range(0, 64, 1, 8).mapInPandas(left, "id long").agg({"id": "max"}).first()[0] == 0
+
+
+@pytest.mark.parametrize("query", ["op2", "op10"])
+def test_counting_and_digests_leave_nothing_in_their_workers(spark, query):
+    docs = documents(spark).repartition(8)
+    found = bpe.digests(docs, RANKS) if query == "op10" else token_counts.token_files(docs, RANKS)
+    assert found.count()
+
+    def left(batches):
+        held = sum(isinstance(x, (bpe._State, bpe.Merges)) for x in gc.get_objects())
+        for batch in batches:
+            yield batch.assign(id=held)
+
+    assert spark.range(0, 64, 1, 8).mapInPandas(left, "id long").agg({"id": "max"}).first()[0] == 0
+
+
+def test_states_are_small():
+    transducer = bpe.Transducer(bpe.Merges.from_file(RANKS))
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdehinorst", k=9)).encode() for _ in range(6_000)]
+    gc.collect()
+    tracemalloc.start()
+    try:
+        for word in words:
+            transducer.encode(word)
+        transducer.merges.forget()
+        gc.collect()
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 700 * len(transducer.states), held / len(transducer.states)
+
+
+def test_a_batch_goes_through_slice_by_slice(monkeypatch):
+    """Of a large batch only one slice of texts is made into strings before rows are given out."""
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 100)
+    taken = []
+
+    def encode(texts):
+        taken.append(len(texts))
+        yield 0, [np.zeros(len(t), np.uint32) for t in texts]
+
+    texts = ["x" * 30, None, "", "y" * 60, "é" * 300, "z"]
+    columns = [pa.array(range(6), pa.int64()), pa.array(texts), pa.array([4] * 6, pa.int32())]
+    batch = pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "part"])
+    blocks = token_counts._packed(encode, iter([batch]), 50256, 8)
+    first = next(blocks)
+    assert taken == [4] and first.to_pylist() == [{"file": 4, "block": 0, "ids": bytes(16), "ended": []}]
+    rows = [first.to_pylist()[0], *(row for b in blocks for row in b.to_pylist())]
+    assert taken == [4, 1, 1] and [i for row in rows for i in row["ended"]] == [*range(6)]
+    assert [row["block"] for row in rows] == [*range(len(rows))]
+    assert sum(len(row["ids"]) for row in rows) == 2 * (sum(len(t or "") for t in texts) + 6)

@@ -11,10 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from wardflow.llm.bpe import encoder
+from wardflow.llm.bpe import in_task, slices_encoded
+from wardflow.llm.pretokens import RememberingEncoder
+from wardflow.llm.words import releasing
 from wardflow.sources.scratch import written
 
 #: Ids of a block; a file's last one may be shorter.
@@ -23,33 +25,38 @@ BLOCK_IDS = 1 << 18
 END_ID = 50256
 
 
-def _packed(batches: Iterator[pd.DataFrame], ranks_path: str, end_id: int, block: int) -> Iterator[pd.DataFrame]:
+def _packed(
+    encode: RememberingEncoder, batches: Iterator[pa.RecordBatch], end_id: int, block: int
+) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
-    names: list = []
-    size, number, part = 0, 0, 0
+    names: list[int | None] = []
+    size, number, file = 0, 0, 0
 
-    def take(ids: np.ndarray) -> pd.DataFrame:
+    def take(ids: np.ndarray) -> pa.RecordBatch:
         """The next block; it names the documents whose end mark it holds, in order."""
         done = int((ids == end_id).sum())
-        row = {"file": part, "block": number, "ids": ids.astype("<u2").tobytes(), "ended": names[:done]}
+        row = [
+            pa.array([file], pa.int32()),
+            pa.array([number], pa.int32()),
+            pa.array([ids.tobytes()], pa.binary()),
+            pa.array([names[:done]], pa.list_(pa.int64())),
+        ]
         del names[:done]
-        return pd.DataFrame([row])
-
-    for batch in batches:
-        for begin, texts in encoder(ranks_path)(batch["text"]):
-            part = int(batch["part"].iloc[0])
-            for i, ids in enumerate(texts, begin):
-                name = batch["doc_id"].iloc[i]
-                names.append(None if pd.isna(name) else int(name))
-                held.append(np.append(ids, np.uint32(end_id)))
-                size += len(held[-1])
-            if size >= block:
-                flat = np.concatenate(held)
-                whole = len(flat) // block * block
-                for at in range(0, whole, block):
-                    yield take(flat[at : at + block])
-                    number += 1
-                held, size = [flat[whole:]], len(flat) - whole
+        return pa.RecordBatch.from_arrays(row, ["file", "block", "ids", "ended"])
+
+    for part, _, texts in slices_encoded(batches, 1, encode):
+        file = part.column(2)[0].as_py()
+        names += part.column(0).to_pylist()
+        for ids in texts:
+            held.append(np.append(ids, np.uint32(end_id)).astype("<u2"))
+            size += len(held[-1])
+        if size >= block:
+            flat = np.concatenate(held)
+            whole = len(flat) // block * block
+            for at in range(0, whole, block):
+                yield take(flat[at : at + block])
+                number += 1
+            held, size = [flat[whole:].copy()], len(flat) - whole
     if size:
         yield take(np.concatenate(held))
 
@@ -67,29 +74,26 @@ def token_files(documents: DataFrame, ranks_path: str, end_id: int = END_ID, blo
     if not highest < end_id <= 0xFFFF:
         raise ValueError(f"ids up to {highest} and the end mark {end_id} must differ and fit into 16 bits")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.withColumn("part", F.spark_partition_id()).mapInPandas(
-        lambda batches: _packed(batches, ranks_path, end_id, block), "file int, block int, ids binary, ended array<long>"
+    pack = in_task(lambda encode, batches: _packed(encode, batches, end_id, block), ranks_path)
+    return rows.withColumn("part", F.spark_partition_id()).mapInArrow(
+        pack, "file int, block int, ids binary, ended array<long>"
     )
 
 
-def _scanned(batches: Iterator[pd.DataFrame], end_id: int) -> Iterator[pd.DataFrame]:
+def _scanned(batches: Iterator[pa.RecordBatch], end_id: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.itertuples():
-            ids = np.frombuffer(row.ids, "<u2")
+        for i in range(len(batch)):
+            ids = np.frombuffer(batch.column(2)[i].as_buffer(), "<u2")
             marks = np.flatnonzero(ids == end_id)
             lengths = np.diff(marks, prepend=-1) - 1
-            yield pd.DataFrame(
-                [
-                    {
-                        "file": row.file,
-                        "block": row.block,
-                        "lengths": lengths,
-                        "n_ids": len(ids),
-                        "n_marks": len(marks),
-                        "open_ids": len(ids) - (marks[-1] + 1 if len(marks) else 0),
-                    }
-                ]
-            )
+            found = {
+                "lengths": pa.array([lengths], pa.list_(pa.int64())),
+                "n_ids": pa.array([len(ids)], pa.int64()),
+                "n_marks": pa.array([len(marks)], pa.int64()),
+                "open_ids": pa.array([len(ids) - (int(marks[-1]) + 1 if len(marks) else 0)], pa.int64()),
+            }
+            row = batch.slice(i, 1)
+            yield pa.RecordBatch.from_arrays([row.column(0), row.column(1), *found.values()], ["file", "block", *found])
 
 
 def scanned(files: DataFrame, end_id: int = END_ID) -> DataFrame:
@@ -98,8 +102,8 @@ def scanned(files: DataFrame, end_id: int = END_ID) -> DataFrame:
     ``lengths`` counts a document's ids inside the block; ``carried`` are those of the first one
     in earlier blocks.  Ids after a file's last end mark are no document.
     """
-    blocks = files.select("file", "block", "ids").mapInPandas(
-        lambda batches: _scanned(batches, end_id),
+    blocks = files.select("file", "block", "ids").mapInArrow(
+        releasing(lambda batches: _scanned(batches, end_id)),
         "file int, block int, lengths array<long>, n_ids long, n_marks long, open_ids long",
     )
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
