@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import functions as F
 
 from tests.llm.odd import documents, groups_by_brute_force
@@ -104,3 +105,67 @@ def test_ties_below_zero_are_not_passed_over(spark):
     for points in (1, 8, 5000):
         got = topk.top_k(table, F.col("vec_id") == 1000, 5, points).collect()
         assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(k, i, -s) for k, (s, i) in enumerate(want, 1)]
+
+
+def best_by_brute_force(rows, asks, k=5):
+    """``query_id, rank, vec_id, score`` of rows with distinct ids."""
+    used = {i: np.floor(np.asarray(v, np.float32).astype(float) * 256) for i, v in rows}
+    want = set()
+    for q in filter(asks, used):
+        best = sorted(((-int(used[q] @ v), i) for i, v in used.items() if i != q))[:k]
+        want |= {(q, place, i, -s) for place, (s, i) in enumerate(best, 1)}
+    return want
+
+
+def test_queries_meet_blocks_in_small_batches(spark, monkeypatch):
+    class Largest(AccumulatorParam):
+        def zero(self, value):
+            return 0
+
+        def addInPlace(self, value1, value2):
+            return max(value1, value2)
+
+    largest, kind = spark.sparkContext.accumulator(0, Largest()), type(spark.range(1))
+
+    def watched(method):
+        def run(self, f, *rest, **more):
+            def counted(batches):
+                for batch in f(batches):
+                    largest.add(len(batch))
+                    yield batch
+
+            return method(self, counted, *rest, **more)
+
+        return run
+
+    for name in ("mapInPandas", "mapInArrow"):
+        monkeypatch.setattr(kind, name, watched(getattr(kind, name)))
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(0, 0.3, 8).tolist()) for i in range(1200)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(1)
+    got = {tuple(r) for r in topk.top_k(table, F.col("vec_id") % 2 == 0, 5, 2).collect()}
+    assert got == best_by_brute_force(rows, lambda i: i % 2 == 0)
+    assert 0 < largest.value <= 10_000
+
+
+def test_a_query_keeps_no_more_than_its_places():
+    # all products of a zero vector are equal
+    search = topk.Search(np.zeros((3, 4)), 6, np.array([-np.inf, 0.0, 1.0]))
+    search.walk(np.floor(np.random.default_rng(6).normal(0, 60, (5000, 4))))
+    q, x, score = search.results()
+    assert q.tolist() == [0] * 6 + [1] * 6 and x.tolist() == [*range(6)] * 2 and not score.any()
+
+
+def test_blocks_larger_than_a_part(spark, monkeypatch):
+    monkeypatch.setattr(topk, "PART_BYTES", 4 * 3 * 70)
+    rng = np.random.default_rng(7)
+    rows = [(i, (rng.normal(0, 0.05, 3) + (1 if i % 2 else -3, 2, 0)).tolist()) for i in range(500)]
+    rows += [(i, [0.0] * 3) for i in range(500, 530)]  # products that are all equal
+    rows += [(i, (rng.normal(0, 300, 3)).tolist()) for i in range(530, 600)]  # wider integers
+    rows += [(i, rows[i - 600][1]) for i in range(600, 900)]  # equal vectors
+    rng.shuffle(rows)
+    rows = [(int(i), v) for i, v in rows]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for points in (30, 5000):
+        got = {tuple(r) for r in topk.top_k(table, F.col("vec_id") % 5 == 0, 5, points).collect()}
+        assert got == best_by_brute_force(rows, lambda i: i % 5 == 0)

@@ -1,33 +1,51 @@
 """Exact top-k search by inner product with cover trees on both sides.
 
-Vectors are first put in blocks of near ones.  Every query meets its own block, which gives a score
-its k-th result can't fall below; then it meets each other block whose centre and radius leave room for
-more.  In a block the data and the queries that came are each indexed in a cover tree, and pairs of
-nodes are walked together: with centres a and b and covering radii r and s no product between
-the two exceeds ab + |a|s + |b|r + rs, and a pair is passed over if that is below the worst k-th score
-of the query node's group.
+Vectors are first put in blocks of near ones, and neighbouring blocks in parts that a task can hold.
+Every query meets the part of its own block, which gives a score its k-th result can't fall below; then
+it meets each other part that has a block whose centre and radius leave room for more.  In a part the
+data and the queries that came are each indexed in cover trees, and pairs of nodes are walked together:
+with centres a and b and covering radii r and s no product between the two exceeds
+ab + |a|s + |b|r + rs, and a pair is passed over if that is below the worst k-th score of the query
+node's group.
+
+A task holds one part and some thousand queries at a time, however many there are: rows are sorted so
+that the part comes first, and each query keeps its k best places and nothing else.
 
 Equal vectors are one point with its k + 1 smallest ids: more can't enter any result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wardflow.sources.scratch import written
+from wardflow.llm.words import releasing
+from wardflow.sources.scratch import discarded, new_folder, written
 
-#: Points of a block aimed at; crowded blocks are cut further by a hash.
+#: Points of a block aimed at.
 BLOCK_POINTS = 1024
 #: Centres of blocks: drawn by hash from the distinct vectors, at most so many.
 MOST_CENTRES = 1024
-#: Queries that meet a part of a block in one task, on average.
-QUERY_BLOCK = 8192
-LEAF = 32
+#: Bytes of a part's points as 32-bit floats.
+PART_BYTES = 32 << 20
+#: Queries that a task holds at a time.
+QUERY_ROWS = 4096
+#: Queries and points that are multiplied at a time.
+TILE = (512, 1024)
+#: Rows that are placed or measured at a time.
+SLICE = 1024
+LEAF = 64
+#: A node that needs more children to halve its radius stays whole: bounds can't tell its points apart.
+MOST_CHILDREN = 32
+#: Pairs of a query and a point that are multiplied without looking for bounds between them.
+FEW_PAIRS = 1 << 17
+#: Products and all their partial sums below this are exact in 32-bit floats.
+EXACT = float(1 << 24)
 
 
 @dataclass
@@ -38,7 +56,18 @@ class Node:
     radius: float
     rows: np.ndarray
     children: list[Node] = field(default_factory=list)
-    worst: float = -np.inf
+
+
+def _distances(points: np.ndarray, rows: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    found, centre = np.empty(len(rows)), centre.astype(np.float64)
+    for at in range(0, len(rows), SLICE):
+        apart = points[rows[at : at + SLICE]] - centre
+        found[at : at + SLICE] = np.einsum("ij,ij->i", apart, apart)
+    return np.sqrt(found)
+
+
+def lengths(points: np.ndarray) -> np.ndarray:
+    return _distances(points, np.arange(len(points)), np.zeros(points.shape[1]))
 
 
 def cover_tree(points: np.ndarray, rows: np.ndarray | None = None, centre: np.ndarray | None = None) -> Node:
@@ -48,18 +77,18 @@ def cover_tree(points: np.ndarray, rows: np.ndarray | None = None, centre: np.nd
     it, and picking stops when every point lies within that of one.
     """
     rows = np.arange(len(points)) if rows is None else rows
-    own = points[rows]
-    centre = own[0] if centre is None else centre
-    from_centre = np.sqrt(np.maximum(((own - centre) ** 2).sum(1), 0))
-    radius = float(from_centre.max()) * (1 + 1e-12)
+    centre = points[rows[0]] if centre is None else centre
+    nearest = _distances(points, rows, centre)
+    radius = float(nearest.max()) * (1 + 1e-12)
     node = Node(centre, radius, rows)
     if len(rows) <= LEAF or radius == 0:
         return node
-    nearest, group = from_centre, np.zeros(len(rows), np.int64)
-    centres = [centre]
+    group, centres = np.zeros(len(rows), np.int64), [centre]
     while nearest.max() > radius / 2:
-        new = own[int(nearest.argmax())]
-        to_new = np.sqrt(np.maximum(((own - new) ** 2).sum(1), 0))
+        if len(centres) == MOST_CHILDREN:
+            return node
+        new = points[rows[int(nearest.argmax())]]
+        to_new = _distances(points, rows, new)
         closer = to_new < nearest
         group[closer] = len(centres)
         nearest = np.where(closer, to_new, nearest)
@@ -76,98 +105,293 @@ def widened(bound):
     return bound + np.abs(bound) * 1e-9 + 1e-6
 
 
+class Index:
+    """Points in cover trees, one for each run of rows in ``runs``; of equal scores that of the smaller ``first`` is better."""
+
+    def __init__(self, points: np.ndarray, first: np.ndarray | None = None, runs: list[tuple[int, int]] | None = None):
+        self.points = points
+        self.first = np.arange(len(points)) if first is None else first
+        self.trees = [cover_tree(points, np.arange(*run)) for run in runs or [(0, len(points))]]
+        self.longest = float(lengths(points).max())
+
+
 class Search:
     """The k best points of each query, among all points shown to ``walk``."""
 
     def __init__(self, queries: np.ndarray, k: int, floor: np.ndarray):
-        self.queries, self.k = queries, k
+        self.queries, self.k, self.floor = queries, k, floor
         self.tree = cover_tree(queries)
-        self.size = np.sqrt((queries**2).sum(1))
+        self.size = lengths(queries)
+        # the best first; of equal scores the one with the smaller id
         self.best = np.full((len(queries), k), -np.inf)
-        self.floor = floor
-        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.first = np.full((len(queries), k), np.iinfo(np.int64).max)
+        self.at = np.full((len(queries), k), -1)
+        self.least = np.array(floor, np.float64)
 
-    def worst(self, rows: np.ndarray) -> float:
-        return float(np.maximum(self.best[rows, 0], self.floor[rows]).min())
-
-    def walk(self, points: np.ndarray) -> None:
-        if len(points):
-            self._pair(self.tree, cover_tree(points), points)
+    def walk(self, points: np.ndarray, index: Index | None = None) -> None:
+        if not len(points):
+            return
+        self.index = index or Index(points)
+        exact = self.index.longest * float(self.size.max()) < EXACT
+        self.kind = np.float32 if exact and points.dtype == self.queries.dtype == np.float32 else np.float64
+        for tree in sorted(self.index.trees, key=lambda x: -self._bound(self.tree, x)):
+            self._pair(self.tree, tree)
 
     def _bound(self, q: Node, x: Node) -> float:
-        nq, nx = np.sqrt((q.centre**2).sum()), np.sqrt((x.centre**2).sum())
-        return widened(float(q.centre @ x.centre) + nq * x.radius + nx * q.radius + q.radius * x.radius)
+        a, b = q.centre.astype(np.float64), x.centre.astype(np.float64)
+        nq, nx = np.sqrt(a @ a), np.sqrt(b @ b)
+        return widened(float(a @ b) + nq * x.radius + nx * q.radius + q.radius * x.radius)
 
-    def _pair(self, q: Node, x: Node, points: np.ndarray) -> None:
-        if self._bound(q, x) < self.worst(q.rows):
+    def _pair(self, q: Node, x: Node) -> None:
+        if self._bound(q, x) < self.least[q.rows].min():
             return
-        if (not q.children and not x.children) or len(q.rows) * len(x.rows) <= LEAF * LEAF * 16:
-            self._base(q.rows, x.rows, points)
+        if (not q.children and not x.children) or len(q.rows) * len(x.rows) <= FEW_PAIRS:
+            self._base(q.rows, x)
         elif x.children and (not q.children or x.radius >= q.radius):
             for child in sorted(x.children, key=lambda c: -self._bound(q, c)):
-                self._pair(q, child, points)
+                self._pair(q, child)
         else:
             for child in q.children:
-                self._pair(child, x, points)
-
-    def _base(self, q: np.ndarray, x: np.ndarray, points: np.ndarray) -> None:
-        scores = self.queries[q] @ points[x].T
-        least = np.maximum(self.best[q, 0], self.floor[q])
-        hit = scores >= least[:, None]
-        at_q, at_x = np.nonzero(hit)
-        if not len(at_q):
+                self._pair(child, x)
+
+    def _base(self, rows: np.ndarray, x: Node) -> None:
+        reach = self.queries[rows].astype(np.float64) @ x.centre.astype(np.float64) + self.size[rows] * x.radius
+        rows = rows[widened(reach) >= self.least[rows]]
+        for begin in range(0, len(x.rows), TILE[1]):
+            of = x.rows[begin : begin + TILE[1]]
+            points = self.index.points[of].astype(self.kind, copy=False).T
+            for upto in range(0, len(rows), TILE[0]):
+                asked = rows[upto : upto + TILE[0]]
+                scores = self.queries[asked].astype(self.kind, copy=False) @ points
+                hit = np.flatnonzero(scores.max(1) >= self.least[asked])
+                if len(hit):
+                    self._enter(asked[hit], of, scores[hit])
+
+    def _enter(self, asked: np.ndarray, of: np.ndarray, scores: np.ndarray) -> None:
+        """``scores`` of the queries ``asked`` and the points ``of`` meet the best ones so far."""
+        least = self.least[asked]
+        if len(of) > self.k and least.min() == -np.inf:
+            least = np.maximum(least, np.partition(scores, len(of) - self.k, 1)[:, len(of) - self.k])
+        q, x = np.nonzero(scores >= least[:, None])
+        score, q, x = scores[q, x].astype(np.float64), asked[q], of[x]
+        first = self.index.first[x]
+        better = (score > self.best[q, -1]) | (first < self.first[q, -1])
+        score, q, x, first = score[better], q[better], x[better], first[better]
+        if not len(q):
             return
-        self.found.append((q[at_q], x[at_x], scores[at_q, at_x]))
-        joined = np.concatenate((self.best[q], scores), 1)
-        self.best[q] = np.partition(joined, joined.shape[1] - self.k, 1)[:, -self.k :]
-        self.best[q] = np.sort(self.best[q], 1)
+        met = np.unique(q)
+        q, x = np.concatenate((np.repeat(met, self.k), q)), np.concatenate((self.at[met].ravel(), x))
+        score, first = np.concatenate((self.best[met].ravel(), score)), np.concatenate((self.first[met].ravel(), first))
+        order = np.lexsort((first, -score, q))
+        kept = order[_places(q[order]) < self.k]
+        self.best[met], self.first[met], self.at[met] = (c[kept].reshape(-1, self.k) for c in (score, first, x))
+        self.least[met] = np.maximum(self.best[met, -1], self.floor[met])
 
     def results(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query row, point row and score of all that may be among a query's k best."""
-        if not self.found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        q, x, score = (np.concatenate(c) for c in zip(*self.found, strict=True))
-        keep = score >= np.maximum(self.best[q, 0], self.floor[q])
-        return q[keep], x[keep], score[keep]
-
-
-def quantised(embedding: Column) -> Column:
-    """floor(256 x) of each component; null if the vector is null or a component is null or not finite."""
-    bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(embedding.isNotNull() & ~bad, F.transform(embedding, lambda x: F.floor(x.cast("double") * 256)))
-
-
-def _stack(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float64) for v in column]) if len(column) else np.zeros((0, 0))
-
-
-def _block_search(k: int):
-    """The k best of a block's points for each query that came to it."""
-
-    def run(data: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", "vec_id", "score"]
-        if not len(data) or not len(queries):
-            return pd.DataFrame({c: pd.Series([], dtype="int64") for c in columns})
-        points, asked = _stack(data["v"]), _stack(queries["v"])
-        floor = queries["floor"].fillna(-np.inf).to_numpy(np.float64)
-        # a point that holds the query itself has a place more than the others
-        search = Search(asked, k + 1, floor)
-        search.walk(points)
-        q, x, score = search.results()
-        ids = [np.asarray(i, np.int64) for i in data["ids"]]
-        counts = np.array([len(i) for i in ids])[x]
-        frame = pd.DataFrame(
-            {
-                "query_id": np.repeat(queries["vec_id"].to_numpy()[q], counts),
-                "vec_id": np.concatenate([ids[i] for i in x]) if len(x) else np.zeros(0, np.int64),
-                "score": np.repeat(score, counts),
-            }
-        )
-        frame = frame[frame["query_id"] != frame["vec_id"]].drop_duplicates()
-        frame = frame.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-        return frame.groupby("query_id").head(k).astype("int64")
-
-    return run
+        """Query row, point row and score of each query's k best."""
+        q, place = np.nonzero((self.at >= 0) & (self.best >= self.floor[:, None]))
+        return q, self.at[q, place], self.best[q, place]
+
+
+def _places(groups: np.ndarray) -> np.ndarray:
+    """0, 1, 2, ... inside each run of equal values."""
+    begins = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1])))
+    return np.arange(len(groups)) - np.repeat(begins, np.diff(np.append(begins, len(groups))))
+
+
+def _binary(flat: np.ndarray) -> pa.Array:
+    """Rows of a matrix as bytes."""
+    offsets = np.arange(len(flat) + 1, dtype=np.int32) * (flat.shape[1] * flat.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``vec_id, asks, dim, v``: floor(256 x) of each component in the narrowest integers that hold the row, as bytes.
+
+    Rows whose vector is empty or has a component that is null or not finite are left out.
+    """
+    for batch in batches:
+        vectors, size = batch.column("embedding"), pc.list_value_length(batch.column("embedding"))
+        for dim in pc.unique(size.drop_null()).to_pylist():
+            some = batch.filter(pc.equal(size, dim)) if dim else batch.slice(0, 0)
+            vectors = pc.fill_null(some.column("embedding").flatten(), np.nan).to_numpy(zero_copy_only=False)
+            values = np.floor(vectors.astype(np.float64).reshape(-1, dim or 1) * 256)
+            most = np.abs(values).max(1, initial=0)
+            for kind, above, upto in (("<i2", -1, 2**15), ("<i4", 2**15, 2**31), ("<i8", 2**31, np.inf)):
+                rows = np.flatnonzero((most >= above) & (most < upto))
+                if len(rows):
+                    exact = np.clip(values[rows], -(2.0**63), 2.0**63 - 1024).astype(kind)
+                    few = some.select(["vec_id", "asks"]).take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays(
+                        [*few.columns, pa.array(np.full(len(rows), dim, np.int32)), _binary(exact)], ["vec_id", "asks", "dim", "v"]
+                    )
+
+
+def vectors_of(packed: pa.Array, dim: int) -> np.ndarray:
+    """Rows of ``quantised`` as floats, 32-bit ones if they hold all of them exactly."""
+    packed = packed.cast(pa.binary())
+    width = pc.divide(pc.binary_length(packed), dim).to_numpy(zero_copy_only=False)
+    narrow = np.empty((len(packed), dim), np.float32 if (width == 2).all() else np.float64)
+    for size in np.unique(width):
+        rows = np.flatnonzero(width == size)
+        some = packed.take(pa.array(rows)) if len(rows) < len(packed) else packed
+        begin = np.frombuffer(some.buffers()[1], np.int32)[some.offset : some.offset + len(some) + 1]
+        data = np.frombuffer(some.buffers()[2], np.uint8)[begin[0] : begin[-1]]
+        narrow[rows] = np.frombuffer(data, f"<i{size}").reshape(-1, dim)
+    return narrow
+
+
+def _slices(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    for batch in batches:
+        for begin in range(0, batch.num_rows, SLICE):
+            some = batch.slice(begin, SLICE)
+            yield some, vectors_of(some.column("v"), dim)
+
+
+def _placing(centres: np.ndarray) -> Callable:
+    """``centre`` and ``distance``, those of a near centre, as further columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        half = (centres**2).sum(1) / 2
+        by_kind = {np.dtype(kind): centres.T.astype(kind) for kind in (np.float32, np.float64)}
+        for batch, v in _slices(batches, centres.shape[1]):
+            near = (v @ by_kind[v.dtype] - half).argmax(1)
+            apart = v - centres[near]
+            distance = np.sqrt(np.einsum("ij,ij->i", apart, apart))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(near.astype(np.int32)), pa.array(distance)], [*batch.schema.names, "centre", "distance"]
+            )
+
+    return releasing(run)
+
+
+@dataclass
+class Parts:
+    """Which parts there are: blocks in groups of near ones; a group is a part, a large block is several.
+
+    ``first`` and ``of``: of each centre, its group's first part and how many the group has.
+    """
+
+    centres: np.ndarray
+    radius: np.ndarray
+    first: np.ndarray
+    of: np.ndarray
+    count: int
+
+
+def in_parts(centres: np.ndarray, points: dict[int, int], radius: dict[int, float], size: int) -> Parts:
+    """Parts of about ``size`` points; ``points`` and ``radius`` of each centre's block."""
+
+    def in_order(node: Node) -> Iterator[int]:
+        for child in node.children:
+            yield from in_order(child)
+        if not node.children:
+            yield from node.rows.tolist()
+
+    first, of, parts, held = np.zeros(len(centres), np.int32), np.ones(len(centres), np.int32), 0, 0
+    for c in (c for c in in_order(cover_tree(centres)) if c in points):
+        if held and held + points[c] > size:
+            parts, held = parts + 1, 0
+        first[c], held = parts, held + points[c]
+        if held > size:  # then it is alone
+            of[c] = -(-held // size)
+            parts, held = parts + int(of[c]), 0
+    reach = np.array([radius.get(c, -np.inf) for c in range(len(centres))])
+    return Parts(centres, reach, first, of, parts + bool(held))
+
+
+def _meeting(parts: Parts) -> Callable:
+    """``parts``: all parts but ``home`` that may hold a score of ``floor`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = np.flatnonzero(parts.radius > -np.inf)
+        used = used[np.argsort(parts.first[used], kind="stable")]
+        begins = np.flatnonzero(_places(parts.first[used]) == 0)
+        group_of = np.repeat(np.arange(len(begins)), parts.of[used[begins]])
+        centres, reach = parts.centres[used].T, parts.radius[used]
+        for batch, v in _slices(batches, parts.centres.shape[1]):
+            bound = widened(v @ centres + lengths(v)[:, None] * reach)
+            floor = pc.fill_null(batch.column("floor"), -np.inf).to_numpy(zero_copy_only=False)
+            may = np.logical_or.reduceat(bound >= floor[:, None], begins, 1)[:, group_of]
+            may[np.arange(len(v)), batch.column("home").to_numpy(zero_copy_only=False)] = False
+            offsets = np.concatenate(([0], may.sum(1).cumsum())).astype(np.int32)
+            met = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(may)[1].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.select(["vec_id", "v", "centre", "floor"]).columns, met], ["vec_id", "v", "centre", "floor", "parts"]
+            )
+
+    return releasing(run)
+
+
+class _Part:
+    """The points of one part, and the queries that wait for a search."""
+
+    def __init__(self, dim: int, k: int):
+        self.dim, self.k = dim, k
+        self.data: list[pa.RecordBatch] = []
+        self.queries: list[pa.RecordBatch] = []
+        self.waiting = 0
+        self.index: Index | None = None
+
+    def _indexed(self) -> Index:
+        data = pa.Table.from_batches(self.data).combine_chunks().to_batches()[0]
+        self.data = []
+        ids, centre = data.column("ids"), data.column("centre").to_numpy(zero_copy_only=False)
+        self.ids = ids.flatten().to_numpy(zero_copy_only=False)
+        self.begins = np.concatenate(([0], pc.list_value_length(ids).to_numpy(zero_copy_only=False).cumsum()))
+        begins = np.flatnonzero(_places(centre) == 0).tolist()
+        runs = list(zip(begins, [*begins[1:], len(centre)], strict=True))
+        return Index(vectors_of(data.column("v"), self.dim), self.ids[self.begins[:-1]], runs)
+
+    def searched(self) -> Iterator[pa.RecordBatch]:
+        """The k best of the part's points for each query that waits."""
+        if self.queries and (self.data or self.index):
+            self.index = self.index or self._indexed()
+            asked = pa.Table.from_batches(self.queries).combine_chunks().to_batches()[0]
+            floor = pc.fill_null(asked.column("floor"), -np.inf).to_numpy(zero_copy_only=False)
+            # a point that holds the query itself has a place more than the others
+            search = Search(vectors_of(asked.column("v"), self.dim), self.k + 1, floor)
+            search.walk(self.index.points, self.index)
+            q, x, score = search.results()
+            counts = self.begins[x + 1] - self.begins[x]
+            q, score = np.repeat(asked.column("vec_id").to_numpy()[q], counts), np.repeat(score, counts).astype(np.int64)
+            found = self.ids[np.arange(len(q)) + np.repeat(self.begins[x] - (counts.cumsum() - counts), counts)]
+            order = np.lexsort((found, -score, q))
+            q, found, score = (c[order[q[order] != found[order]]] for c in (q, found, score))
+            if len(q):
+                new = np.concatenate(([True], (q[1:] != q[:-1]) | (found[1:] != found[:-1]) | (score[1:] != score[:-1])))
+                q, found, score = q[new], found[new], score[new]
+                few = _places(q) < self.k
+                yield pa.RecordBatch.from_arrays([pa.array(c[few]) for c in (q, found, score)], ["query_id", "vec_id", "score"])
+        self.queries, self.waiting = [], 0
+
+
+def searching(dim: int, k: int) -> Callable:
+    """Searches of rows sorted by ``part``, in a part first the points and then the queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, _Part(dim, k)
+        for batch in batches:
+            parts = batch.column("part").to_numpy(zero_copy_only=False)
+            asks = batch.column("asks").to_numpy(zero_copy_only=False)
+            changes = np.flatnonzero((parts[1:] != parts[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for begin, end in zip([0, *changes], [*changes, len(parts)], strict=True):
+                if begin == end:
+                    continue
+                if parts[begin] != part:
+                    yield from held.searched()
+                    part, held = parts[begin], _Part(dim, k)
+                if not asks[begin]:
+                    held.data.append(batch.slice(begin, end - begin))
+                    continue
+                for at in range(begin, end, QUERY_ROWS):
+                    held.queries.append(batch.slice(at, min(QUERY_ROWS, end - at)))
+                    held.waiting += held.queries[-1].num_rows
+                    if held.waiting >= QUERY_ROWS:
+                        yield from held.searched()
+        yield from held.searched()
+
+    return releasing(run)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -185,80 +409,59 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block_points: int =
     whatever their names, and an empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(
-        F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding").cast("array<double>")).alias("v"), is_query.alias("asks")
-    ).where("v IS NOT NULL AND vec_id IS NOT NULL")
-    rows = rows.withColumn("dim", F.size("v")).where("dim > 0")
+    embedding = F.col("embedding")
+    if dict(vectors.dtypes)["embedding"] != "array<float>":
+        embedding = embedding.cast("array<double>")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), embedding.alias("embedding"), is_query.alias("asks"))
+    rows = rows.where("embedding IS NOT NULL AND vec_id IS NOT NULL")
+    first_folder, second_folder = new_folder(spark, "packed"), new_folder(spark, "points")
+    rows = written(rows.mapInArrow(releasing(quantised), "vec_id long, asks boolean, dim int, v binary"), "packed", first_folder)
     dims = rows.groupBy("dim").count().orderBy(F.col("count").desc(), "dim").limit(1).collect()
     if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rows = rows.where(F.col("dim") == dims[0]["dim"]).select("vec_id", "v", "asks")
+    dim = dims[0]["dim"]
+    rows = rows.where(F.col("dim") == dim).select("vec_id", "v", "asks")
     # equal vectors once, with the ids that may enter a result; a rank limit bounds each group first
     by_id = F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))
     few = rows.select("vec_id", "v").withColumn("n", by_id).where(F.col("n") <= k + 1)
     points = few.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
-    points = written(points.withColumn("h", F.xxhash64("v")), "points")
+    points = written(points.withColumn("h", F.xxhash64("v")), "points", second_folder)
     count = points.count()
     wanted = int(min(MOST_CENTRES, max(1, count // block_points)))
-    drawn = points.orderBy("h", "v").limit(wanted).select("v").collect()
-    centres = np.array([r["v"] for r in drawn], np.float64)  # at most MOST_CENTRES vectors
+    drawn = points.orderBy("h", "v").limit(wanted).select("v").collect()  # at most MOST_CENTRES vectors
+    centres = vectors_of(pa.array([bytes(r["v"]) for r in drawn], pa.binary()), dim).astype(np.float64)
 
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        half = (centres**2).sum(1) / 2
-        for batch in batches:
-            v = _stack(batch["v"])
-            if not len(v):
-                continue
-            near = (v @ centres.T - half).argmax(1)
-            distance = np.sqrt(((v - centres[near]) ** 2).sum(1))
-            yield batch.assign(centre=near.astype(np.int32), distance=distance)
-
-    placed = written(
-        points.mapInPandas(nearest, "v array<long>, ids array<long>, h long, centre int, distance double"), "placed"
-    )
-    blocks = placed.groupBy("centre").agg(F.count("*").alias("n"), F.max("distance").alias("radius")).collect()
-    radius = {r["centre"]: r["radius"] for r in blocks}
-    parts = {r["centre"]: max(1, r["n"] // (2 * block_points)) for r in blocks}  # one entry per centre
-    part_of = F.create_map(*(F.lit(x) for c, n in sorted(parts.items()) for x in (c, n)))
-    data = placed.select(F.col("centre"), F.pmod("h", part_of[F.col("centre")]).cast("int").alias("part"), "v", "ids")
+    place = _placing(centres)
+    placed = written(points.mapInArrow(place, "v binary, ids array<long>, h long, centre int, distance double"), "placed")
     asked = rows.where("asks").select("vec_id", "v").distinct()
-    groups = max(1, -(-asked.count() // QUERY_BLOCK))
-    data = data.withColumn("asked_by", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    asked = written(asked.mapInArrow(place, "vec_id long, v binary, centre int, distance double").drop("distance"), "asked")
+    discarded(spark, first_folder)
+    discarded(spark, second_folder)
+    blocks = placed.groupBy("centre").agg(F.count("*").alias("n"), F.max("distance").alias("radius")).collect()
+    # no more points than a task may hold, and work for all cores
+    size = min(max(1, PART_BYTES // (4 * dim)), -(-count // max(1, min(count // block_points, 2 * spark.sparkContext.defaultParallelism))))
+    parts = in_parts(centres, {r["centre"]: r["n"] for r in blocks}, {r["centre"]: r["radius"] for r in blocks}, size)
 
-    def visits(batches: Iterator[pd.DataFrame], own: bool) -> Iterator[pd.DataFrame]:
-        """A row for each block that a query meets: the nearest one, or all others that may matter."""
-        half, used = (centres**2).sum(1) / 2, np.array(sorted(radius))
-        reach = np.array([radius[c] for c in used])
-        for batch in batches:
-            v = _stack(batch["v"])
-            if not len(v):
-                continue
-            products = v @ centres.T
-            home = used[(products - half)[:, used].argmax(1)]
-            if own:
-                q, c = np.arange(len(v)), home
-            else:
-                bound = widened(products[:, used] + np.sqrt((v**2).sum(1))[:, None] * reach)
-                q, at = np.nonzero(bound >= batch["floor"].fillna(-np.inf).to_numpy(np.float64)[:, None])
-                c = used[at]
-                q, c = q[c != home[q]], c[c != home[q]]
-            times = np.array([parts[x] for x in c], np.int64) if len(c) else np.zeros(0, np.int64)
-            part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            out = batch.iloc[np.repeat(q, times)][["vec_id", "v", "floor"]]
-            yield out.assign(centre=np.repeat(c, times).astype(np.int32), part=part.astype(np.int32))
-
-    def searched(queries: DataFrame, own: bool) -> DataFrame:
-        met = queries.mapInPandas(
-            lambda batches: visits(batches, own), "vec_id long, v array<long>, floor double, centre int, part int"
-        )
-        return (
-            data.groupBy("centre", "part", "asked_by")
-            .cogroup(met.groupBy("centre", "part", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("asked_by")))
-            .applyInPandas(_block_search(k), "query_id long, vec_id long, score long")
-        )
-
-    at_home = written(_ranked(searched(asked.withColumn("floor", F.lit(None).cast("double")), True), k).drop("rank"), "home")
+    def part_of(h: Column) -> Column:
+        first, of = (F.array(*map(F.lit, column.tolist()))[F.col("centre")] for column in (parts.first, parts.of))
+        return (first + F.pmod(h, of)).cast("int")
+
+    data = placed.select(
+        part_of(F.col("h")).alias("part"), F.lit(False).alias("asks"), "centre", F.lit(None).cast("long").alias("vec_id"), "v", "ids", F.lit(None).cast("double").alias("floor")
+    )
+
+    def searched(queries: DataFrame) -> DataFrame:
+        met = queries.select("part", F.lit(True).alias("asks"), "centre", "vec_id", "v", F.lit(None).cast("array<long>").alias("ids"), "floor")
+        together = data.unionByName(met).repartitionById(parts.count, F.col("part")).sortWithinPartitions("part", "asks", "centre")
+        return together.mapInArrow(searching(dim, k), "query_id long, vec_id long, score long")
+
+    asked = asked.withColumn("home", part_of(F.xxhash64("vec_id")))
+    at_home = searched(asked.withColumn("part", F.col("home")).withColumn("floor", F.lit(None).cast("double")))
+    at_home = written(_ranked(at_home, k).drop("rank"), "home")
     floors = at_home.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
     floors = floors.select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("least").cast("double")).alias("floor"))
-    abroad = searched(asked.join(floors, "vec_id", "left"), False)
+    others = asked.join(floors, "vec_id", "left").mapInArrow(
+        _meeting(parts), "vec_id long, v binary, centre int, floor double, parts array<int>"
+    )
+    abroad = searched(others.withColumn("part", F.explode("parts")))
     return _ranked(at_home.unionByName(abroad), k).select("query_id", "rank", "vec_id", "score")
