@@ -36,7 +36,9 @@ PART_BYTES = 32 << 20
 #: Queries that a task holds at a time.
 QUERY_ROWS = 4096
 #: Queries and points that are multiplied at a time.
-TILE = (512, 1024)
+TILE = (1024, 256)
+#: Scores that may wait before they meet the best ones so far.
+WAITING = 8192
 #: Rows that are placed or measured at a time.
 SLICE = 1024
 LEAF = 64
@@ -127,6 +129,8 @@ class Search:
         self.first = np.full((len(queries), k), np.iinfo(np.int64).max)
         self.at = np.full((len(queries), k), -1)
         self.least = np.array(floor, np.float64)
+        self.met: list[tuple[np.ndarray, ...]] = []
+        self.waiting = 0
 
     def walk(self, points: np.ndarray, index: Index | None = None) -> None:
         if not len(points):
@@ -136,6 +140,7 @@ class Search:
         self.kind = np.float32 if exact and points.dtype == self.queries.dtype == np.float32 else np.float64
         for tree in sorted(self.index.trees, key=lambda x: -self._bound(self.tree, x)):
             self._pair(self.tree, tree)
+        self._merge()
 
     def _bound(self, q: Node, x: Node) -> float:
         a, b = q.centre.astype(np.float64), x.centre.astype(np.float64)
@@ -155,30 +160,43 @@ class Search:
                 self._pair(child, x)
 
     def _base(self, rows: np.ndarray, x: Node) -> None:
-        reach = self.queries[rows].astype(np.float64) @ x.centre.astype(np.float64) + self.size[rows] * x.radius
-        rows = rows[widened(reach) >= self.least[rows]]
+        queries = self.queries[rows]
+        reach = queries.astype(np.float64) @ x.centre.astype(np.float64) + self.size[rows] * x.radius
+        near = widened(reach) >= self.least[rows]
+        rows, queries = rows[near], queries[near].astype(self.kind, copy=False)
+        least = self.least[rows]
         for begin in range(0, len(x.rows), TILE[1]):
             of = x.rows[begin : begin + TILE[1]]
             points = self.index.points[of].astype(self.kind, copy=False).T
             for upto in range(0, len(rows), TILE[0]):
-                asked = rows[upto : upto + TILE[0]]
-                scores = self.queries[asked].astype(self.kind, copy=False) @ points
-                hit = np.flatnonzero(scores.max(1) >= self.least[asked])
+                some = slice(upto, upto + TILE[0])
+                scores = queries[some] @ points
+                hit = np.flatnonzero(scores.max(1) >= least[some])
                 if len(hit):
-                    self._enter(asked[hit], of, scores[hit])
+                    self._enter(rows[some][hit], of, scores[hit])
+                    if not self.waiting:
+                        least = self.least[rows]
 
     def _enter(self, asked: np.ndarray, of: np.ndarray, scores: np.ndarray) -> None:
-        """``scores`` of the queries ``asked`` and the points ``of`` meet the best ones so far."""
+        """``scores`` of the queries ``asked`` and the points ``of`` will meet the best ones so far."""
         least = self.least[asked]
         if len(of) > self.k and least.min() == -np.inf:
             least = np.maximum(least, np.partition(scores, len(of) - self.k, 1)[:, len(of) - self.k])
-        q, x = np.nonzero(scores >= least[:, None])
-        score, q, x = scores[q, x].astype(np.float64), asked[q], of[x]
+        flat = np.flatnonzero(scores >= least[:, None])
+        q, x = np.divmod(flat, len(of))
+        score, q, x = scores.ravel()[flat].astype(np.float64), asked[q], of[x]
         first = self.index.first[x]
         better = (score > self.best[q, -1]) | (first < self.first[q, -1])
-        score, q, x, first = score[better], q[better], x[better], first[better]
-        if not len(q):
+        self.met.append((q[better], x[better], score[better], first[better]))
+        self.waiting += len(self.met[-1][0])
+        if self.waiting >= WAITING:
+            self._merge()
+
+    def _merge(self) -> None:
+        if not self.waiting:
             return
+        q, x, score, first = (np.concatenate(c) for c in zip(*self.met, strict=True))
+        self.met, self.waiting = [], 0
         met = np.unique(q)
         q, x = np.concatenate((np.repeat(met, self.k), q)), np.concatenate((self.at[met].ravel(), x))
         score, first = np.concatenate((self.best[met].ravel(), score)), np.concatenate((self.first[met].ravel(), first))
