@@ -169,3 +169,23 @@ def test_blocks_larger_than_a_part(spark, monkeypatch):
     for points in (30, 5000):
         got = {tuple(r) for r in topk.top_k(table, F.col("vec_id") % 5 == 0, 5, points).collect()}
         assert got == best_by_brute_force(rows, lambda i: i % 5 == 0)
+
+
+def test_points_as_16_bit_integers():
+    rng = np.random.default_rng(8)
+    for most in (160, 2**15):  # products that 32-bit floats hold, and larger ones
+        points = rng.integers(-most, most, (3000, 64)).astype(np.int16)
+        search = topk.Search(points[:40].astype(np.float32), 6, np.full(40, -np.inf))
+        search.walk(points)
+        scores = points[:40].astype(np.int64) @ points.T.astype(np.int64)
+        want = [sorted(zip(-row, range(3000), strict=True))[:6] for row in scores]
+        q, x, score = search.results()
+        assert q.tolist() == [i for i in range(40) for _ in range(6)]
+        assert list(zip((-score).tolist(), x.tolist(), strict=True)) == [pair for row in want for pair in row]
+
+
+def test_results_are_shuffled_once(spark):
+    found = spark.createDataFrame([(i % 3, i, i) for i in range(30)] * 2, "query_id long, vec_id long, score long")
+    best = topk._ranked(found, 5)
+    assert best._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(r["rank"] for r in best.collect()) == [k for k in range(1, 6) for _ in range(3)]

@@ -31,7 +31,7 @@ from wardflow.sources.scratch import discarded, new_folder, written
 BLOCK_POINTS = 1024
 #: Centres of blocks: drawn by hash from the distinct vectors, at most so many.
 MOST_CENTRES = 1024
-#: Bytes of a part's points as 32-bit floats.
+#: Bytes of a part's points as 16-bit integers.
 PART_BYTES = 32 << 20
 #: Queries that a task holds at a time.
 QUERY_ROWS = 4096
@@ -124,6 +124,7 @@ class Search:
         self.queries, self.k, self.floor = queries, k, floor
         self.tree = cover_tree(queries)
         self.size = lengths(queries)
+        self.wide = queries.astype(np.float64, copy=False)
         # the best first; of equal scores the one with the smaller id
         self.best = np.full((len(queries), k), -np.inf)
         self.first = np.full((len(queries), k), np.iinfo(np.int64).max)
@@ -137,7 +138,8 @@ class Search:
             return
         self.index = index or Index(points)
         exact = self.index.longest * float(self.size.max()) < EXACT
-        self.kind = np.float32 if exact and points.dtype == self.queries.dtype == np.float32 else np.float64
+        narrow = points.dtype in (np.int16, np.float32) and self.queries.dtype == np.float32
+        self.kind = np.float32 if exact and narrow else np.float64
         for tree in sorted(self.index.trees, key=lambda x: -self._bound(self.tree, x)):
             self._pair(self.tree, tree)
         self._merge()
@@ -160,11 +162,9 @@ class Search:
                 self._pair(child, x)
 
     def _base(self, rows: np.ndarray, x: Node) -> None:
-        queries = self.queries[rows]
-        reach = queries.astype(np.float64) @ x.centre.astype(np.float64) + self.size[rows] * x.radius
-        near = widened(reach) >= self.least[rows]
-        rows, queries = rows[near], queries[near].astype(self.kind, copy=False)
-        least = self.least[rows]
+        reach = self.wide[rows] @ x.centre.astype(np.float64) + self.size[rows] * x.radius
+        rows = rows[widened(reach) >= self.least[rows]]
+        queries, least = self.queries[rows].astype(self.kind, copy=False), self.least[rows]
         for begin in range(0, len(x.rows), TILE[1]):
             of = x.rows[begin : begin + TILE[1]]
             points = self.index.points[of].astype(self.kind, copy=False).T
@@ -245,11 +245,11 @@ def quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     )
 
 
-def vectors_of(packed: pa.Array, dim: int) -> np.ndarray:
-    """Rows of ``quantised`` as floats, 32-bit ones if they hold all of them exactly."""
+def integers_of(packed: pa.Array, dim: int) -> np.ndarray:
+    """Rows of ``quantised`` in the narrowest integers that hold all of them."""
     packed = packed.cast(pa.binary())
     width = pc.divide(pc.binary_length(packed), dim).to_numpy(zero_copy_only=False)
-    narrow = np.empty((len(packed), dim), np.float32 if (width == 2).all() else np.float64)
+    narrow = np.empty((len(packed), dim), f"<i{width.max(initial=2)}")
     for size in np.unique(width):
         rows = np.flatnonzero(width == size)
         some = packed.take(pa.array(rows)) if len(rows) < len(packed) else packed
@@ -259,6 +259,12 @@ def vectors_of(packed: pa.Array, dim: int) -> np.ndarray:
     return narrow
 
 
+def vectors_of(packed: pa.Array, dim: int) -> np.ndarray:
+    """Rows of ``quantised`` as floats, 32-bit ones if they hold all of them exactly."""
+    integers = integers_of(packed, dim)
+    return integers.astype(np.float32 if integers.dtype == np.int16 else np.float64)
+
+
 def _slices(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     for batch in batches:
         for begin in range(0, batch.num_rows, SLICE):
@@ -359,7 +365,7 @@ class _Part:
         self.begins = np.concatenate(([0], pc.list_value_length(ids).to_numpy(zero_copy_only=False).cumsum()))
         begins = np.flatnonzero(_places(centre) == 0).tolist()
         runs = list(zip(begins, [*begins[1:], len(centre)], strict=True))
-        return Index(vectors_of(data.column("v"), self.dim), self.ids[self.begins[:-1]], runs)
+        return Index(integers_of(data.column("v"), self.dim), self.ids[self.begins[:-1]], runs)
 
     def searched(self) -> Iterator[pa.RecordBatch]:
         """The k best of the part's points for each query that waits."""
@@ -414,7 +420,7 @@ def searching(dim: int, k: int) -> Callable:
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.repartition("query_id").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block_points: int = BLOCK_POINTS) -> DataFrame:
@@ -457,7 +463,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block_points: int =
     discarded(spark, second_folder)
     blocks = placed.groupBy("centre").agg(F.count("*").alias("n"), F.max("distance").alias("radius")).collect()
     # no more points than a task may hold, and work for all cores
-    size = min(max(1, PART_BYTES // (4 * dim)), -(-count // max(1, min(count // block_points, 2 * spark.sparkContext.defaultParallelism))))
+    size = min(max(1, PART_BYTES // (2 * dim)), -(-count // max(1, min(count // block_points, 2 * spark.sparkContext.defaultParallelism))))
     parts = in_parts(centres, {r["centre"]: r["n"] for r in blocks}, {r["centre"]: r["radius"] for r in blocks}, size)
 
     def part_of(h: Column) -> Column:
